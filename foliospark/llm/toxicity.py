@@ -22,7 +22,7 @@ from .common import read, stage
 ORDERS = (3, 4, 5, 6)
 #: Bound on labelled rows for fitting; which rows: a hash of the id.
 MAX_ROWS = 20_000
-MAX_FEATURES = 4096
+MAX_FEATURES = 2048
 THRESHOLD = 0.7
 _PIECE = 400_000  # characters handled at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -137,21 +137,46 @@ def ratios(p: np.ndarray, q: np.ndarray, total_p: float, total_q: float) -> np.n
     return np.log((p + 1) / total_p) - np.log((q + 1) / total_q)
 
 
-def _fit_logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """L2-regularised logistic regression on sparse scaled presences by accelerated gradient steps."""
+def _fit_logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
+    """L2-regularised logistic regression on sparse scaled presences, by Newton steps solved with conjugate gradients."""
     n, m = len(y), len(scale)
-    w, bias = np.zeros(m), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     values = scale[features]
-    bound = 0.25 * max(1.0, float(np.bincount(rows, values * values, minlength=n).max(initial=0.0)) + 1) + l2 / n
-    v, vb = w.copy(), bias
-    for k in range(steps):
-        z = vb + np.bincount(rows, values * v[features], minlength=n)
-        g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
-        new_w = v - (np.bincount(features, values * g[rows], minlength=m) + l2 / n * v) / bound
-        new_b = vb - g.sum() / 0.25 / 4
-        v, vb = new_w + k / (k + 3) * (new_w - w), new_b + k / (k + 3) * (new_b - bias)
-        w, bias = new_w, new_b
-    return w, bias
+    theta = np.zeros(m + 1)  # the bias is last and not penalised
+    theta[m] = np.log((y.sum() + 1) / (n - y.sum() + 1))
+    penalty = np.append(np.full(m, l2), 1e-6)
+
+    def forward(t: np.ndarray) -> np.ndarray:
+        return t[m] + np.bincount(rows, values * t[features], minlength=n)
+
+    def backward(g: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(features, values * g[rows], minlength=m), g.sum())
+
+    def loss(t: np.ndarray) -> float:
+        z = forward(t)
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * np.sum(penalty * t * t))
+
+    now = loss(theta)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(forward(theta), -35, 35)))
+        gradient, curve = backward(p - y) + penalty * theta, np.maximum(p * (1 - p), 1e-6)
+        step, rest = np.zeros(m + 1), -gradient
+        way, size = rest.copy(), rest @ rest
+        first = size
+        for _ in range(100):
+            if size <= 1e-8 * first or size == 0:
+                break
+            bent = backward(curve * forward(way)) + penalty * way
+            a = size / (way @ bent)
+            step += a * way
+            rest = rest - a * bent
+            way, size = rest + rest @ rest / size * way, rest @ rest
+        length = 1.0
+        while length > 1e-4 and (new := loss(theta + length * step)) > now:
+            length /= 2
+        if length <= 1e-4 or now - new < 1e-6 * n:
+            break
+        theta, now = theta + length * step, new
+    return theta[:m], float(theta[m])
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
