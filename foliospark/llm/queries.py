@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, toxicity
+from . import bpe, fingerprint, line_dedup, mixing, toxicity
 
-_MODULES = {"op2_byte_bpe": bpe, "op3_line_dedup": line_dedup, "op5_mix_sources": mixing, "op10_toxicity": toxicity}
+_MODULES = {"op2_byte_bpe": bpe, "op3_line_dedup": line_dedup, "op4_fingerprints": fingerprint, "op5_mix_sources": mixing, "op10_toxicity": toxicity}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
