@@ -26,10 +26,9 @@ from .components import components
 from .words import shingle_sets
 
 K = 128
-#: Of a sketch's values: how many are indexed at all, and the share that two similar sets surely share (it is
-#: 4.5 standard deviations below what sets of similarity 0.85 share on average).
-INDEXED, SURE = 32, 0.56
-#: Estimates below the asked similarity by this many standard errors are dropped.
+#: How many of a sketch's values are indexed.
+INDEXED = 32
+#: Standard errors by which sketches may share less than sets of the asked similarity do on average.
 MARGIN = 4.5
 #: Broadcast ids of documents that take part up to this number; join by shuffle beyond.
 BROADCAST_IDS = 1_000_000
@@ -47,13 +46,19 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, key_a long, key_b long, sketch array<long>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def _surely(similarity: float, k: int) -> float:
+    """Share of k values that two sets of the similarity surely share."""
+    return similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / k))
+
+
+def candidates(reps: DataFrame, similarity: float) -> DataFrame:
     """v, id: the classes in the list of each retained value that is indexed for them."""
+    sure = _surely(similarity, INDEXED)
     values = reps.select("id", F.least(F.size("sketch"), F.lit(INDEXED)).alias("m"), F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
     common = values.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
     held = values.join(common, "v").groupBy("id", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     # the m - size(held) values that no other class has come first in the order of rarity
-    prefix = F.col("m") - F.ceil(F.col("m") * SURE).cast("int") + 1 - (F.col("m") - F.size("held"))
+    prefix = F.col("m") - F.ceil(F.col("m") * sure).cast("int") + 1 - (F.col("m") - F.size("held"))
     return held.where(prefix > 0).select("id", F.explode(F.slice("held", F.lit(1), prefix)).alias("x")).select(F.col("x.v").alias("v"), "id")
 
 
@@ -63,7 +68,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) ->
     b = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least = similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / k))
+        least = _surely(similarity, k)
         for batch in batches:
             keep = []
             for x, y, nx, ny in zip(batch["sa"], batch["sb"], batch["na"], batch["nb"], strict=True):
@@ -123,7 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     nodes = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     same_id = nodes.where(F.col("rep") != F.col("other")).select("doc_id", F.col("rep").alias("a")).join(members, "doc_id").select("a", F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
     reps = stage(real.join(classes, keys).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "classes")
-    lists = stage(candidates(reps), "lists")
+    lists = stage(candidates(reps, percent / 100), "lists")
     ends = lists.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high"))
     star = lists.join(ends, "v").select("id", F.explode(F.array("low", "high")).alias("hub"))
     star = star.where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
