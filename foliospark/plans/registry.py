@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import annotation_queries, evaluation_queries, pixel_queries
+
+_PLANS = (pixel_queries, evaluation_queries, annotation_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return pixel_queries.page_boxes(spark, sf_dir)
