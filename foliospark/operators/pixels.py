@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: Colour means that a VGG network subtracts (fixed values: red, green, blue).
 VGG_MEANS = (123.68, 116.78, 103.94)
-IMAGE = W.partitionBy("image_id")
 
 
 def channel(pixels: DataFrame, k: int, values: str = "z", out: str = "v") -> DataFrame:
@@ -20,12 +19,12 @@ def channel(pixels: DataFrame, k: int, values: str = "z", out: str = "v") -> Dat
 
 def max_normalise(pixels: DataFrame, value: str = "v") -> DataFrame:
     """Divide by the image's maximum; null where that is 0."""
-    return pixels.withColumn(value, F.col(value) / F.nullif(F.max(value).over(IMAGE), F.lit(0.0)))
+    return pixels.withColumn(value, F.col(value) / F.nullif(F.max(value).over(W.partitionBy("image_id")), F.lit(0.0)))
 
 
 def stretch(pixels: DataFrame, value: str = "v") -> DataFrame:
     """To 0 to 1 between the image's least and largest value."""
-    low, high = F.min(value).over(IMAGE), F.max(value).over(IMAGE)
+    low, high = F.min(value).over(W.partitionBy("image_id")), F.max(value).over(W.partitionBy("image_id"))
     return pixels.withColumn(value, (F.col(value) - low) / F.nullif(high - low, F.lit(0.0)))
 
 
@@ -55,7 +54,7 @@ def otsu_thresholds(pixels: DataFrame, value: str = "bin") -> DataFrame:
     """image_id, t: the level that best parts a histogram of whole numbers (most variance between classes; of equals the lowest)."""
     counts = pixels.groupBy("image_id", F.col(value).cast("long").alias("t")).agg(F.count("*").alias("n"))
     run = W.partitionBy("image_id").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    sums = counts.select("image_id", "t", F.sum("n").over(run).alias("n0"), F.sum(F.col("n") * F.col("t")).over(run).alias("s0"), F.sum("n").over(IMAGE).alias("n"), F.sum(F.col("n") * F.col("t")).over(IMAGE).alias("s"))
+    sums = counts.select("image_id", "t", F.sum("n").over(run).alias("n0"), F.sum(F.col("n") * F.col("t")).over(run).alias("s0"), F.sum("n").over(W.partitionBy("image_id")).alias("n"), F.sum(F.col("n") * F.col("t")).over(W.partitionBy("image_id")).alias("s"))
     apart = (F.col("s") * F.col("n0") - F.col("s0") * F.col("n")).cast("double")
     between = F.when(F.col("n0") < F.col("n"), apart * apart / (F.col("n0") * (F.col("n") - F.col("n0"))).cast("double")).otherwise(0.0)
     best = F.min(F.struct((-between).alias("b"), "t"))
@@ -75,10 +74,10 @@ def apply_mask(pixels: DataFrame, mask: DataFrame, value: str = "v") -> DataFram
 
 def contrast(pixels: DataFrame, factor: float, value: str = "v") -> DataFrame:
     """Away from (factor over 1) or towards the image's mean."""
-    mean = F.avg(value).over(IMAGE)
+    mean = F.avg(value).over(W.partitionBy("image_id"))
     return pixels.withColumn(value, (F.col(value) - mean) * factor + mean)
 
 
 def flip(pixels: DataFrame, left_right: bool = False, up_down: bool = False) -> DataFrame:
-    y, x = F.max("y").over(IMAGE) - F.col("y"), F.max("x").over(IMAGE) - F.col("x")
+    y, x = F.max("y").over(W.partitionBy("image_id")) - F.col("y"), F.max("x").over(W.partitionBy("image_id")) - F.col("x")
     return pixels.withColumns({"y": y if up_down else F.col("y"), "x": x if left_right else F.col("x")})

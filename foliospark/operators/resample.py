@@ -5,11 +5,8 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-IMAGE = W.partitionBy("image_id")
-
 
 def _grid(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """image_id, y, x of the target with the source's height and width (sh, sw)."""
