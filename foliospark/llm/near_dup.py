@@ -7,8 +7,10 @@
    hold hardly ever are.
 3. Within a list every class is paired with its smallest and its largest member, not with all others. Pairs pass
    an estimate from the union's sketch, then an exact comparison of the full sets. Links give components.
-4. Pairs of a list that are in different components still, and so might hide a link, are all compared. A list
-   whose members are one component by now gives none, so large groups of copies never give all their pairs.
+4. Classes of lists that still hold several components, and so might hide a link, are indexed once more by the
+   rarest values of their full sets (an exact prefix filter), and pairs of a list in different components are
+   compared. Large groups of copies are one component by now and give no pairs; texts that only have a passage
+   in common are told apart by the rest of them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ INDEXED = 32
 MARGIN = 4.5
 #: Broadcast ids of documents that take part up to this number; join by shuffle beyond.
 BROADCAST_IDS = 1_000_000
+#: Lists of more pairs than this are compared in blocks of this many classes.
+SMALL_LIST, BLOCK = 4096, 512
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
@@ -51,15 +55,19 @@ def _surely(similarity: float, k: int) -> float:
     return similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / k))
 
 
-def candidates(reps: DataFrame, similarity: float) -> DataFrame:
-    """v, id: the classes in the list of each retained value that is indexed for them."""
-    sure = _surely(similarity, INDEXED)
-    values = reps.select("id", F.least(F.size("sketch"), F.lit(INDEXED)).alias("m"), F.explode(F.slice("sketch", 1, INDEXED)).alias("v"))
-    common = values.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
-    held = values.join(common, "v").groupBy("id", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    # the m - size(held) values that no other class has come first in the order of rarity
-    prefix = F.col("m") - F.ceil(F.col("m") * sure).cast("int") + 1 - (F.col("m") - F.size("held"))
-    return held.where(prefix > 0).select("id", F.explode(F.slice("held", F.lit(1), prefix)).alias("x")).select(F.col("x.v").alias("v"), "id")
+def candidates(classes: DataFrame, values: str, sure: float) -> DataFrame:
+    """v, id, m, i: lists of the classes (id, array of m values) by their rarest values; i: the value's place in that order, from 1.
+
+    Two classes that share at least ``sure`` of either's values are together in a list at least: of m values in
+    one order for all, the first m - ceil(sure * m) + 1 suffice (prefix filter); the order is rarest first.
+    """
+    rows = classes.select("id", F.size(values).alias("m"), F.explode(values).alias("v"))
+    common = rows.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    held = rows.join(common, "v").groupBy("id", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    # the m - size(held) values that no other class has are the rarest
+    prefix = F.col("m") - F.ceil(F.col("m") * sure - 1e-9).cast("int") + 1 - (F.col("m") - F.size("held"))
+    listed = held.where(prefix > 0).select("id", "m", F.size("held").alias("h"), F.posexplode(F.slice("held", F.lit(1), prefix)).alias("p", "x"))
+    return listed.select(F.col("x.v").alias("v"), "id", "m", (F.col("m") - F.col("h") + F.col("p") + 1).alias("i"))
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) -> DataFrame:
@@ -83,33 +91,92 @@ def _estimated(pairs: DataFrame, reps: DataFrame, similarity: float, k: int) ->
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity: 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, s: the shingle sets of some documents."""
+    ids = stage(ids.distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [s.tobytes() for s in shingle_sets(batch["text"].tolist(), shingle)]})
+            yield pd.DataFrame({"id": batch["doc_id"], "s": [s.view(np.int64) for s in shingle_sets(batch["text"].tolist(), shingle)]})
 
-    sets = stage(docs.join(ids, "doc_id", "left_semi").mapInPandas(whole, "id long, s binary"), "shingle-sets")
+    return stage(docs.join(ids, "doc_id", "left_semi").mapInPandas(whole, "id long, s array<long>"), "shingle-sets")
+
+
+def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets (id, s) reach the similarity: 100 * intersection >= percent * union."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield batch.loc[keep, ["a", "b"]]
 
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    out = stage(both.mapInPandas(compare, "a long, b long").distinct(), "near-links")
+    return both.mapInPandas(compare, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs whose documents' full sets reach the similarity."""
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), shingle)
+    out = stage(_compare(pairs, sets, percent), "near-links")
     unstage(sets)
     return out
 
 
+def _hidden_links(full: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the classes with these full sets; ``known`` pairs needn't be found.
+
+    Of two sets the one of fewer values (of equals, of the smaller id) is found by its first m - ceil(2s / (1 + s) m)
+    + 1 rarest values among the other's first m - ceil(s m) + 1. Lists of few pairs are joined; those of many are
+    compared in blocks, of which only links come out.
+    """
+    s = percent / 100
+    lists = candidates(full, "s", s).join(labels, "id", "left").select("v", "id", "m", "i", F.coalesce("component", "id").alias("c"))
+    lists = stage(lists.withColumn("short", F.col("i") <= F.col("m") - F.ceil(F.col("m") * (2 * s / (1 + s)) - 1e-9) + 1), "exact-lists")
+    sizes = lists.groupBy("v").agg(F.count_if("short").alias("n1"), F.count("*").alias("n2"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = sizes.where((F.col("n1") > 0) & (F.col("low") != F.col("high"))).withColumn("large", F.col("n1") * F.col("n2") > SMALL_LIST)
+    lists = lists.join(sizes.select("v", "n1", "n2", "large"), "v")
+    one, two = (lists.select("v", "large", "short", *[F.col(c).alias(c + k) for c in ("id", "m", "i", "c")]) for k in ("1", "2"))
+    smaller = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("id1") < F.col("id2")))
+    enough = 1 + F.least(F.col("m1") - F.col("i1"), F.col("m2") - F.col("i2")) >= s / (1 + s) * (F.col("m1") + F.col("m2")) - 1e-9
+    pairs = one.where(~F.col("large") & F.col("short")).drop("large", "short").join(two.where(~F.col("large")).drop("large", "short"), "v").where(smaller & (F.col("c1") != F.col("c2")) & (F.col("m1") >= s * F.col("m2") - 1e-9) & enough)
+    pairs = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+    sets = full.select("id", "s")
+    found = _compare(pairs, sets, percent)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    large = lists.where("large").join(sets, "id")
+    left = large.where("short").withColumn("k1", F.pmod(F.xxhash64("id"), blocks("n1")).cast("int")).withColumn("k2", spread("n2"))
+    right = large.withColumn("k2", F.pmod(F.xxhash64("id"), blocks("n2")).cast("int")).withColumn("k1", spread("n1"))
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            values, place = np.unique(np.concatenate([*a["s"], *b["s"]]), return_inverse=True)
+            ends = np.cumsum([len(x) for x in (*a["s"], *b["s"])])
+            starts = np.append(0, ends[:-1])
+            theirs, first = place[starts[len(a)] :], starts[len(a) :] - starts[len(a)]
+            m2, c2, id2 = b["m"].to_numpy(), b["c"].to_numpy(), b["id"].to_numpy()
+            held = np.zeros(len(values), np.int64)
+            for k, (own, m, c) in enumerate(zip(a["id"], a["m"], a["c"], strict=True)):
+                mine = place[starts[k] : ends[k]]
+                held[mine] = 1
+                inter = np.add.reduceat(held[theirs], first)
+                held[mine] = 0
+                hit = (100 * inter >= percent * (m + m2 - inter)) & (c2 != c)
+                out += [(min(own, x), max(own, x)) for x in id2[hit].tolist()]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    by, columns = ["v", "k1", "k2"], ["v", "k1", "k2", "id", "m", "c", "s"]
+    left, right = (x.select(*[F.col(c).alias(c) for c in columns]) for x in (left, right))
+    dense = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(block, "a long, b long")
+    return stage(found.unionByName(dense).distinct(), "near-links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
@@ -128,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     nodes = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     same_id = nodes.where(F.col("rep") != F.col("other")).select("doc_id", F.col("rep").alias("a")).join(members, "doc_id").select("a", F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
     reps = stage(real.join(classes, keys).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "classes")
-    lists = stage(candidates(reps, percent / 100), "lists")
+    lists = stage(candidates(reps.withColumn("sketch", F.slice("sketch", 1, INDEXED)), "sketch", _surely(percent / 100, INDEXED)), "lists")
     ends = lists.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high"))
     star = lists.join(ends, "v").select("id", F.explode(F.array("low", "high")).alias("hub"))
     star = star.where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -138,10 +205,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     labels = components(links)
     labelled = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where(F.col("least") != F.col("most")).select("v")
-    open_lists = stage(labelled.join(mixed, "v", "left_semi"), "open-lists")
-    x, y = (open_lists.select("v", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-    rest = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(stage(_estimated(rest, reps, similarity, k), "pairs"), docs, shingle, percent)
+    # classes of lists that still hold several components: now by the rarest values of their full sets
+    full = _full_sets(docs, labelled.join(mixed, "v", "left_semi").select(F.col("id").alias("doc_id")), shingle)
+    more = _hidden_links(full, labels, star, percent)
     labels = components(links.unionByName(more).unionByName(same_id))
     placed = nodes.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
