@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import read
 
 _BIT = [1 << k for k in range(256)]
-_CACHE = 600_000  # pre-tokens remembered in a task
+_CACHE = 150_000  # pre-tokens remembered in a task, and as many that were lately
 _LONG = 400  # longer pre-tokens (in characters) aren't remembered
 
 
@@ -146,17 +146,22 @@ class Codec:
 
 
 class _Packed(dict):
-    """Pre-token to packed ids."""
+    """Pre-token to packed ids. When full, what it holds becomes the older half, out of which used ones come back."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", merge(piece.encode("utf-8", "replace"), self.ranks)).tobytes()
-        if len(piece) <= _LONG:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", merge(piece.encode("utf-8", "replace"), self.ranks)).tobytes()
+            if len(piece) > _LONG:
+                return ids
+        if len(self) >= _CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 

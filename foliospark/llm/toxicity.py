@@ -105,7 +105,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each n-gram: in how many toxic and clean texts of a batch it is present."""
     for batch in batches:
         texts, toxic = batch["text"].tolist(), batch["toxic"].to_numpy(np.int64)
-        at, step = 0, []
+        at = 0
         while at < len(texts):  # about a piece of text at a time
             stop, size = at, 0
             while stop < len(texts) and (stop == at or size < _PIECE):
@@ -126,10 +126,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 h, is_toxic = h[first], toxic[at + row[first]]
                 new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
                 if len(new):
-                    step.append((h[new], np.add.reduceat(is_toxic, new), np.add.reduceat(1 - is_toxic, new)))
+                    yield pd.DataFrame({"gram": h[new].view(np.int64), "p": np.add.reduceat(is_toxic, new), "q": np.add.reduceat(1 - is_toxic, new)})
             at = stop
-        for h, p, q in step:
-            yield pd.DataFrame({"gram": h.view(np.int64), "p": p, "q": q})
 
 
 def ratios(p: np.ndarray, q: np.ndarray, total_p: float, total_q: float) -> np.ndarray:
