@@ -170,3 +170,70 @@ def via_key(filename: Column, size: Column) -> Column:
 
 def labels_per_image(regions: DataFrame, key: str, label: str) -> DataFrame:
     return regions.groupBy(key).agg(F.array_sort(F.collect_list(label)).alias("labels"))
+
+
+def via_masks(regions: DataFrame, sizes: DataFrame, attribute: str, contours_only: bool = False, thickness: int = 15) -> DataFrame:
+    """filename, label (attribute-option), y, x: the pixels of each option's shapes, filled or (``contours_only``) stroked.
+
+    sizes: filename, height, width; images without such regions have one row with label nolabel and null pixels.
+    Shapes that overlap give their pixels once; what lies outside the image is cut off.
+    """
+    from .functions.text import option_label
+    from .operators import raster
+
+    option = F.explode(F.when(F.col("_v").startswith("{"), F.map_keys(F.map_filter(F.from_json("_v", "map<string,boolean>"), lambda k, v: v))).otherwise(F.array("_v")))
+    value = F.get(F.filter(F.map_entries("attributes"), lambda e: e["key"] == attribute), F.lit(0))["value"]
+    rows = regions.withColumn("_v", value).where(F.col("_v").isNotNull()).withColumn("_o", option)
+    rows = rows.withColumn("label", option_label(F.lit(attribute), F.col("_o")))
+    keep = ["filename", "label"]
+    shapes = rows.where(F.col("points").isNotNull()).select(*keep, "points")
+    circles = rows.where(F.col("shape.name") == "circle").select(*keep, F.col("shape.cx").alias("cx"), F.col("shape.cy").alias("cy"), F.col("shape.r").alias("r"))
+    area = raster.stroke(shapes, keep, thickness, close=True) if contours_only else raster.fill_polygons(shapes, keep)
+    found = area.unionByName(raster.fill_circles(circles, keep)).distinct().join(sizes, "filename").where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") < F.col("width")))
+    bare = sizes.join(rows.select("filename"), "filename", "left_anti").select("filename", F.lit("nolabel").alias("label"), F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("x"))
+    return found.select("filename", "label", "y", "x").unionByName(bare)
+
+
+def via_export(shapes: DataFrame, filename: str = "filename", size: str = "size") -> DataFrame:
+    """filename, json: one annotation entry {key: {filename, size, regions, file_attributes}} for each image of shapes (``region_from_points`` in column shape, a map in attributes)."""
+    region = F.struct(F.col("shape").alias("shape_attributes"), F.col("attributes").alias("region_attributes"))
+    grouped = shapes.groupBy(filename, size).agg(F.array_sort(F.collect_list(F.to_json(region))).alias("regions"))
+    body = F.concat(F.lit('{"filename":'), F.to_json(F.array(F.col(filename))), F.lit(',"size":'), F.col(size).cast("string"), F.lit(',"regions":['), F.array_join("regions", ","), F.lit('],"file_attributes":{}}'))
+    quoted = F.regexp_extract(F.to_json(F.array(via_key(F.col(filename), F.col(size)))), r"^\[(.*)\]$", 1)
+    body = F.regexp_replace(body, r'^\{"filename":\[(.*?)\],"size"', r'{"filename":$1,"size"')
+    return grouped.select(F.col(filename).alias("filename"), F.concat(F.lit("{"), quoted, F.lit(":"), body, F.lit("}")).alias("json"))
+
+
+def via_page(regions: DataFrame, sizes: DataFrame, attribute: str) -> DataFrame:
+    """Regions to layout documents: a text region for each, its tag from the attribute; sizes: filename, height, width."""
+    tag = F.get(F.filter(F.map_entries("attributes"), lambda e: e["key"] == attribute), F.lit(0))["value"]
+    custom = F.when(tag.isNotNull(), F.concat(F.lit("structure {type:"), tag, F.lit(";}"))).otherwise("")
+    none = F.array().cast("array<struct<id:string,coords:array<struct<x:int,y:int>>,custom_attribute:string,baseline:array<struct<x:int,y:int>>,text:string>>")
+    one = F.struct(F.col("points").alias("coords"), custom.alias("custom_attribute"))
+    grouped = regions.where(F.col("points").isNotNull()).groupBy("filename").agg(F.array_sort(F.collect_list(one)).alias("rs"))
+    built = F.transform("rs", lambda r, i: F.struct(F.concat(F.lit("region_"), i.cast("string")).alias("id"), r["coords"].alias("coords"), r["custom_attribute"].alias("custom_attribute"), none.alias("text_lines")))
+    return grouped.join(sizes, "filename").select(F.col("filename").alias("image_filename"), F.col("width").alias("image_width"), F.col("height").alias("image_height"), built.alias("text_regions"))
+
+
+def draw(pages: DataFrame, kind: str, key: str = "image_filename", thickness: int = 1, fill: bool = False) -> DataFrame:
+    """key, y, x: the pixels of a page's lines or regions drawn: kind is baselines, lines, text_regions, graphic_regions, separator_regions or page_border."""
+    from .operators import raster
+
+    if kind in ("baselines", "lines"):
+        column = "baseline" if kind == "baselines" else "coords"
+        shapes = text_lines(pages, [key]).select(key, F.col(column).alias("points"))
+    elif kind == "page_border":
+        shapes = pages.select(key, F.col("page_border").alias("points"))
+    elif kind in ("text_regions", "graphic_regions", "separator_regions"):
+        shapes = pages.select(key, F.explode(kind).alias("r")).select(key, F.col("r.coords").alias("points"))
+    else:
+        raise ValueError(f"can't draw {kind}")
+    shapes = shapes.where(F.size("points") > 0)
+    if fill and kind != "baselines":
+        return raster.fill_polygons(shapes, [key])
+    return raster.stroke(shapes, [key], thickness, close=kind != "baselines")
+
+
+def write_documents(documents: DataFrame, path: str, name: str = "image_filename", body: str = "xml") -> None:
+    """A folder for each document under ``path`` with its text in one file; Spark writes them, wherever ``path`` is."""
+    documents.select(F.col(name), F.col(body).alias("value")).repartition(name).write.mode("append").partitionBy(name).text(path)

@@ -215,3 +215,15 @@ def pixel_intersection(spark: SparkSession, d: str) -> DataFrame:
     """Masks' pixels inside the first hundred rows and columns."""
     some = views.regions(spark, d).where("image_id % 50 = 0")
     return raster.fill_rectangles(some, ["image_id"]).where("y < 100 AND x < 100").distinct()
+
+
+@query("SELECT page_id, split_part(url, '/', 3) AS name, 'https://host/iiif/' || split_part(url, '/', 3) || '/info.json' AS info FROM pages")
+def iiif_url(spark: SparkSession, d: str) -> DataFrame:
+    """Page addresses' hosts as the identifiers of image addresses."""
+    url = F.concat(F.lit("https://host/iiif/"), F.get(F.split("url", "/"), F.lit(2)), F.lit("/full/full/0/default.jpg"))
+    return views.table(spark, d, "pages").select("page_id", tx.iiif_parts(url).alias("p")).select("page_id", "p.name", "p.info")
+
+
+@query("SELECT conv_id || '.jpg' AS image_filename, (100 - turn)::INT AS y, 0::INT AS x FROM conversations WHERE 100 - turn >= 0 GROUP BY ALL")
+def draw_baselines(spark: SparkSession, d: str) -> DataFrame:
+    return an.draw(_pages(spark, d), "baselines")

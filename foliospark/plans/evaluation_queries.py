@@ -278,3 +278,20 @@ def epoch_repeat(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT lang, doc_id, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16)::BIGINT AS batch FROM documents")
 def batches(spark: SparkSession, d: str) -> DataFrame:
     return pairing.batches(views.table(spark, d, "documents").select("lang", "doc_id"), 16, "lang", ["doc_id"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, floor(sum(value) * 1000 + 0.5) / 1000 AS total FROM events GROUP BY ALL")
+def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Structured Streaming over the events' files, all of them in one go."""
+    import uuid
+
+    from ..checkpoints import ensure
+    from ..streaming import ingest
+
+    schema = views.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    name, out = f"stream_{uuid.uuid4().hex}", ensure(spark)
+    path = f"{out}/{name}"
+    query = ingest.event_windows(events).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.floor(F.col("total") * 1000 + 0.5) / 1000)
