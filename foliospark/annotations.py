@@ -237,3 +237,56 @@ def draw(pages: DataFrame, kind: str, key: str = "image_filename", thickness: in
 def write_documents(documents: DataFrame, path: str, name: str = "image_filename", body: str = "xml") -> None:
     """A folder for each document under ``path`` with its text in one file; Spark writes them, wherever ``path`` is."""
     documents.select(F.col(name), F.col(body).alias("value")).repartition(name).write.mode("append").partitionBy(name).text(path)
+
+
+def page_json(columns: list[str]) -> Column:
+    """The row's document as JSON, null fields included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def read_via_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """name, type, options of the region attributes that a project file defines; options are null for free text."""
+    text = spark.read.text(path, wholetext=True)
+    found = F.from_json(F.get_json_object("value", "$._via_attributes.region"), "map<string,struct<type:string,options:map<string,string>>>")
+    rows = text.select(F.explode(found).alias("name", "a"))
+    return rows.select("name", F.col("a.type").alias("type"), F.when(F.col("a.type") != "text", F.map_keys("a.options")).alias("options"))
+
+
+def working_items(annotations: DataFrame, sizes: DataFrame, collection: str, height: int | None = None, keep_empty: bool = False) -> DataFrame:
+    """collection, image_name, original_x, original_y, reduced_x, reduced_y, iiif, regions of annotated images.
+
+    sizes: filename, height, width. Reduced sizes keep the shape at ``height`` pixels; null without it. Images
+    without regions are left out unless ``keep_empty``.
+    """
+    from .operators.resample import reduced_dims
+
+    rows = annotations.join(sizes, "filename")
+    rows = rows if keep_empty else rows.where(F.size("regions") > 0)
+    small = reduced_dims(F.col("height"), F.col("width"), height) if height else F.lit(None).cast("struct<height:int,width:int>")
+    return rows.withColumn("_s", small).select(F.lit(collection).alias("collection"), F.col("filename").alias("image_name"), F.col("width").alias("original_x"), F.col("height").alias("original_y"), F.col("_s.width").alias("reduced_x"), F.col("_s.height").alias("reduced_y"), F.when(is_url(F.col("key")), F.col("filename")).alias("iiif"), "regions")
+
+
+def regions_of(annotations: DataFrame, filename: str) -> DataFrame:
+    """Regions of one image; several entries for it are an error."""
+    rows = annotations.where(F.col("filename") == filename)
+    alone = F.when(F.count("*").over(_whole()) <= 1, F.col("regions")).otherwise(F.raise_error(F.lit(f"several entries for {filename}")).cast(_VIA_REGION))
+    return via_regions(rows.withColumn("regions", alone))
+
+
+def _whole():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("filename")
+
+
+def annotate_page(pages: DataFrame, thickness: int, key: str = "image_filename", endpoint_radius: int = 3) -> DataFrame:
+    """key, y, x, channel: training colours of text lines: baselines (r), line shapes filled (g) and ends of baselines (b)."""
+    from .operators import raster
+
+    lines = text_lines(pages, [key])
+    base = lines.where(F.size("baseline") > 0)
+    red = raster.stroke(base.select(key, F.col("baseline").alias("points")), [key], thickness).withColumn("channel", F.lit("r"))
+    green = raster.fill_polygons(lines.select(key, F.col("coords").alias("points")), [key]).withColumn("channel", F.lit("g"))
+    ends = base.select(key, F.explode(F.array(F.get("baseline", F.lit(0)), F.element_at("baseline", -1))).alias("p"))
+    blue = raster.fill_circles(ends.select(key, F.col("p.x").alias("cx"), F.col("p.y").alias("cy"), F.lit(endpoint_radius).alias("r")), [key]).distinct().withColumn("channel", F.lit("b"))
+    return red.unionByName(green).unionByName(blue)

@@ -71,3 +71,11 @@ def decide(z: Column, kind: str) -> Column:
 
 def one_hot(label: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (k == label).cast("int"))
+
+
+def class_table(colours: list[tuple[int, int, int]]) -> list[tuple[int, ...]]:
+    """Rows r, g, b, codes of a multilabel palette made of base colours: all their sums (to 255 at most), a code for each channel that is set."""
+    sums = {(0, 0, 0)}
+    for c in colours:
+        sums |= {tuple(min(255, a + b) for a, b in zip(c, s, strict=True)) for s in sums}
+    return [(*s, *[int(v > 0) for v in s]) for s in sorted(sums)]

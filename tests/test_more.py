@@ -56,3 +56,32 @@ def test_via_masks_export_and_page(spark, tmp_path):
 
 def test_config_digest_ignores_order():
     assert config_digest({"a": 1, "b": [2]}) == config_digest({"b": [2], "a": 1})
+
+
+def test_small_parts(spark, tmp_path):
+    from foliospark.operators import labels, tiling
+
+    assert labels.class_table([(255, 0, 0), (0, 255, 0)]) == [(0, 0, 0, 0, 0, 0), (0, 255, 0, 0, 1, 0), (255, 0, 0, 1, 0, 0), (255, 255, 0, 1, 1, 0)]
+    rows = spark.createDataFrame([(1, y, x, float(x)) for y in range(2) for x in range(3)], "image_id long, y int, x int, v double")
+    assert {(r.x, r.v) for r in tiling.score_images(rows, lambda a: a + a.mean()).collect()} == {(0, 1.0), (1, 2.0), (2, 3.0)}
+    body = """{"_via_attributes": {"region": {"note": {"type": "text"}, "kind": {"type": "dropdown", "options": {"a": "", "b": ""}}}}, "_via_img_metadata":
+      {"p.jpg1": {"filename": "p.jpg", "size": 1, "file_attributes": {}, "regions": [{"region_attributes": {}, "shape_attributes": {"name": "rect", "x": 1, "y": 1, "width": 1, "height": 1}}]},
+       "http://x/q.jpg-1": {"filename": "http://x/q.jpg", "size": -1, "file_attributes": {}, "regions": []}}}"""
+    (tmp_path / "p.json").write_text(body)
+    path = str(tmp_path / "p.json")
+    assert {(r.name, r.type, tuple(r.options or ["-"])) for r in an.read_via_attributes(spark, path).collect()} == {("note", "text", ("-",)), ("kind", "dropdown", ("a", "b"))}
+    sizes = spark.createDataFrame([("p.jpg", 100, 50), ("http://x/q.jpg", 10, 20)], "filename string, height int, width int")
+    via = an.read_via(spark, path)
+    assert [(r.image_name, r.reduced_x, r.reduced_y, r.iiif) for r in an.working_items(via, sizes, "c", 40).collect()] == [("p.jpg", 20, 40, None)]
+    assert an.working_items(via, sizes, "c", keep_empty=True).where("iiif is not null").count() == 1
+    assert an.regions_of(via, "p.jpg").count() == 1 and an.regions_of(via, "none").count() == 0
+
+
+def test_annotated_page_and_json(spark):
+    none = F.array().cast(an.POINTS)
+    line = F.struct(F.lit("l").alias("id"), an.parse_points(F.lit("0,0 4,0 4,4 0,4")).alias("coords"), F.lit("").alias("custom_attribute"), an.parse_points(F.lit("0,5 9,5")).alias("baseline"), F.lit("t").alias("text"))
+    region = F.struct(F.lit("r").alias("id"), none.alias("coords"), F.lit("").alias("custom_attribute"), F.array(line).alias("text_lines"))
+    page = spark.range(1).select(F.lit("p").alias("image_filename"), F.array(region).alias("text_regions"))
+    got = an.annotate_page(page, 1, endpoint_radius=0).groupBy("channel").count().collect()
+    assert {r.channel: r["count"] for r in got} == {"r": 10, "g": 16, "b": 2}
+    assert '"text":"t"' in page.select(an.page_json(["image_filename", "text_regions"])).first()[0]
