@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import read, stage, unstage
 from .components import components
-from .words import shingle_sets
+from .words import chunks, shingle_sets
 
 K = 128
 #: How many of a sketch's values are indexed.
@@ -43,9 +43,11 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist(), shingle)
-            odd = [s * (s | np.uint64(1)) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key_a": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], "key_b": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in odd], "sketch": [s[:k].view(np.int64) for s in sets]})
+            texts = batch["text"].tolist()
+            for lo, hi in chunks(texts):
+                sets = shingle_sets(texts[lo:hi], shingle)
+                total = lambda s: int(s.sum(dtype=np.uint64).view(np.int64))
+                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "key_a": [total(s) for s in sets], "key_b": [total(s * (s | np.uint64(1))) for s in sets], "sketch": [s[:k].view(np.int64) for s in sets]})
 
     return docs.mapInPandas(run, "doc_id long, n long, key_a long, key_b long, sketch array<long>")
 
@@ -99,7 +101,9 @@ def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "s": [s.view(np.int64) for s in shingle_sets(batch["text"].tolist(), shingle)]})
+            texts = batch["text"].tolist()
+            for lo, hi in chunks(texts):
+                yield pd.DataFrame({"id": batch["doc_id"].iloc[lo:hi], "s": [s.view(np.int64) for s in shingle_sets(texts[lo:hi], shingle)]})
 
     return stage(docs.join(ids, "doc_id", "left_semi").mapInPandas(whole, "id long, s array<long>"), "shingle-sets")
 
