@@ -7,11 +7,12 @@ joins their borders, for images of any size.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import kernels
+
 
 def label_grid(mask: np.ndarray) -> np.ndarray:
     """Labels (1 + least reading-order place of the component; 0: background) of a boolean array."""
@@ -34,31 +35,31 @@ def label_grid(mask: np.ndarray) -> np.ndarray:
 def label_images(mask: DataFrame) -> DataFrame:
     """Foreground (image_id, y, x) -> + component: its first pixel in reading order, as y * (width of the box around the foreground) + x."""
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(image["y"].min()), int(image["x"].min())
-        y, x = image["y"].to_numpy() - y0, image["x"].to_numpy() - x0
-        grid = np.zeros((y.max() + 1, x.max() + 1), bool)
-        grid[y, x] = True
-        first = label_grid(grid)[y, x] - 1
-        return pd.DataFrame({"image_id": image["image_id"], "y": image["y"], "x": image["x"], "cy": first // grid.shape[1] + y0, "cx": first % grid.shape[1] + x0})
-
-    out = mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int")).distinct().groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, cy int, cx int")
+    rows = mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int")).distinct()
+    out = _labelled(rows, ["image_id"], "image_id long")
     return out.select("image_id", "y", "x", F.struct("cy", "cx").alias("component"))
 
 
+def _labelled(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """keys, y, x, cy, cx: each pixel's component within its key's pixels."""
+
+    def kernel(r: tuple) -> list[tuple]:
+        y0, x0 = int(r.y.min()), int(r.x.min())
+        grid = np.zeros((int(r.y.max()) - y0 + 1, int(r.x.max()) - x0 + 1), bool)
+        grid[r.y - y0, r.x - x0] = True
+        first = label_grid(grid)[r.y - y0, r.x - x0] - 1
+        return [(*[getattr(r, k) for k in keys], r.y, r.x, first // grid.shape[1] + y0, first % grid.shape[1] + x0)]
+
+    out = kernels.run(kernels.pack(rows, keys), kernel, f"{schema}, y array<int>, x array<int>, cy array<int>, cx array<int>")
+    return kernels.unpack(out, keys, ["y", "x", "cy", "cx"])
+
+
 def label_tiled(mask: DataFrame, tile: int = 1024, checkpoint: bool = True) -> DataFrame:
     """The same labels for images of any size: tiles are labelled in tasks, touching ones joined until nothing changes."""
     rows = mask.select("image_id", "y", "x").distinct().withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(part["y"].min()), int(part["x"].min())
-        y, x = part["y"].to_numpy() - y0, part["x"].to_numpy() - x0
-        grid = np.zeros((y.max() + 1, x.max() + 1), bool)
-        grid[y, x] = True
-        first = label_grid(grid)[y, x] - 1
-        return part[["image_id", "y", "x"]].assign(cy=first // grid.shape[1] + y0, cx=first % grid.shape[1] + x0)
-
-    local = rows.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id long, y int, x int, cy int, cx int").withColumn("node", F.struct("cy", "cx"))
+    rows = rows.select(*[F.col(c).cast(t) for c, t in (("image_id", "long"), ("ty", "long"), ("tx", "long"), ("y", "int"), ("x", "int"))])
+    local = _labelled(rows, ["image_id", "ty", "tx"], "image_id long, ty long, tx long").withColumn("node", F.struct("cy", "cx"))
     border = local.where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)).select("image_id", "y", "x", "node")
     near = border.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])))
     near = near.select("image_id", (F.col("y") + F.col("d.y")).alias("y"), (F.col("x") + F.col("d.x")).alias("x"), F.col("node").alias("other"))

@@ -1,4 +1,4 @@
-"""Masks to shapes: contours, polygons, rotated boxes, quadrilaterals, lines. NumPy inside one task for each image."""
+"""Masks to shapes: contours, polygons, rotated boxes, quadrilaterals, lines. NumPy kernels on images."""
 
 from __future__ import annotations
 
@@ -6,23 +6,27 @@ from collections import deque
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .components import label_grid
 
 _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right
 POINTS = "array<struct<x:int,y:int>>"
 
 
-def grid_of(image: pd.DataFrame) -> tuple[np.ndarray, int, int]:
-    y0, x0 = int(image["y"].min()), int(image["x"].min())
-    grid = np.zeros((int(image["y"].max()) - y0 + 1, int(image["x"].max()) - x0 + 1), bool)
-    grid[image["y"].to_numpy() - y0, image["x"].to_numpy() - x0] = True
+def grid_of(image: tuple) -> tuple[np.ndarray, int, int]:
+    y0, x0 = int(image.y.min()), int(image.x.min())
+    grid = np.zeros((int(image.y.max()) - y0 + 1, int(image.x.max()) - x0 + 1), bool)
+    grid[image.y - y0, image.x - x0] = True
     return grid, y0, x0
 
 
+def _packed(mask: DataFrame) -> DataFrame:
+    return kernels.pack(mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int")), ["image_id"])
+
+
 def outer_contour(grid: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
     """(x, y) around the component whose first pixel in reading order is ``start``: Moore tracing, corners only."""
     h, w = grid.shape
@@ -141,9 +145,9 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
     if mode not in ("min_rectangle", "quadrilateral", "rectangle"):
         raise ValueError(f"unknown mode: {mode}")
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
+    def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
-        h, w = (int(image["height"].iat[0]), int(image["width"].iat[0])) if "height" in image else (grid.shape[0] + y0, grid.shape[1] + x0)
+        h, w = (int(image.height), int(image.width)) if sized else (grid.shape[0] + y0, grid.shape[1] + x0)
         out = []
         for ring in contours(grid):
             ring = [(x + x0, y + y0) for x, y in ring]
@@ -158,23 +162,23 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
                 continue
             area = polygon_area(corners)
             if area > min_area * h * w:
-                out.append((image["image_id"].iat[0], [{"x": max(0, min(w, x)), "y": max(0, min(h, y))} for x, y in corners], area))
-        return pd.DataFrame(out, columns=["image_id", "points", "area"])
+                out.append((image.image_id, [{"x": max(0, min(w, x)), "y": max(0, min(h, y))} for x, y in corners], area))
+        return out
 
-    rows = mask.select("image_id", "y", "x") if sizes is None else mask.select("image_id", "y", "x").join(sizes, "image_id")
-    return rows.groupBy("image_id").applyInPandas(run, f"image_id long, points {POINTS}, area double")
+    sized = sizes is not None
+    rows = _packed(mask).join(sizes.select("image_id", "height", "width"), "image_id") if sized else _packed(mask)
+    return kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double")
 
 
 def find_polygons(mask: DataFrame, min_area: float = 0.0) -> DataFrame:
     """image_id, points (a closed ring of the outer contour), area; rings under three corners or ``min_area`` pixels are left out."""
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
+    def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
         rings = [[(x + x0, y + y0) for x, y in ring] for ring in contours(grid)]
-        kept = [(image["image_id"].iat[0], [{"x": x, "y": y} for x, y in [*r, r[0]]], polygon_area(r)) for r in rings if len(r) > 2 and polygon_area(r) >= min_area]
-        return pd.DataFrame(kept, columns=["image_id", "points", "area"])
+        return [(image.image_id, [{"x": x, "y": y} for x, y in [*r, r[0]]], polygon_area(r)) for r in rings if len(r) > 2 and polygon_area(r) >= min_area]
 
-    return mask.select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, f"image_id long, points {POINTS}, area double")
+    return kernels.run(_packed(mask), kernel, f"image_id long, points {POINTS}, area double")
 
 
 def skeleton(grid: np.ndarray) -> np.ndarray:
@@ -229,21 +233,21 @@ def trace_lines(grid: np.ndarray, every: int = 5) -> list[list[tuple[int, int]]]
 def find_lines(mask: DataFrame, every: int = 5) -> DataFrame:
     """image_id, points of the centre line of each component."""
 
-    def run(image: pd.DataFrame) -> pd.DataFrame:
+    def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
-        rows = [(image["image_id"].iat[0], [{"x": x + x0, "y": y + y0} for x, y in line]) for line in trace_lines(grid, every)]
-        return pd.DataFrame(rows, columns=["image_id", "points"])
+        return [(image.image_id, [{"x": x + x0, "y": y + y0} for x, y in line]) for line in trace_lines(grid, every)]
 
-    return mask.select("image_id", "y", "x").groupBy("image_id").applyInPandas(run, f"image_id long, points {POINTS}")
+    return kernels.run(_packed(mask), kernel, f"image_id long, points {POINTS}")
 
 
-def _map_images(pixels: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
-    def run(image: pd.DataFrame) -> pd.DataFrame:
-        image = image.sort_values(["y", "x"])
-        a = image[value].to_numpy(float).reshape(image["y"].nunique(), -1)
-        return image[["image_id", "y", "x"]].assign(**{value: kernel(a).ravel()})
+def _map_images(pixels: DataFrame, filtered: Callable[[np.ndarray], np.ndarray], value: str) -> DataFrame:
+    def kernel(r: tuple) -> list[tuple]:
+        a = np.asarray(getattr(r, value), np.float64).reshape(int(r.y.max() - r.y.min()) + 1, -1)
+        return [(r.image_id, r.y, r.x, filtered(a).ravel())]
 
-    return pixels.select("image_id", "y", "x", F.col(value).cast("double")).groupBy("image_id").applyInPandas(run, f"image_id long, y int, x int, {value} double")
+    rows = pixels.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int"), F.col(value).cast("double"))
+    out = kernels.run(kernels.pack(rows, ["image_id"], [value]), kernel, f"image_id long, y array<int>, x array<int>, {value} array<double>")
+    return kernels.unpack(out, ["image_id"], ["y", "x", value])
 
 
 def denoise(pixels: DataFrame, strength: float = 20 / 255, patch: int = 3, search: int = 7, value: str = "v") -> DataFrame:
