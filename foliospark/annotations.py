@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.geometry import format_points, from_xy, parse_points, rectangle, scale_points
 
 POINTS = "array<struct<x:int,y:int>>"
-_TEXT = "TextEquiv struct<Unicode:string>"
 _SHAPE = "_id string, _custom string, Coords struct<_points:string>"
 _LINE = f"struct<{_SHAPE.replace(' ', ':').replace(',:', ',')},Baseline:struct<_points:string>,TextEquiv:struct<Unicode:string>>"
 _REGION = _SHAPE.replace(" ", ":").replace(",:", ",")
@@ -269,16 +269,10 @@ def working_items(annotations: DataFrame, sizes: DataFrame, collection: str, hei
 def regions_of(annotations: DataFrame, filename: str) -> DataFrame:
     """Regions of one image; several entries for it are an error."""
     rows = annotations.where(F.col("filename") == filename)
-    alone = F.when(F.count("*").over(_whole()) <= 1, F.col("regions")).otherwise(F.raise_error(F.lit(f"several entries for {filename}")).cast(_VIA_REGION))
+    alone = F.when(F.count("*").over(W.partitionBy("filename")) <= 1, F.col("regions")).otherwise(F.raise_error(F.lit(f"several entries for {filename}")).cast(_VIA_REGION))
     return via_regions(rows.withColumn("regions", alone))
 
 
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("filename")
-
-
 def annotate_page(pages: DataFrame, thickness: int, key: str = "image_filename", endpoint_radius: int = 3) -> DataFrame:
     """key, y, x, channel: training colours of text lines: baselines (r), line shapes filled (g) and ends of baselines (b)."""
     from .operators import raster

@@ -56,7 +56,6 @@ def via_labels_per_image(spark: SparkSession, d: str) -> DataFrame:
     return an.labels_per_image(labelled, "image_id", "label").withColumn("labels", F.array_join("labels", ","))
 
 
-_XY = "[{i: 1, x: l_partkey % 50, y: l_suppkey % 40}]"
 _P = "p AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 50 AS x1, l_suppkey % 40 AS y1, l_partkey % 50 + l_linenumber + 3 AS x2, l_suppkey % 40 + 2 AS y2, l_partkey % 50 + 1 AS x3, l_suppkey % 40 + l_linenumber + 5 AS y3 FROM lineitem)"
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
-from ..operators import labels, losses, metrics, pairing
-from ..operators import resample
+from ..operators import labels, losses, metrics, pairing, resample
 from ..views import r6, with_views
 
 QUERIES: dict = {}
@@ -247,7 +246,7 @@ def missing_labels(spark: SparkSession, d: str) -> DataFrame:
     return pairing.pair_labels(*_files(spark, d)).where(F.col("label").isNull()).select("image")
 
 
-@query(f"WITH {_FILES}, c AS (SELECT doc_id, p, 'set/labels/p' || doc_id || '.' || e AS path FROM i, (VALUES (0, 'tif'), (1, 'png'), (2, 'jpg')) AS t(p, e2), (SELECT 0) z), x AS (SELECT doc_id, p, 'set/labels/p' || doc_id || '.' || e2 AS path FROM i, (VALUES (0, 'tif'), (1, 'png'), (2, 'jpg')) AS t(p, e2)), h AS (SELECT DISTINCT 'set/labels/p' || doc_id || '.' || e AS path FROM k) SELECT doc_id, path FROM (SELECT x.doc_id, x.path, row_number() OVER (PARTITION BY x.doc_id ORDER BY p) AS n FROM x JOIN h ON h.path = x.path) WHERE n = 1")
+@query(f"WITH {_FILES}, x AS (SELECT doc_id, p, 'set/labels/p' || doc_id || '.' || e2 AS path FROM i, (VALUES (0, 'tif'), (1, 'png'), (2, 'jpg')) AS t(p, e2)), h AS (SELECT DISTINCT 'set/labels/p' || doc_id || '.' || e AS path FROM k) SELECT doc_id, path FROM (SELECT x.doc_id, x.path, row_number() OVER (PARTITION BY x.doc_id ORDER BY p) AS n FROM x JOIN h ON h.path = x.path) WHERE n = 1")
 def first_existing(spark: SparkSession, d: str) -> DataFrame:
     _, marks = _files(spark, d)
     tries = F.explode(F.array(*[F.struct(F.lit(p).alias("priority"), F.lit(e).alias("e")) for p, e in enumerate(("tif", "png", "jpg"))]))
@@ -255,8 +254,6 @@ def first_existing(spark: SparkSession, d: str) -> DataFrame:
     return pairing.first_existing(c, marks, "doc_id")
 
 
-SQL["first_existing"] = SQL["first_existing"].replace("c AS (SELECT doc_id, p, 'set/labels/p' || doc_id || '.' || e AS path FROM i, (VALUES (0, 'tif'), (1, 'png'), (2, 'jpg')) AS t(p, e2), (SELECT 0) z), ", "")
-
 _RANK = "SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) <= round_even((SELECT count(*) FROM documents) * 0.15::DOUBLE, 0) AS chosen FROM documents"
 
 
