@@ -29,7 +29,7 @@ from .elias_fano import CODEBOOK, Trie, build_trie
 from .words import chunks, words
 
 MU = 300.0
-PIECE = 12_000_000  # characters
+PIECE = 8_000_000  # characters
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB2F)
 _NARROW = np.uint64(0xFFFFFFFF)
 
