@@ -115,14 +115,17 @@ def via_rect_from_points(spark: SparkSession, d: str) -> DataFrame:
     return _triangles(spark, d).select("id", "n", an.region_from_points(F.col("p"), "rect").alias("s")).select("id", "n", "s.x", "s.y", "s.width", "s.height")
 
 
-_SOME = "(SELECT DISTINCT image_id, x, y, w, h FROM regions WHERE image_id % 50 = 0)"
+_FILLED = "SELECT DISTINCT image_id, y, unnest(range(x, x + w + 1)) AS x FROM (SELECT image_id, unnest(range(y, y + h + 1)) AS y, x, w FROM regions)"
 
 
-@query(f"SELECT DISTINCT image_id, (y + i)::INT AS y, (x + j)::INT AS x FROM {_SOME} r, range(61) a(i), range(61) b(j) WHERE i <= h AND j <= w", "regions")
+def _mask_size(pixels: DataFrame) -> DataFrame:
+    """image_id, pixels and a sum over their places, of the union of an image's shapes."""
+    return pixels.distinct().groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+
+
+@query(f"SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM ({_FILLED}) GROUP BY image_id", "regions")
 def rect_fill_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Masks of the images that the set holds for this exercise: every fiftieth."""
-    some = views.regions(spark, d).where("image_id % 50 = 0")
-    return raster.fill_rectangles(some, ["image_id"]).distinct()
+    return _mask_size(raster.fill_rectangles(views.regions(spark, d), ["image_id"]))
 
 
 @query(f"""WITH {_P}, s AS (SELECT DISTINCT id, n, x1, y1, x2, y2, x3, y3 FROM p), e AS (SELECT id, n, x1 AS k1, y1 AS k2, x2 AS k3, y2 AS k4, x3 AS k5, y3 AS k6, unnest([x1, x2, x3]) AS xa, unnest([y1, y2, y3]) AS ya, unnest([x2, x3, x1]) AS xb, unnest([y2, y3, y1]) AS yb FROM s),
@@ -133,10 +136,10 @@ def polygon_fill_mask(spark: SparkSession, d: str) -> DataFrame:
     return raster.fill_polygons(_triangles(spark, d).select("id", "n", F.col("p").alias("points")), ["id", "n"])
 
 
-@query("SELECT image_id, (cy + i)::INT AS y, (cx + j)::INT AS x FROM (SELECT DISTINCT image_id, x AS cx, y AS cy, h - 8 AS r FROM regions WHERE image_id % 50 = 0) c, range(-20, 21) a(i), range(-20, 21) b(j) WHERE i * i + j * j <= r * r GROUP BY ALL", "regions")
+@query("SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM (SELECT DISTINCT image_id, cy + i AS y, cx + j AS x FROM (SELECT image_id, x AS cx, y AS cy, h - 8 AS r, i, unnest(range(-12, 13)) AS j FROM (SELECT *, unnest(range(-12, 13)) AS i FROM regions)) WHERE i * i + j * j <= r * r) GROUP BY image_id", "regions")
 def circle_fill_mask(spark: SparkSession, d: str) -> DataFrame:
-    c = views.regions(spark, d).where("image_id % 50 = 0").select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("h") - 8).alias("r"))
-    return raster.fill_circles(c, ["image_id"]).distinct()
+    c = views.regions(spark, d).select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("h") - 8).alias("r"))
+    return _mask_size(raster.fill_circles(c, ["image_id"]))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -209,11 +212,10 @@ def url_strings(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "pages").select("page_id", tx.slug(url).alias("slug"), tx.stem(url).alias("stem"), an.is_url(url).alias("is_url"), an.via_key(url, F.col("page_id")).alias("key"))
 
 
-@query("SELECT DISTINCT image_id, y, x FROM (SELECT image_id, (y + i)::INT AS y, (x + j)::INT AS x FROM (SELECT DISTINCT image_id, x, y, w, h FROM regions WHERE image_id % 50 = 0) r, range(61) a(i), range(61) b(j) WHERE i <= h AND j <= w) INTERSECT SELECT image_id, y::INT, x::INT FROM (SELECT DISTINCT image_id FROM regions), range(100) a(y), range(100) b(x)", "regions")
+@query(f"SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM (SELECT image_id, y, x FROM ({_FILLED}) WHERE y < 100 AND x < 100) GROUP BY image_id", "regions")
 def pixel_intersection(spark: SparkSession, d: str) -> DataFrame:
-    """Masks' pixels inside the first hundred rows and columns."""
-    some = views.regions(spark, d).where("image_id % 50 = 0")
-    return raster.fill_rectangles(some, ["image_id"]).where("y < 100 AND x < 100").distinct()
+    """Masks intersected with a window of a hundred rows and columns."""
+    return _mask_size(raster.fill_rectangles(views.regions(spark, d), ["image_id"]).where("y < 100 AND x < 100"))
 
 
 @query("SELECT page_id, split_part(url, '/', 3) AS name, 'https://host/iiif/' || split_part(url, '/', 3) || '/info.json' AS info FROM pages")

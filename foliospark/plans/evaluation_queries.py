@@ -173,18 +173,18 @@ def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     r = views.regions(spark, d).withColumn("area", F.col("w") * F.col("h"))
     ties = ("y", "x", "w", "h")
     first = largest(r, 1, "area", ties=ties)
-    last = largest(r.withColumn("area", -F.col("area")), 1, "area", ties=ties).where(F.col("image_id") % 5 != 0)
+    last = largest(r.withColumn("area", -F.col("area")), 1, "area", ties=ties).where("w * h > 200")  # smaller ones count as not found
     return first.select("image_id", "x", "y", "w", "h"), last.select("image_id", "x", "y", "w", "h")
 
 
-@query(f"WITH a AS {_BEST.format('x', 'DESC')}, b AS (SELECT * FROM {_BEST.format('x', 'ASC')} WHERE image_id % 5 <> 0) SELECT a.image_id, {_R6(f'({_OVER})::DOUBLE / (a.w * a.h + b.w * b.h - {_OVER})')} AS iou FROM a JOIN b ON a.image_id = b.image_id", "regions")
+@query(f"WITH a AS {_BEST.format('x', 'DESC')}, b AS (SELECT * FROM {_BEST.format('x', 'ASC')} WHERE w * h > 200) SELECT a.image_id, {_R6(f'({_OVER})::DOUBLE / (a.w * a.h + b.w * b.h - {_OVER})')} AS iou FROM a JOIN b ON a.image_id = b.image_id", "regions")
 def iou_rect(spark: SparkSession, d: str) -> DataFrame:
     a, b = _ends(spark, d)
     both = a.select("image_id", *[F.col(c).alias(f"{c}1") for c in "xywh"]).join(b.select("image_id", *[F.col(c).alias(f"{c}2") for c in "xywh"]), "image_id")
     return metrics.rectangle_iou(both).select("image_id", r6(F.col("iou")).alias("iou"))
 
 
-@query(f"WITH a AS {_BEST.format('x', 'DESC')}, b AS (SELECT * FROM {_BEST.format('x', 'ASC')} WHERE image_id % 5 <> 0) SELECT {_R6(f'avg(coalesce(({_OVER})::DOUBLE / (a.w * a.h + b.w * b.h - {_OVER}), 0))')} AS miou, count(*) FILTER (b.image_id IS NULL) AS missing FROM a LEFT JOIN b ON a.image_id = b.image_id", "regions")
+@query(f"WITH a AS {_BEST.format('x', 'DESC')}, b AS (SELECT * FROM {_BEST.format('x', 'ASC')} WHERE w * h > 200) SELECT {_R6(f'avg(coalesce(({_OVER})::DOUBLE / (a.w * a.h + b.w * b.h - {_OVER}), 0))')} AS miou, count(*) FILTER (b.image_id IS NULL) AS missing FROM a LEFT JOIN b ON a.image_id = b.image_id", "regions")
 def page_miou(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mean_page_iou(*_ends(spark, d)).withColumn("miou", r6(F.col("miou")))
 
@@ -228,12 +228,12 @@ def _files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ext = F.when(F.col("doc_id") % 2 == 0, ".jpg").otherwise(".png")
     images = views.table(spark, d, "documents").select(F.concat(F.lit("set/images/p"), F.col("doc_id").cast("string"), ext).alias("path"))
     marks = views.table(spark, d, "labels").select(F.concat(F.lit("set/labels/p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".jpg").otherwise(".png")).alias("path"))
-    both = views.table(spark, d, "labels").where("doc_id % 5 = 0").select(F.concat(F.lit("set/labels/p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".png").otherwise(".jpg")).alias("path"))
+    both = views.table(spark, d, "labels").where("toxic = 1").select(F.concat(F.lit("set/labels/p"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".png").otherwise(".jpg")).alias("path"))
     return images, marks.union(both)
 
 
 _FILES = """i AS (SELECT doc_id, 'set/images/p' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS path, CASE WHEN doc_id % 2 = 0 THEN 'jpg' ELSE 'png' END AS e FROM documents),
- k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'jpg' ELSE 'png' END AS e FROM labels UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'png' ELSE 'jpg' END FROM labels WHERE doc_id % 5 = 0)"""
+ k AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'jpg' ELSE 'png' END AS e FROM labels UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'png' ELSE 'jpg' END FROM labels WHERE toxic = 1)"""
 
 
 @query(f"WITH {_FILES}, r AS (SELECT i.path AS image, 'set/labels/p' || k.doc_id || '.' || k.e AS label, row_number() OVER (PARTITION BY i.path ORDER BY k.e <> i.e, k.e) AS n FROM i LEFT JOIN k ON k.doc_id = i.doc_id) SELECT image, label FROM r WHERE n = 1")
