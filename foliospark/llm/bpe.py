@@ -28,102 +28,94 @@ from pyspark.sql import types as T
 from .common import read
 
 _BIT = [1 << k for k in range(256)]
-_CACHE = 150_000  # pre-tokens remembered in a task, and as many that were lately
+_CACHE = 300_000  # pre-tokens remembered in a task, and as many that were lately
 _LONG = 400  # longer pre-tokens (in characters) aren't remembered
 
 
-class RankQueue:
-    """Positions by merge rank; ``pop`` gives the lowest rank's leftmost one.
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token.
 
-    Two levels of bitmap: ``low`` has a word of 256 ranks where any is set, ``top`` a bit for each such word.
+    ``buckets`` has the list positions of each rank (one, or a heap); ``low`` has a word of 256 ranks where any
+    rank has positions, ``top`` a bit for each such word. The queue is written out in the loops: calls would
+    take as long as its steps.
     """
-
-    __slots__ = ("buckets", "low", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, int | list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        buckets = self.buckets
-        if rank in buckets:
-            held = buckets[rank]
-            if type(held) is list:
-                heappush(held, position)
-            else:
-                buckets[rank] = [held, position] if held < position else [position, held]
-            return
-        buckets[rank] = position
-        word = rank >> 8
-        low = self.low
-        if word in low:
-            low[word] |= _BIT[rank & 255]
-        else:
-            low[word] = _BIT[rank & 255]
-            self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        top = self.top
-        word = (top & -top).bit_length() - 1
-        bits = self.low[word]
-        bit = (bits & -bits).bit_length() - 1
-        rank = word << 8 | bit
-        held = self.buckets[rank]
-        if type(held) is list:
-            position = heappop(held)
-            if held:
-                return rank, position
-        else:
-            position = held
-        del self.buckets[rank]
-        bits ^= _BIT[bit]
-        if bits:
-            self.low[word] = bits
-        else:
-            del self.low[word]
-            self.top = top ^ 1 << word
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n, find = len(piece), ranks.get
+    n, find, bit_of = len(piece), ranks.get, _BIT
     end = list(range(1, n + 1))  # of the symbol that begins here
     before = list(range(-1, n))
-    current = [find(piece[i : i + 2], -1) for i in range(n)]  # rank of the symbol's merge with the next; -1: none, or no symbol
-    current[n - 1] = -1
-    queue = RankQueue()
-    push, pop = queue.push, queue.pop
-    for i, rank in enumerate(current):
-        if rank >= 0:
-            push(rank, i)
-    while queue.top:
-        rank, i = pop()
+    current = [-1] * n  # rank of the symbol's merge with the next; -1: none, or no symbol
+    buckets: dict[int, int | list[int]] = {}
+    low: dict[int, int] = {}
+    top = 0
+    added = []
+    for i in range(n - 1):
+        rank = find(piece[i : i + 2])
+        if rank is not None:
+            current[i] = rank
+            added.append((rank, i))
+    while True:
+        for rank, i in added:  # push
+            if rank in buckets:
+                held = buckets[rank]
+                if type(held) is list:
+                    heappush(held, i)
+                else:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                continue
+            buckets[rank] = i
+            word = rank >> 8
+            if word in low:
+                low[word] |= bit_of[rank & 255]
+            else:
+                low[word] = bit_of[rank & 255]
+                top |= 1 << word
+        if not top:
+            break
+        word = (top & -top).bit_length() - 1  # pop: first set bit of the top, then of its word
+        bits = low[word]
+        least = bits & -bits
+        rank = word << 8 | least.bit_length() - 1
+        i = buckets[rank]
+        if type(i) is list:
+            held, i = i, heappop(i)
+            gone = not held
+        else:
+            gone = True
+        if gone:
+            del buckets[rank]
+            if bits == least:
+                del low[word]
+                top ^= 1 << word
+            else:
+                low[word] = bits ^ least
+        added = []
         if current[i] != rank:  # stale: a neighbour's merge took a part of it
             continue
         j = end[i]
         stop = end[i] = end[j]
         current[j] = -1
+        current[i] = -1
         if stop < n:
             before[stop] = i
-            new = current[i] = find(piece[i : end[stop]], -1)
-            if new >= 0:
-                push(new, i)
-        else:
-            current[i] = -1
+            new = find(piece[i : end[stop]])
+            if new is not None:
+                current[i] = new
+                added.append((new, i))
         if i:
             h = before[i]
-            new = current[h] = find(piece[h:stop], -1)
-            if new >= 0:
-                push(new, h)
+            new = find(piece[h:stop])
+            if new is None:
+                current[h] = -1
+            else:
+                current[h] = new
+                added.append((new, h))
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
+        j = end[i]
+        out.append(ranks[piece[i:j]])
+        i = j
     return out
 
 

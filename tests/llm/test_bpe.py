@@ -27,14 +27,11 @@ def test_very_long_pretokens(piece):
     assert list(array("I", CODEC.encode(piece))) == REFERENCE.encode_ordinary(piece)
 
 
-def test_queue_gives_lowest_rank_then_leftmost():
-    q = bpe.RankQueue()
-    for rank, at in ((70_000, 1), (3, 9), (3, 2), (300, 5), (3, 4)):
-        q.push(rank, at)
-    got = []
-    while q.top:
-        got.append(q.pop())
-    assert got == [(3, 2), (3, 4), (3, 9), (300, 5), (70_000, 1)]
+def test_positions_merge_lowest_rank_first_then_leftmost():
+    ranks = {bytes([b]): b for b in range(256)} | {b"bc": 70_000, b"aa": 300, b"aaaa": 301, b"aab": 299}
+    assert bpe.merge(b"aaaaa", ranks) == [301, 97]
+    assert bpe.merge(b"aaab", ranks) == [300, 97, 98]
+    assert bpe.merge(b"aabc", ranks) == [299, 99]
 
 
 def test_cache_forgets_without_harm(monkeypatch):
