@@ -71,51 +71,62 @@ def training_position(share: Column, slot: Column, schedules: Sequence[Sequence[
     return out
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, source, size, source_size, target, taken, positions, position.
+def _key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`"))
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """``placed`` without its key."""
+    return placed(docs, *args, **options).drop("key").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def placed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """A row for each row of ``docs``: doc_id, key, source, size, source_size, target, taken, positions, position.
+
+    key: a hash of the row's id, text and source.
 
     size: words of the text (null: 0). taken: words that the mix takes; a source's sum to its target, rounded.
     Whole passes over the source come first, then a last one, in hash order of the ids, that ends within one
     document. positions: training positions (0 to 1) at which the document's copies begin, ascending, empty
-    if nothing is taken; position: the first, null if there is none. Rows are range-sorted by position.
+    if nothing is taken; position: the first, null if there is none. ``mix`` range-sorts the rows by position.
 
     Null sources are a source of their own, null ids are as ids that come first in hash order; repeated rows
     are documents of their own; without rows or words nothing is taken; other columns are ignored.
     """
     text = F.col(f"`{text_col}`")
     place = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"), F.substring(place, 1, 3).alias("bucket")), "mix-sizes")
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"), F.substring(place, 1, 3).alias("bucket"), _key(id_col, text_col, source_col).alias("key")), "mix-sizes")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
     before = F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("bucket_size")
     by_bucket = buckets.withColumn("before", before).alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "bucket", "before", "source_size", "slot", "target")
     inner = W.partitionBy("source", "bucket").orderBy("place", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = rows.withColumn("within", F.sum("size").over(inner) - F.col("size")).alias("d").join(by_bucket.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
+    out = rows.withColumn("within", F.sum("size").over(inner) - F.col("size")).alias("d").join(by_bucket.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket")))
     starts, goal = (F.col("before") + F.col("within")).alias("start"), F.round("target").cast("long").alias("goal")
-    placed = placed.select("doc_id", "d.source", "size", "source_size", "target", "slot", starts, goal)
+    out = out.select("doc_id", "key", "d.source", "size", "source_size", "target", "slot", starts, goal)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")
-    placed = placed.withColumn("passes", passes)
+    out = out.withColumn("passes", passes)
     rest = F.col("goal") - F.col("passes") * F.col("source_size")
     taken = F.col("passes") * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("start"), F.col("size")))
     begins = F.filter(F.transform(F.sequence(F.lit(0), F.col("passes")), lambda k: k * F.col("source_size") + F.col("start")), lambda x: (x < F.col("goal")) & (F.col("size") > 0))
     at = F.transform(begins, lambda x: F.round(training_position(x.cast("double") / F.col("goal"), F.col("slot"), schedules), 9))
-    out = placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), at.alias("positions"))
-    return out.withColumn("position", F.get("positions", F.lit(0))).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    out = out.select("doc_id", "key", "source", "size", "source_size", "target", taken.alias("taken"), at.alias("positions"))
+    return out.withColumn("position", F.get("positions", F.lit(0)))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them, with their own columns: a row for each copy, ordered by training position.
 
-    Copies are whole documents; the one that the last pass cuts is kept if at least half of it is taken.
-    Rows are matched by id, so ids should be unique; rows with a null id are left out.
+    Copies are whole documents; the one that the last pass cuts is kept if at least half of it is taken. Rows that
+    agree in id, text and source are taken as one of them as often as all of them together.
     """
-    id_col = options.get("id_col", "doc_id")
-    copies = mix(docs, **options).where(F.col("doc_id").isNotNull() & (F.col("size") > 0))
-    whole = F.round(F.col("taken") / F.col("size")).cast("int")
-    copies = copies.groupBy("doc_id").agg(F.max(F.struct(F.size("positions").alias("n"), F.slice("positions", F.lit(1), whole).alias("at"))).alias("m"))
-    copies = copies.select(F.col("doc_id").alias("_mix_id"), F.explode("m.at").alias("_mix_at"))
-    out = docs.join(copies, docs[id_col] == F.col("_mix_id"))
-    return out.orderBy("_mix_at", "_mix_id").select(*[docs[c] for c in docs.columns])
+    names = [options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
+    copies = placed(docs, **options).where(F.col("size") > 0)
+    whole = F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
+    copies = copies.select(F.col("key").alias("_mix_copy"), F.explode(whole).alias("_mix_at"))
+    one = F.row_number().over(W.partitionBy("_mix_key").orderBy(F.lit(1)))
+    rows = docs.withColumn("_mix_key", _key(*names)).withColumn("_mix_row", one).where(F.col("_mix_row") == 1)
+    return rows.join(copies, F.col("_mix_key") == F.col("_mix_copy")).orderBy("_mix_at", "_mix_key").select(*[rows[c] for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read, stage, unstage
@@ -64,7 +63,8 @@ def candidates(classes: DataFrame, values: str, sure: float) -> DataFrame:
     one order for all, the first m - ceil(sure * m) + 1 suffice (prefix filter); the order is rarest first.
     """
     rows = classes.select("id", F.size(values).alias("m"), F.explode(values).alias("v"))
-    common = rows.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    # written before the join, here and below, so that the join's sides are plain shuffles whose hot partitions can be split
+    common = stage(rows.groupBy("v").agg(F.count("*").alias("df")).where(F.col("df") > 1), "common-values")
     held = rows.join(common, "v").groupBy("id", "m").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
     # the m - size(held) values that no other class has are the rarest
     prefix = F.col("m") - F.ceil(F.col("m") * sure - 1e-9).cast("int") + 1 - (F.col("m") - F.size("held"))
@@ -143,6 +143,7 @@ def _hidden_links(full: DataFrame, labels: DataFrame, known: DataFrame, percent:
     lists = stage(lists.withColumn("short", F.col("i") <= F.col("m") - F.ceil(F.col("m") * (2 * s / (1 + s)) - 1e-9) + 1), "exact-lists")
     sizes = lists.groupBy("v").agg(F.count_if("short").alias("n1"), F.count("*").alias("n2"), F.min("c").alias("low"), F.max("c").alias("high"))
     sizes = sizes.where((F.col("n1") > 0) & (F.col("low") != F.col("high"))).withColumn("large", F.col("n1") * F.col("n2") > SMALL_LIST)
+    sizes = stage(sizes, "list-sizes")
     lists = lists.join(sizes.select("v", "n1", "n2", "large"), "v")
     one, two = (lists.select("v", "large", "short", *[F.col(c).alias(c + k) for c in ("id", "m", "i", "c")]) for k in ("1", "2"))
     smaller = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("id1") < F.col("id2")))
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     same_id = nodes.where(F.col("rep") != F.col("other")).select("doc_id", F.col("rep").alias("a")).join(members, "doc_id").select("a", F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
     reps = stage(real.join(classes, keys).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "classes")
     lists = stage(candidates(reps.withColumn("sketch", F.slice("sketch", 1, INDEXED)), "sketch", _surely(percent / 100, INDEXED)), "lists")
-    ends = lists.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high"))
+    ends = stage(lists.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high")), "list-ends")
     star = lists.join(ends, "v").select("id", F.explode(F.array("low", "high")).alias("hub"))
     star = star.where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     star = stage(star, "star-pairs")
@@ -209,6 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     labels = components(links)
     labelled = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where(F.col("least") != F.col("most")).select("v")
+    mixed = stage(mixed, "mixed-lists")
     # classes of lists that still hold several components: now by the rarest values of their full sets
     full = _full_sets(docs, labelled.join(mixed, "v", "left_semi").select(F.col("id").alias("doc_id")), shingle)
     more = _hidden_links(full, labels, star, percent)

@@ -92,6 +92,12 @@ def test_mix_meets_targets_and_caps(spark):
     assert [r.position for r in rows if r.position is not None] == sorted(r.position for r in rows if r.position is not None)
 
 
+def test_repeated_rows_are_taken_as_often_as_they_are_there(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "x"), (1, "d e", "s", "y"), (None, "f", "s", "z")], "doc_id long, text string, source string, key string")
+    rows = [tuple(r) for r in mixing.apply_mix(df).collect()]
+    assert sorted(rows, key=repr) == sorted([tuple(r) for r in df.collect()], key=repr)
+
+
 def test_position_inverts_the_schedule(spark):
     for slot, knots in enumerate(mixing.SCHEDULES):
         shares = [i / 10 for i in range(11)]
