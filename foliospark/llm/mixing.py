@@ -72,7 +72,10 @@ def training_position(share: Column, slot: Column, schedules: Sequence[Sequence[
 
 
 def _key(id_col: str, text_col: str, source_col: str) -> Column:
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`"))
+    """128 bits of a row's id, text and source, nulls told from empty values."""
+    columns = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
+    parts = [*columns, *[c.isNull() for c in columns]]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("b"), *reversed(parts)).alias("b"))
 
 
 def mix(docs: DataFrame, *args, **options) -> DataFrame:
@@ -83,7 +86,7 @@ def mix(docs: DataFrame, *args, **options) -> DataFrame:
 def placed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each row of ``docs``: doc_id, key, source, size, source_size, target, taken, positions, position.
 
-    key: a hash of the row's id, text and source.
+    key: a hash (128 bits) of the row's id, text and source.
 
     size: words of the text (null: 0). taken: words that the mix takes; a source's sum to its target, rounded.
     Whole passes over the source come first, then a last one, in hash order of the ids, that ends within one

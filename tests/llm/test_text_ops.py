@@ -93,9 +93,9 @@ def test_mix_meets_targets_and_caps(spark):
 
 
 def test_repeated_rows_are_taken_as_often_as_they_are_there(spark):
-    df = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "x"), (1, "d e", "s", "y"), (None, "f", "s", "z")], "doc_id long, text string, source string, key string")
-    rows = [tuple(r) for r in mixing.apply_mix(df).collect()]
-    assert sorted(rows, key=repr) == sorted([tuple(r) for r in df.collect()], key=repr)
+    df = spark.createDataFrame([(1, "a b c", "s", "x"), (1, "a b c", "s", "x"), (1, "d e", "s", "y"), (None, "f", "s", "z"), (2, "s", None, "w"), (2, None, "s", "v")], "doc_id long, text string, source string, key string")
+    rows = [tuple(r) for r in mixing.apply_mix(df, weights=(9, 1)).collect()]  # sizes are 9 and 1: every row once
+    assert sorted(rows, key=repr) == sorted([tuple(r) for r in df.where("text is not null").collect()], key=repr)
 
 
 def test_position_inverts_the_schedule(spark):
