@@ -206,7 +206,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     star = star.where(F.col("id") != F.col("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     star = stage(star, "star-pairs")
     similarity = percent / 100
-    links = _verified(stage(_estimated(star, reps, similarity, k), "pairs"), docs, shingle, percent)
+    pairs = stage(_estimated(star, reps, similarity, k), "pairs")
+    links = _verified(pairs, docs, shingle, percent)
+    unstage(pairs, ends)
     labels = components(links)
     labelled = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where(F.col("least") != F.col("most")).select("v")
@@ -218,7 +220,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     placed = nodes.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.coalesce(own == F.col("doc_id"), F.lit(True))).alias("kept"))
+    out = stage(out.select("doc_id", "n_shingles", own.alias("component_id"), (F.coalesce(own == F.col("doc_id"), F.lit(True))).alias("kept")), "near-duplicates")
+    unstage(sigs, reps, lists, star, links, mixed, full, more)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
