@@ -146,3 +146,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids[2] == ids[1] - {201}
     assert ids[3] <= ids[2] and seen[3].count() == seen[4].count() and ids[4] == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
+
+
+@pytest.mark.parametrize("every", [5, 6, 8, 12])
+def test_passages_with_many_edits(spark, every):
+    rng = random.Random(every)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    docs = []
+    for i in range(40):
+        passage = fresh(60)
+        changed = [f"c{rng.randrange(10**7)}" if k % every == every - 1 else w for k, w in enumerate(passage)]
+        docs += [(2 * i, fresh(30) + passage + fresh(30)), (2 * i + 1, fresh(20) + changed + fresh(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    assert {(r.doc_id, r.source_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
