@@ -160,3 +160,21 @@ def test_passages_with_many_edits(spark, every):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
     rows = substring_dedup.repeated_passages(df).collect()
     assert {(r.doc_id, r.source_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
+def test_passages_whose_first_holders_have_too_little(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(73)
+    docs = [fresh(20) + passage[:48] + fresh(20), fresh(20) + passage[25:] + fresh(20), *(fresh(20) + passage + fresh(20) for _ in range(5))]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id, r.begin, r.end) for r in rows} == {(i, 2, 20, 93) for i in range(3, 7)}
+
+
+def test_passages_reach_as_far_as_texts_are_alike(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(400)
+    docs = [passage[:170] + fresh(9), passage[230:] + fresh(9), fresh(9) + passage, fresh(5) + passage + fresh(5)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert (3, 2, 5, 405) in {(r.doc_id, r.source_id, r.begin, r.end) for r in rows}
