@@ -84,6 +84,25 @@ def runs(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
+def windows(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``runs``, for long ones: hashes of runs of powers of two are put together."""
+    m = len(w.hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    power, length, out, done = w.hashes, 1, np.zeros(m, np.uint64), 0
+    while True:
+        if n & length:
+            out = mix(out * _PRIME + power[done : done + m])
+            done += length
+        if done == n:
+            break
+        power = mix(power[:-length] * _PRIME + power[length:])
+        length *= 2
+    rows = w.rows()
+    at = np.flatnonzero(rows[:m] == rows[n - 1 :])
+    return out[at], at
+
+
 def shingle_sets(texts: Sequence[str | None], n: int) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending; fewer than ``n`` words make one shingle, none none."""
     out: list[np.ndarray] = []

@@ -1,5 +1,6 @@
 """Near-duplicates, repeated passages, and the pipeline."""
 
+import itertools
 import random
 import re
 
@@ -93,26 +94,70 @@ def test_passages_against_planted_ones(spark):
     assert sorted((r.begin, r.end) for r in rows if r.doc_id == 5) == [(0, 80), (380, 460)]
 
 
-def test_chain_beats_brute_force_never():
+def test_chains_against_brute_force():
     rng = random.Random(6)
-    for _ in range(30):
-        x = sorted(rng.randrange(120) for _ in range(9))
-        y = [rng.randrange(120) for _ in range(9)]
-        got = substring_dedup.chains(x, y, max_gap=10**6)
-        assert sorted(i for c in got for i in c) == list(range(9))
-        assert all(x[a] < x[b] and y[a] < y[b] for c in got for a, b in zip(c, c[1:], strict=False))
-
-        def value(c, x=x, y=y):
-            total = 8.0
-            for a, b in zip(c, c[1:], strict=False):
-                total += min(8, x[b] - x[a], y[b] - y[a]) - 0.2 * (x[b] - x[a] + y[b] - y[a])
-            return total
-
-        best = max(value(c) for c in got)
-        import itertools
-
-        chains = [c for k in (1, 2, 3) for c in itertools.combinations(range(9), k) if all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))]
-        assert best >= max(map(value, chains)) - 16  # each step's worth is capped by the words it adds
+    for _ in range(60):
+        m = 9
+        x = sorted(rng.randrange(80) for _ in range(m))
+        y, n = [rng.randrange(80) for _ in range(m)], [rng.randint(4, 15) for _ in range(m)]
+        ends = [(a + max(1, k - 3), b + max(1, k - 3)) for a, b, k in zip(x, y, n, strict=True)]
+        follows = lambda i, j: ends[i][0] <= x[j] and ends[i][1] <= y[j]  # noqa: B023, E731
+        got = substring_dedup.chains(x, y, n, 0.2, max_gap=10**6)
+        assert sorted(i for c in got for i in c) == list(range(m))
+        assert all(follows(a, b) for c in got for a, b in itertools.pairwise(c))
+
+        def value(c):
+            return sum(n[i] for i in c) - 0.2 * sum(x[b] - ends[a][0] + y[b] - ends[a][1] for a, b in itertools.pairwise(c))  # noqa: B023
+
+        every = [c for k in range(1, m + 1) for c in itertools.combinations(range(m), k) if all(follows(a, b) for a, b in itertools.pairwise(c))]
+        assert value(got[0]) == pytest.approx(max(map(value, every)))
+
+
+def test_exact_passages_against_brute_force(spark):
+    """Every word of 50 or more in a row that an earlier document has is in a row; every row is what it says."""
+    rng = random.Random(31)
+    pool = [[f"p{k}w{i}" for i in range(rng.randint(40, 140))] for k in range(12)]
+    vocabulary = [f"v{i}" for i in range(60)]
+    docs = []
+    for _ in range(70):
+        text = []
+        for _ in range(rng.randint(1, 5)):
+            one = rng.choice(pool)
+            i = rng.randrange(0, max(1, len(one) - 45))
+            part = one[i : i + rng.randint(30, 120)]
+            if rng.random() < 0.4:
+                part = [w if rng.random() > 0.06 else rng.choice(vocabulary) for w in part]
+            text += part + [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        docs.append(text)
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    covered = [set() for _ in docs]
+    for r in rows:
+        covered[r.doc_id].update(range(r.begin, r.end))
+        a, b = docs[r.doc_id][r.begin : r.end], docs[r.source_id][r.source_begin : r.source_end]
+        assert r.source_id < r.doc_id and min(len(a), len(b)) >= 50 and r.identity >= 0.8
+        assert substring_dedup._distance(a, b) <= r.edits
+    first = {}
+    for i, w in enumerate(docs):
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) < i:
+                assert set(range(k, k + 50)) <= covered[i]
+
+
+def test_fuzzy_passages_whose_first_holders_have_too_little(spark):
+    rng = random.Random(14)
+    fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(90)
+    fuzzy = lambda: [w if k % 11 else f"e{rng.randrange(10**7)}" for k, w in enumerate(passage, rng.randrange(11))]
+    docs = [fresh(20) + passage[:45] + fresh(20), fresh(20) + passage[45:] + fresh(20), *(fresh(20) + fuzzy() + fresh(20) for _ in range(30))]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.end - r.begin >= 75} == set(range(3, 32))
+
+
+def test_periodic_texts_give_few_rows(spark):
+    docs = [(0, "again " * 400), (1, "x y z " + "again " * 700), (2, "some other text " * 100)]
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert 1 <= len(rows) <= 40 and {r.doc_id for r in rows} == {1}
+    assert set(range(3, 703)) == {k for r in rows for k in range(r.begin, r.end)}
 
 
 def test_passages_odd_rows(odd_docs, no_docs):
