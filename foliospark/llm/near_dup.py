@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,12 @@ from .words import chunks, shingle_sets
 K = 128
 #: How many of a sketch's values are indexed.
 INDEXED = 32
-#: Standard errors by which sketches may share less than sets of the asked similarity do on average.
-MARGIN = 4.5
+#: Chance with which two sets of just the asked similarity may share fewer sketch values than counted on.
+MISS = 1e-9
 #: Broadcast ids of documents that take part up to this number; join by shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Lists of more pairs than this are compared in blocks of this many classes.
-SMALL_LIST, BLOCK = 4096, 512
+#: Lists of more pairs than this are compared in blocks of this many shingles.
+SMALL_LIST, BLOCK = 4096, 200_000
 
 
 def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
@@ -52,8 +53,13 @@ def sketches(docs: DataFrame, shingle: int, k: int) -> DataFrame:
 
 
 def _surely(similarity: float, k: int) -> float:
-    """Share of k values that two sets of the similarity surely share."""
-    return similarity - MARGIN * float(np.sqrt(similarity * (1 - similarity) / k))
+    """Share of k values that two sets of the similarity share but for a chance of ``MISS``: the binomial tail, which bounds that of draws without replacement."""
+    tail = 0.0
+    for t in range(k + 1):
+        tail += comb(k, t) * similarity**t * (1 - similarity) ** (k - t)
+        if tail > MISS:
+            return t / k
+    return 1.0
 
 
 def candidates(classes: DataFrame, values: str, sure: float) -> DataFrame:
@@ -132,19 +138,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 
 def _hidden_links(full: DataFrame, labels: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between different components of the classes with these full sets; ``known`` pairs needn't be found.
+    """Links (a, b) between different components of the classes with these full sets; ``known`` pairs have been compared already.
 
     Of two sets the one of fewer values (of equals, of the smaller id) is found by its first m - ceil(2s / (1 + s) m)
     + 1 rarest values among the other's first m - ceil(s m) + 1. Lists of few pairs are joined; those of many are
-    compared in blocks, of which only links come out.
+    compared in blocks of bounded bytes, of which only links that join two components come out.
     """
     s = percent / 100
     lists = candidates(full, "s", s).join(labels, "id", "left").select("v", "id", "m", "i", F.coalesce("component", "id").alias("c"))
     lists = stage(lists.withColumn("short", F.col("i") <= F.col("m") - F.ceil(F.col("m") * (2 * s / (1 + s)) - 1e-9) + 1), "exact-lists")
-    sizes = lists.groupBy("v").agg(F.count_if("short").alias("n1"), F.count("*").alias("n2"), F.min("c").alias("low"), F.max("c").alias("high"))
+    sizes = lists.groupBy("v").agg(F.count_if("short").alias("n1"), F.count("*").alias("n2"), F.sum(F.when(F.col("short"), F.col("m")).otherwise(0)).alias("m1"), F.sum("m").alias("m2"), F.min("c").alias("low"), F.max("c").alias("high"))
     sizes = sizes.where((F.col("n1") > 0) & (F.col("low") != F.col("high"))).withColumn("large", F.col("n1") * F.col("n2") > SMALL_LIST)
     sizes = stage(sizes, "list-sizes")
-    lists = lists.join(sizes.select("v", "n1", "n2", "large"), "v")
+    lists = lists.join(sizes.select("v", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(b) for c, b in (("m1", "b1"), ("m2", "b2"))], "large"), "v")
     one, two = (lists.select("v", "large", "short", *[F.col(c).alias(c + k) for c in ("id", "m", "i", "c")]) for k in ("1", "2"))
     smaller = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("id1") < F.col("id2")))
     enough = 1 + F.least(F.col("m1") - F.col("i1"), F.col("m2") - F.col("i2")) >= s / (1 + s) * (F.col("m1") + F.col("m2")) - 1e-9
@@ -152,11 +158,10 @@ def _hidden_links(full: DataFrame, labels: DataFrame, known: DataFrame, percent:
     pairs = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     sets = full.select("id", "s")
     found = _compare(pairs, sets, percent)
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     large = lists.where("large").join(sets, "id")
-    left = large.where("short").withColumn("k1", F.pmod(F.xxhash64("id"), blocks("n1")).cast("int")).withColumn("k2", spread("n2"))
-    right = large.withColumn("k2", F.pmod(F.xxhash64("id"), blocks("n2")).cast("int")).withColumn("k1", spread("n1"))
+    left = large.where("short").withColumn("k1", F.pmod(F.xxhash64("id"), F.col("b1")).cast("int")).withColumn("k2", spread("b2"))
+    right = large.withColumn("k2", F.pmod(F.xxhash64("id"), F.col("b2")).cast("int")).withColumn("k1", spread("b1"))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -165,15 +170,22 @@ def _hidden_links(full: DataFrame, labels: DataFrame, known: DataFrame, percent:
             ends = np.cumsum([len(x) for x in (*a["s"], *b["s"])])
             starts = np.append(0, ends[:-1])
             theirs, first = place[starts[len(a)] :], starts[len(a) :] - starts[len(a)]
-            m2, c2, id2 = b["m"].to_numpy(), b["c"].to_numpy(), b["id"].to_numpy()
+            m2, id2 = b["m"].to_numpy(), b["id"].to_numpy()
+            label = b["c"].to_numpy().copy()  # components so far; only links that join two come out
             held = np.zeros(len(values), np.int64)
             for k, (own, m, c) in enumerate(zip(a["id"], a["m"], a["c"], strict=True)):
                 mine = place[starts[k] : ends[k]]
                 held[mine] = 1
                 inter = np.add.reduceat(held[theirs], first)
                 held[mine] = 0
-                hit = (100 * inter >= percent * (m + m2 - inter)) & (c2 != c)
-                out += [(min(own, x), max(own, x)) for x in id2[hit].tolist()]
+                hit = np.flatnonzero(100 * inter >= percent * (m + m2 - inter))
+                joined = {c: c}
+                for x in hit:
+                    if label[x] not in joined:
+                        joined[label[x]] = c
+                        out.append((min(own, id2[x]), max(own, id2[x])))
+                if len(joined) > 1:
+                    label[np.isin(label, list(joined))] = c
         return pd.DataFrame(out, columns=["a", "b"])
 
     by, columns = ["v", "k1", "k2"], ["v", "k1", "k2", "id", "m", "c", "s"]
@@ -186,8 +198,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     """doc_id, n_shingles, component_id, kept of each row.
 
     Documents whose shingle sets have a Jaccard similarity of ``percent`` or more are linked; component_id is the
-    smallest id reachable over links, itself included, and kept tells that it is the row's own. Texts without
-    words (or null) are linked with nothing. Rows of equal id count as one document that has all their links;
+    smallest id reachable over links, itself included, and kept tells that it is the row's own. Two texts of just the
+    asked similarity may fail to meet in a list of sketch values with a chance of 1e-9. Ids must be integers or cast to
+    them. Texts without words (or null) are linked with nothing. Rows of equal id count as one document that has all their links;
     rows with a null id are linked with nothing, have a null component_id and are kept. Texts of any length are
     taken whole. An empty table gives an empty table; other columns are ignored.
     """
@@ -199,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     members = real.select("doc_id", *keys).distinct().join(classes, keys).select("doc_id", "rep")
     nodes = members.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
     same_id = nodes.where(F.col("rep") != F.col("other")).select("doc_id", F.col("rep").alias("a")).join(members, "doc_id").select("a", F.col("rep").alias("b")).where(F.col("a") != F.col("b"))
-    reps = stage(real.join(classes, keys).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "n", "sketch").dropDuplicates(["id", "n"]), "classes")
+    reps = stage(real.join(classes, keys).where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "sketch", *keys).dropDuplicates(["id", "n", "key_a", "key_b"]).select("id", "n", "sketch"), "classes")
     lists = stage(candidates(reps.withColumn("sketch", F.slice("sketch", 1, INDEXED)), "sketch", _surely(percent / 100, INDEXED)), "lists")
     ends = stage(lists.groupBy("v").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high")), "list-ends")
     star = lists.join(ends, "v").select("id", F.explode(F.array("low", "high")).alias("hub"))
@@ -208,20 +221,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
     similarity = percent / 100
     pairs = stage(_estimated(star, reps, similarity, k), "pairs")
     links = _verified(pairs, docs, shingle, percent)
-    unstage(pairs, ends)
+    unstage(ends)
     labels = components(links)
     labelled = lists.join(labels, "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("v").agg(F.min("c").alias("least"), F.max("c").alias("most")).where(F.col("least") != F.col("most")).select("v")
     mixed = stage(mixed, "mixed-lists")
     # classes of lists that still hold several components: now by the rarest values of their full sets
     full = _full_sets(docs, labelled.join(mixed, "v", "left_semi").select(F.col("id").alias("doc_id")), shingle)
-    more = _hidden_links(full, labels, star, percent)
+    more = _hidden_links(full, labels, pairs, percent)
     labels = components(links.unionByName(more).unionByName(same_id))
     placed = nodes.join(labels, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     out = stage(out.select("doc_id", "n_shingles", own.alias("component_id"), (F.coalesce(own == F.col("doc_id"), F.lit(True))).alias("kept")), "near-duplicates")
-    unstage(sigs, reps, lists, star, links, mixed, full, more)
+    unstage(sigs, reps, lists, star, pairs, links, mixed, full, more)
     return out
 
 

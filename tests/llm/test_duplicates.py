@@ -63,11 +63,36 @@ def test_lists_in_blocks_find_the_same_links(spark, monkeypatch):
     base = " ".join(f"b{i}" for i in range(120))
     docs = list(enumerate(edited(rng, base, rng.choice([2, 3, 4, 5])) for _ in range(60)))
     monkeypatch.setattr(near_dup, "SMALL_LIST", 10)
-    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    monkeypatch.setattr(near_dup, "BLOCK", 800)
     rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85, 3).collect()
     assert {r.doc_id: r.component_id for r in rows} == brute_components(docs, 3, 85)
 
 
+def test_links_that_the_estimate_rejects_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "_estimated", lambda pairs, *_: pairs.where("a < 0"))
+    base = [f"b{i}" for i in range(200)]
+    docs = [(0, " ".join(base)), (1, " ".join([*base[:100], "other", *base[101:]])), (2, " ".join(f"c{i}" for i in range(90)))]
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 0, 2: 2}
+
+
+def test_a_dense_group_with_a_small_sketch(spark, monkeypatch):
+    """Near copies whose similarities lie about the threshold, by so few sketch values that most links are hidden."""
+    rng = random.Random(21)
+    base = " ".join(f"b{i}" for i in range(150))
+    docs = list(enumerate(edited(rng, base, rng.choice([1, 2, 3, 4, 6])) for _ in range(400)))
+    monkeypatch.setattr(near_dup, "INDEXED", 16)
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 85, 3, k=16).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(docs, 3, 85)
+
+
+def test_one_id_with_two_texts_of_equal_length(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(5, one), (5, two), (7, one + " x"), (8, two + " x"), (9, "something else entirely here and now")]
+    rows = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {5: 5, 7: 5, 8: 5, 9: 9}
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = near_dup.near_duplicates(odd_docs).collect()
     assert len(rows) == 10
