@@ -4,17 +4,20 @@
    counts, and its tokens as places in that list.
 2. Each piece sends its distinct bigrams with their training counts to shards (by the context; very frequent
    contexts, of which there can be few, are spread over all shards by their followers).
-3. A shard adds the counts, builds its trie and answers every piece: training counts of its contexts, quantised
-   counts of its bigrams, found by context-relative successor search.
+3. A shard adds the counts, builds its trie in a file of the shared folder, maps that and answers every piece:
+   training counts of its contexts, quantised smoothed probabilities of its bigrams, found by context-relative
+   successor search.
 4. Each piece meets its answers again and scores its documents.
 
-A bigram's probability interpolates with the unigram model (Dirichlet prior): p(w|v) = (c(v,w) + mu * p1(w)) /
-(c(v) + mu), p1(w) = (c(w) + 1) / (N + V + 1); quantised counts are rounded down, so all probabilities sum to
-one at most. What moves over the network are distinct words and bigrams of pieces, so it grows with the corpus.
+A bigram's probability interpolates with the unigram model (Dirichlet prior): p(w|v) = a(w|v) + b(v) * p1(w), with
+a(w|v) = c(v,w) / (c(v) + mu), b(v) = mu / (c(v) + mu) and p1(w) = (c(w) + 1) / (N + V + 1); quantised probabilities
+are rounded down, so all probabilities sum to one at most. What moves over the network are distinct words and bigrams of pieces, so it grows with the corpus.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,12 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage, unstage
+from .common import read, shared_dir, stage, unstage
 from .elias_fano import CODEBOOK, Trie, build_trie
 from .words import chunks, words
 
 MU = 300.0
-PIECE = 8_000_000  # characters
+PIECE = 4_000_000  # characters
+_SHARD = 2_000_000  # bytes of text for each shard
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB2F)
 _NARROW = np.uint64(0xFFFFFFFF)
 
@@ -158,9 +162,37 @@ def _send(table: DataFrame, heavy: np.ndarray, shards: int) -> DataFrame:
     return table.select("piece", "train", "first", "n_words", "bounds", "words", "tokens").mapInPandas(run, _SENT)
 
 
-def _answers(sent: DataFrame, heavy: dict[int, int], keep_trie: bool) -> DataFrame:
+def shard_count(docs: DataFrame, text_col: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    return max(16, -(-size // _SHARD))
+
+
+def _folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path for tasks to write files in; None where it isn't one (tries are read from memory there)."""
+    path = shared_dir(spark)
+    path = path.removeprefix("file://").removeprefix("file:")
+    return None if ":/" in path else os.path.join(path, "foliospark-staged")
+
+
+def open_trie(block: bytes, folder: str | None) -> Trie:
+    """The trie, mapped from a file that lives as long as the map."""
+    if folder is None:
+        return Trie(memoryview(block))
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"lm-trie-{uuid.uuid4().hex}")
+    try:
+        with open(path, "xb") as file:
+            file.write(block)
+        with open(path, "rb") as file:
+            return Trie(memoryview(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)))
+    finally:
+        os.unlink(path)
+
+
+def _answers(sent: DataFrame, heavy: dict[int, int], n_docs: int, mu: float, keep_trie: bool) -> DataFrame:
     spread_hashes = np.array(sorted(heavy), np.uint64)
     spread_counts = np.array([heavy[int(h)] for h in spread_hashes], np.int64)
+    folder = _folder(sent.sparkSession)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shard = int(group["shard"].iloc[0])
@@ -174,10 +206,19 @@ def _answers(sent: DataFrame, heavy: dict[int, int], keep_trie: bool) -> DataFra
         sv, sw = v[order], w[order]
         new = np.flatnonzero(np.append(True, (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1]))) if len(order) else np.zeros(0, np.int64)
         total = np.add.reduceat(n[order], new) if len(new) else np.zeros(0, np.int64)
-        block = build_trie(sv[new], sw[new], total)
-        trie = Trie(memoryview(block))
-        own = np.flatnonzero(np.append(True, sv[new][1:] != sv[new][:-1])) if len(new) else np.zeros(0, np.int64)
-        known, in_all = sv[new][own], np.add.reduceat(total, own) if len(own) else np.zeros(0, np.int64)
+        sv, sw = sv[new], sw[new]
+        del n, order, seen
+        own = np.flatnonzero(np.append(True, sv[1:] != sv[:-1])) if len(new) else np.zeros(0, np.int64)
+        known, in_all = sv[own], np.add.reduceat(total, own) if len(own) else np.zeros(0, np.int64)
+        # counts of contexts over all shards
+        whole = np.where(known == _BEGIN, n_docs, in_all)
+        if len(spread_hashes):
+            k = np.minimum(np.searchsorted(spread_hashes, known), len(spread_hashes) - 1)
+            whole = np.where(spread_hashes[k] == known, spread_counts[k], whole)
+        block = build_trie(sv, sw, total / (np.repeat(whole, np.diff(np.append(own, len(sv)))) + mu), mu / (whole + mu))
+        del sv, sw, total
+        trie = open_trie(block, folder)
+        block = block if keep_trie else None
         codes = trie.lookup(v, w)
         out, at = [], 0
         for piece, h, f, s in zip(group["piece"], heads, fans, group["spread"], strict=True):
@@ -190,7 +231,7 @@ def _answers(sent: DataFrame, heavy: dict[int, int], keep_trie: bool) -> DataFra
             out.append((piece, shard, count.astype("<i8").tobytes(), codes[at : at + int(f.sum())].tobytes(), s, wide_counts.astype("<i8").tobytes(), None, None, None))
             at += int(f.sum())
         plain = ~np.isin(known, spread_hashes) & (known != _BEGIN)
-        out.append((None, shard, None, None, None, None, int(plain.sum()), int(in_all[plain].sum()), block if keep_trie else None))
+        out.append((None, shard, None, None, None, None, int(plain.sum()), int(in_all[plain].sum()), block))
         return pd.DataFrame(out, columns=["piece", "shard", "contexts", "codes", "spread", "spread_counts", "types", "tokens", "trie"])
 
     return sent.groupBy("shard").applyInPandas(run, _ANSWER)
@@ -202,17 +243,16 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
     base_score: sum of log10((c + 1) / (N + V + 1)) over the tokens; score: sum of log10 p. A text's tokens are
     its words (A-Z lower-cased) and one end. Null and empty texts have the end only; repeated rows and rows
     with a null id are documents like others; without training rows every token is unknown and both scores are
-    0. Other columns are ignored.
+    0. Very long texts are taken whole. Ids must be integers or cast to them. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shard_count(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    n_docs = rows.where("train").count()
     table = stage(pieces(rows, shards), "lm-pieces")
     heavy = _heavy(table, shards)
     sent = _send(table, np.array(sorted(heavy), np.uint64), shards)
-    answers = stage(_answers(sent, heavy, False), "lm-answers")
+    answers = stage(_answers(sent, heavy, n_docs, mu, False), "lm-answers")
     sums = answers.where(F.col("piece").isNull()).agg(F.sum("types"), F.sum("tokens")).first()
-    n_docs = rows.where("train").count()
     seen = [c for c in heavy.values() if c]
     n_total = (sums[1] or 0) + sum(seen) + n_docs
     n_types = (sums[0] or 0) + len(seen) + (n_docs > 0)
@@ -243,7 +283,7 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
             count[heads[plain]] = answered[plain]
             count[d] = count[d + 1] = n_docs
             p1 = (count + 1) / (n_total + n_types + 1)
-            p = (CODEBOOK[codes] + mu * p1[follower]) / (count[context] + mu)
+            p = CODEBOOK[codes] + mu / (count[context] + mu) * p1[follower]
             known = count[own] > 0
             base, own_score = np.log10(p1[own]), np.log10(p)[inverse]
             out.append(pd.DataFrame({"doc_id": pd.array(r.doc_ids, dtype="Int64"), "train": train, "n_tokens": np.diff(np.append(start, len(own))), "n_known": np.add.reduceat(known.astype(np.int64), start), "train_tokens": n_total, "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(own_score, start)}))
@@ -254,13 +294,13 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
     return left.groupBy("piece").cogroup(right.groupBy("piece")).applyInPandas(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def tries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def tries(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """The model itself: shard, trie (a block for ``Trie``), for writing as a table."""
-    shards = shards or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shard_count(docs, text_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(True).alias("train"))
     table = stage(pieces(rows, shards), "lm-pieces")
     heavy = _heavy(table, shards)
-    return _answers(_send(table, np.array(sorted(heavy), np.uint64), shards), heavy, True).where(F.col("trie").isNotNull()).select("shard", "trie")
+    return _answers(_send(table, np.array(sorted(heavy), np.uint64), shards), heavy, rows.count(), mu, True).where(F.col("trie").isNotNull()).select("shard", "trie")
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:

@@ -64,19 +64,32 @@ def test_elias_fano(values, queries):
     assert ef.successor(np.array(queries, np.uint64)).tolist() == np.searchsorted(values, queries).tolist()
 
 
-def test_trie_lookup():
+def test_trie_lookup(tmp_path):
     rng = np.random.default_rng(0)
     pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (900, 2))})
     v, w = (np.array(x, np.uint64) * np.uint64(2**40 + 7) for x in zip(*pairs, strict=True))
-    counts = rng.integers(1, 10**6, len(pairs))
-    trie = elias_fano.Trie(elias_fano.build_trie(v, w, counts))
-    assert (trie.lookup(v, w) == elias_fano.quantise(counts)).all()
+    p = 10.0 ** rng.uniform(-10, 0, len(pairs))
+    backoff = rng.uniform(0, 1, len(np.unique(v)))
+    block = elias_fano.build_trie(v, w, p, backoff)
     have = set(pairs)
     gone = [(a, b) for a in range(62) for b in range(62) if (a, b) not in have]
     gv, gw = (np.array(x, np.uint64) * np.uint64(2**40 + 7) for x in zip(*gone, strict=True))
-    assert not trie.lookup(gv, gw).any()
-    kept = elias_fano.CODEBOOK[elias_fano.quantise(counts)]
-    assert (kept <= counts).all() and (kept > counts * 0.91).all()
+    folder = tmp_path / "tries"
+    for trie in (elias_fano.Trie(block), lm.open_trie(block, None), lm.open_trie(block, str(folder))):
+        assert (trie.lookup(v, w) == elias_fano.quantise(p)).all() and np.allclose(trie.backoff, backoff)
+        assert not trie.lookup(gv, gw).any()
+    assert not list(folder.iterdir())  # the map outlives the file
+    kept = elias_fano.CODEBOOK[elias_fano.quantise(p)]
+    assert (kept <= p * 1.000001).all() and (kept > p * 0.91).all()
+
+
+def test_elias_fano_of_many_values():
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(0, 2**40, 300_000).astype(np.uint64))
+    block = elias_fano.encode(values, 2**40)
+    ef, some = elias_fano.EliasFano(block), rng.integers(0, 2**40, 300_000).astype(np.uint64)
+    assert (ef[np.arange(len(values))] == values).all() and (ef.successor(some) == np.searchsorted(values, some)).all()
+    assert len(block) < len(values) * 40 / 8
 
 
 def test_lm_against_brute_force(spark, monkeypatch):
@@ -97,7 +110,7 @@ def test_lm_against_brute_force(spark, monkeypatch):
     for i, t in docs:
         seq = ["<", *t.lower().split(), ">"]
         base = sum(math.log10(p1(w)) for w in seq[1:])
-        own = sum(math.log10((elias_fano.CODEBOOK[elias_fano.quantise(np.array([b[v, w]]))[0]] + 50 * p1(w)) / (c[v] + 50)) for v, w in zip(seq, seq[1:], strict=False))
+        own = sum(math.log10(elias_fano.CODEBOOK[elias_fano.quantise(np.array([b[v, w] / (c[v] + 50)]))[0]] + 50 / (c[v] + 50) * p1(w)) for v, w in zip(seq, seq[1:], strict=False))
         r = rows[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.train) == (len(seq) - 1, sum(c[w] > 0 for w in seq[1:]), total, i % 4 != 0)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, own, rel_tol=1e-9)
