@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Training takes labelled rows up to a documented bound. Each n-gram's presence is counted over toxic and clean
-training texts on the executors; the ratio r = log((p/|p|) / (q/|q|)) of its smoothed counts scales the feature.
-The n-grams whose counts differ most significantly make the feature table (bounded), and a logistic
-regression over the scaled presences is fitted on the training rows' few active features. Scoring looks the
-table's n-grams up in whole texts, in pieces of bounded length, without any shuffle.
+Training takes labelled rows up to a documented bound, which bounds all else. Each n-gram's presence is counted over
+toxic and clean training texts on the executors; the ratio r = log((p/|p|) / (q/|q|)) of its smoothed counts, with
+sums over all n-grams, scales the feature. All n-grams whose counts differ significantly between the classes (a
+likelihood-ratio test, no cap on how many) make the feature table, and a logistic regression over the scaled
+presences is fitted on the training rows' active features. Scoring looks the table's n-grams up in whole texts, in
+pieces of bounded length, without any shuffle.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stage
+from .common import read, stage, unstage
 
 ORDERS = (3, 4, 5, 6)
 #: Bound on labelled rows for fitting; which rows: a hash of the id.
 MAX_ROWS = 20_000
-MAX_FEATURES = 2048
+#: Likelihood ratio statistic (chi-square of one degree) from which an n-gram is a feature: chance 8e-6.
+SIGNIFICANT = 20.0
 THRESHOLD = 0.7
 _PIECE = 400_000  # characters handled at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -177,10 +179,11 @@ def _fit_logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, y:
     return theta[:m], float(theta[m])
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, significant: float = SIGNIFICANT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on up to about ``max_rows`` labelled rows (label 1: toxic, 0: not; rows with other labels are left out).
 
-    Without rows of both classes the model is its prior, by which empty training sets score 0.5.
+    Without rows of both classes the model is its prior, by which empty training sets score 0.5. Null texts are
+    empty, very long ones are taken whole; repeated rows count as often as they occur; ids only choose rows.
     """
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     n = rows.count()
@@ -192,16 +195,19 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX
     toxic, clean = int(n_toxic[0]), int(n_toxic[1]) - int(n_toxic[0])
     if not toxic or not clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
-    # z of the difference of the two shares of texts that hold the n-gram
-    share = (F.col("p") + F.col("q") + 1) / (toxic + clean + 2)
-    z = F.abs(F.col("p") / toxic - F.col("q") / clean) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
-    best = counts.where(F.col("p") + F.col("q") >= 3).withColumn("z", z).orderBy(F.col("z").desc(), "gram").limit(max_features)
-    table = best.select("gram", "p", "q").toPandas()
+    n = toxic + clean
+    here, away = F.col("p") + F.col("q"), F.lit(n) - F.col("p") - F.col("q")
+    cells = [(F.col("p"), here, toxic), (F.col("q"), here, clean), (toxic - F.col("p"), away, toxic), (clean - F.col("q"), away, clean)]
+    statistic = sum(F.when(o > 0, 2 * o * F.log(o * float(n) / (row * float(column)))).otherwise(0.0) for o, row, column in cells)
+    counts = stage(counts, "toxic-grams")
+    sums = counts.agg(F.coalesce(F.sum(F.col("p") + 1), F.lit(1)), F.coalesce(F.sum(F.col("q") + 1), F.lit(1))).first()
+    table = counts.where(statistic >= significant).toPandas()
+    unstage(counts)
     grams = table["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     p, q = table["p"].to_numpy(np.float64)[order], table["q"].to_numpy(np.float64)[order]
     model = Model(grams[order], np.zeros(len(order)), 0.0)
-    r = ratios(p, q, float((p + 1).sum()), float((q + 1).sum())) if len(p) else np.zeros(0)
+    r = ratios(p, q, float(sums[0]), float(sums[1]))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def presences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +224,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX
 
 
 def score(spark: SparkSession, text: Column, model: Model) -> Column:
-    """Probability that a text is toxic (0 to 1); a null text scores as an empty one."""
+    """Probability that a text is toxic (0 to 1); a null text scores as an empty one, equal texts alike, whatever their length."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -230,7 +236,11 @@ def score(spark: SparkSession, text: Column, model: Model) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
-    """Labelled documents outside the held-out fold (crc32 of the id as text, modulo ``folds``)."""
+    """Labelled documents outside the held-out fold (crc32 of the id as text, modulo ``folds``).
+
+    Documents without labels, or with a null id, and labels without documents, give no rows; repeated ones are joined
+    as they are. Empty tables give no rows.
+    """
     kept = labels.where(~held_out(F.col("doc_id"), fold, folds)).select("doc_id", "toxic")
     return docs.select("doc_id", "text").join(kept, "doc_id")
 
@@ -240,7 +250,7 @@ def held_out(doc_id: Column, fold: int = 1, folds: int = 3) -> Column:
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score at or above ``threshold``."""
+    """``docs`` without the rows that score at or above ``threshold``; repeated rows are treated alike, all columns stay."""
     return docs.where(score(docs.sparkSession, F.col(f"`{text_col}`"), model) < threshold)
 
 
