@@ -76,9 +76,11 @@ def label_tiled(mask: DataFrame, tile: int = 1024, checkpoint: bool = True) -> D
             return local.join(labels, ["image_id", "node"]).select("image_id", "y", "x", "component")
 
 
-def hysteresis(pixels: DataFrame, low: float, high: float, value: str = "v") -> DataFrame:
-    """Foreground above ``low`` in components that reach above ``high``, with component."""
+def hysteresis(pixels: DataFrame, low: float, high: float, value: str = "v", candidates: DataFrame | None = None) -> DataFrame:
+    """Foreground above ``low`` in components that reach above ``high``, with component; of ``candidates`` (image_id, y, x) only, if given."""
     weak = pixels.where(F.col(value) > low).select("image_id", "y", "x", F.col(value).alias("_v"))
+    if candidates is not None:
+        weak = weak.join(candidates.select("image_id", "y", "x").distinct(), ["image_id", "y", "x"], "left_semi")
     labelled = label_images(weak).join(weak, ["image_id", "y", "x"])
     strong = labelled.groupBy("image_id", "component").agg(F.max("_v").alias("_m")).where(F.col("_m") > high)
     return labelled.join(strong.select("image_id", "component"), ["image_id", "component"], "left_semi").select("image_id", "y", "x", "component")

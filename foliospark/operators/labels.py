@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Palettes up to this many entries are inlined as one array expression.
+#: Palettes have up to this many entries: they are inlined as one array expression or broadcast.
 PALETTE_LIMIT = 4096
 
 
 def _entries(palette: DataFrame, columns: list[str]) -> list:
-    rows = palette.select("class_id", *columns).orderBy("class_id").limit(PALETTE_LIMIT + 1).collect()
-    if len(rows) > PALETTE_LIMIT:
+    return _checked(palette).select("class_id", *columns).orderBy("class_id").collect()
+
+
+def _checked(palette: DataFrame) -> DataFrame:
+    """The palette, which is small enough to inline or broadcast; larger ones are an error."""
+    if palette.limit(PALETTE_LIMIT + 1).count() > PALETTE_LIMIT:
         raise ValueError(f"a palette has {PALETTE_LIMIT} entries at most")
-    return rows
+    return palette
 
 
 def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id") -> DataFrame:
@@ -27,18 +31,18 @@ def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id")
 
 def class_colour(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """class_id to r, g, b."""
-    return pixels.join(F.broadcast(palette.select("class_id", "r", "g", "b").limit(PALETTE_LIMIT)), "class_id", "left")
+    return pixels.join(F.broadcast(_checked(palette).select("class_id", "r", "g", "b")), "class_id", "left")
 
 
 def nearest_codes(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Booleans of the nearest colour's codes, as ``labels``."""
-    classes = F.broadcast(palette.select("class_id", F.transform("codes", lambda c: c > 0).alias("labels")).limit(PALETTE_LIMIT))
+    classes = F.broadcast(palette.select("class_id", F.transform("codes", lambda c: c > 0).alias("labels")))
     return nearest_class(pixels, palette, "class_id").join(classes, "class_id", "left")
 
 
 def codes_colour(pixels: DataFrame, palette: DataFrame, codes: str = "codes") -> DataFrame:
     """Codes to r, g, b; combinations that the palette lacks are black."""
-    known = F.broadcast(palette.select(F.col("codes").alias("_codes"), "r", "g", "b").limit(PALETTE_LIMIT))
+    known = F.broadcast(_checked(palette).select(F.col("codes").alias("_codes"), "r", "g", "b"))
     out = pixels.join(known, F.col(codes) == F.col("_codes"), "left").drop("_codes")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("r", "g", "b")})
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -20,25 +21,32 @@ def fill_circles(shapes: DataFrame, keep: list[str]) -> DataFrame:
     return rows.where(dy * dy + dx * dx <= F.col("r") * F.col("r")).select(*keep, "y", "x")
 
 
-def fill_polygons(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
-    """Pixels whose centres are inside by the even-odd rule: row by row, between the 1st and 2nd, 3rd and 4th ... crossing.
+def polygon_runs(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
+    """keep, y, left, right: runs of pixels inside, by the even-odd rule, made inside each shape's row.
 
-    An edge crosses row y if it goes from above or on it to below; a span holds the pixels from its left
-    crossing, rounded up, to before its right one.
+    An edge crosses row y if it goes from above or on it to below; a run holds the pixels from its left crossing,
+    rounded up, to before its right one.
     """
     p = shapes.select(*keep, F.col(points).alias("_p")).where(F.size("_p") >= 3)
-    edges = F.transform("_p", lambda a, i: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), F.get("_p", (i + 1) % F.size("_p"))["x"].alias("x2"), F.get("_p", (i + 1) % F.size("_p"))["y"].alias("y2")))
+    edges = F.zip_with("_p", F.concat(F.slice("_p", F.lit(2), F.size("_p") - 1), F.slice("_p", 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
     ys = F.transform("_p", lambda a: a["y"])
-    rows = p.withColumn("_e", edges).withColumn("y", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))))
-    crossing = F.transform(
-        F.filter("_e", lambda e: ((e["y1"] <= F.col("y")) & (e["y2"] > F.col("y"))) | ((e["y2"] <= F.col("y")) & (e["y1"] > F.col("y")))),
-        lambda e: e["x1"] + (F.col("y") - e["y1"]) * (e["x2"] - e["x1"]).cast("double") / (e["y2"] - e["y1"]),
-    )
-    rows = rows.withColumn("_c", F.sort_array(crossing)).where(F.size("_c") > 1)
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.size("_c") - 2, F.lit(2))))
-    left, right = F.ceil(F.get("_c", F.col("_k"))).cast("int"), F.ceil(F.get("_c", F.col("_k") + 1)).cast("int") - 1
-    rows = rows.where(left <= right).withColumn("x", F.explode(F.sequence(left, right)))
-    return rows.select(*keep, "y", "x").distinct()
+
+    def line(y: Column) -> Column:
+        crossed = F.filter("_e", lambda e: (e["y1"] <= y) != (e["y2"] <= y))
+        at = F.array_sort(F.transform(crossed, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]).cast("double") / (e["y2"] - e["y1"])))
+        pairs = F.filter(F.transform(at, lambda c, i: F.struct(y.alias("y"), F.ceil(c).cast("int").alias("left"), (F.ceil(F.get(at, i + 1)) - 1).cast("int").alias("right"), (i % 2 == 0).alias("opens"))), lambda r: r["opens"] & (r["left"] <= r["right"]))
+        return F.transform(pairs, lambda r: F.struct(r["y"].alias("y"), r["left"].alias("left"), r["right"].alias("right")))
+
+    rows = p.withColumn("_e", edges).withColumn("_y", F.sequence(F.array_min(ys), F.array_max(ys)))
+    return rows.select(*keep, F.inline(F.flatten(F.transform("_y", line))))
+
+
+def fill_polygons(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
+    """Pixels whose centres are inside polygons by the even-odd rule, each once, however many shapes of one key hold it: shapes are united as runs."""
+    runs = polygon_runs(shapes, keep, points)
+    before = W.partitionBy(*keep, "y").orderBy("left", "right").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("left", F.greatest("left", F.max("right").over(before) + 1)).where("left <= right")
+    return runs.select(*keep, "y", F.explode(F.sequence("left", "right")).alias("x"))
 
 
 def stroke(shapes: DataFrame, keep: list[str], thickness: int, points: str = "points", close: bool = False) -> DataFrame:

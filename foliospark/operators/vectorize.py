@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .components import label_grid
+from .components import label_grid, largest
 
 _AROUND = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]  # clockwise from the right
 POINTS = "array<struct<x:int,y:int>>"
@@ -58,7 +58,16 @@ def outer_contour(grid: np.ndarray, start: tuple[int, int]) -> list[tuple[int, i
 def contours(grid: np.ndarray) -> list[list[tuple[int, int]]]:
     labels = label_grid(grid)
     firsts = np.unique(labels[labels > 0]) - 1
-    return [outer_contour(labels == f + 1, (f // grid.shape[1], f % grid.shape[1])) for f in firsts]
+    ys, xs = np.nonzero(labels)
+    order = np.argsort(labels[ys, xs], kind="stable")
+    ys, xs, own = ys[order], xs[order], labels[ys, xs][order]
+    out = []
+    for f, lo, hi in zip(firsts, np.searchsorted(own, firsts + 1), np.searchsorted(own, firsts + 1, side="right"), strict=True):
+        y0, x0 = int(ys[lo:hi].min()), int(xs[lo:hi].min())  # a component's own box, not the whole image
+        part = np.zeros((int(ys[lo:hi].max()) - y0 + 1, int(xs[lo:hi].max()) - x0 + 1), bool)
+        part[ys[lo:hi] - y0, xs[lo:hi] - x0] = True
+        out.append([(x + x0, y + y0) for x, y in outer_contour(part, (int(f) // grid.shape[1] - y0, int(f) % grid.shape[1] - x0))])
+    return out
 
 
 def polygon_area(points: list[tuple[float, float]]) -> float:
@@ -135,12 +144,17 @@ def quadrilateral(points: list[tuple[int, int]], height: int, width: int, tolera
     return corners
 
 
-def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0.0, sizes: DataFrame | None = None, tolerance: float = 0.02) -> DataFrame:
+def _top(found: DataFrame, n: int | None) -> DataFrame:
+    """The n largest of each image, of equals by their points."""
+    return found if n is None else largest(found, n, "area", ties=("points",))
+
+
+def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0.0, sizes: DataFrame | None = None, tolerance: float = 0.02, n_max: int | None = None) -> DataFrame:
     """image_id, points (four corners), area of each component's box; modes min_rectangle, quadrilateral, rectangle.
 
     mask: image_id, y, x of the foreground. sizes (image_id, height, width): the images' sizes; without it the
-    foreground's extent. Boxes of ``min_area`` (a share of the image) or less are left out; corners are held
-    inside the image.
+    foreground's extent. Boxes of ``min_area`` (a share of the image) or less are left out, and all but the
+    ``n_max`` largest of an image; corners are held inside the image.
     """
     if mode not in ("min_rectangle", "quadrilateral", "rectangle"):
         raise ValueError(f"unknown mode: {mode}")
@@ -167,18 +181,24 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
 
     sized = sizes is not None
     rows = _packed(mask).join(sizes.select("image_id", "height", "width"), "image_id") if sized else _packed(mask)
-    return kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double")
+    return _top(kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double"), n_max)
 
 
-def find_polygons(mask: DataFrame, min_area: float = 0.0) -> DataFrame:
-    """image_id, points (a closed ring of the outer contour), area; rings under three corners or ``min_area`` pixels are left out."""
+def find_polygons(mask: DataFrame, min_area: float = 0.1, sizes: DataFrame | None = None, n_max: int | None = None) -> DataFrame:
+    """image_id, points (a closed ring of the outer contour), area, of each image's ``n_max`` largest.
+
+    Rings under three corners or of ``min_area`` (a share of the image) or less are left out; sizes as for ``find_boxes``.
+    """
+    sized = sizes is not None
 
     def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
+        h, w = (int(image.height), int(image.width)) if sized else (grid.shape[0] + y0, grid.shape[1] + x0)
         rings = [[(x + x0, y + y0) for x, y in ring] for ring in contours(grid)]
-        return [(image.image_id, [{"x": x, "y": y} for x, y in [*r, r[0]]], polygon_area(r)) for r in rings if len(r) > 2 and polygon_area(r) >= min_area]
+        return [(image.image_id, [{"x": x, "y": y} for x, y in [*r, r[0]]], polygon_area(r)) for r in rings if len(r) > 2 and polygon_area(r) > min_area * h * w]
 
-    return kernels.run(_packed(mask), kernel, f"image_id long, points {POINTS}, area double")
+    rows = _packed(mask).join(sizes.select("image_id", "height", "width"), "image_id") if sized else _packed(mask)
+    return _top(kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double"), n_max)
 
 
 def skeleton(grid: np.ndarray) -> np.ndarray:
@@ -277,7 +297,7 @@ def local_entropy(classes: DataFrame, sigma: float = 3.0, kinds: int = 20, seed:
     """Weight map: how mixed the components around a pixel are. Components get one of ``kinds`` ids by a seeded hash; their blurred shares give an entropy."""
 
     def kernel(a: np.ndarray) -> np.ndarray:
-        r = int(3 * sigma)
+        r = 3 * round(sigma)
         g = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
         ids = np.zeros(a.shape, int)
         for c in np.unique(a):

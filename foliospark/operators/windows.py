@@ -17,8 +17,8 @@ def _frame(axis: str, r: int):
     return W.partitionBy("image_id", other).orderBy(axis).rowsBetween(-r, r)
 
 
-def _both(pixels: DataFrame, value: str, agg, k: int) -> DataFrame:
-    for axis in ("y", "x"):
+def _both(pixels: DataFrame, value: str, agg, k: int, axes: tuple[str, str] = ("y", "x")) -> DataFrame:
+    for axis in axes:
         pixels = pixels.withColumn(value, agg(value).over(_frame(axis, k // 2)))
     return pixels
 
@@ -41,8 +41,12 @@ def closed(pixels: DataFrame, k: int = 3, value: str = "v") -> DataFrame:
 
 
 def open_close(pixels: DataFrame, k: int = 3, value: str = "v") -> DataFrame:
-    """Opened, then closed: specks go, then holes."""
-    return closed(opened(pixels, k, value), k, value)
+    """Opened, then closed: specks go, then holes.
+
+    The two dilations in the middle are one of 2k - 1, and axes alternate so that neighbouring passes share a shuffle.
+    """
+    grown = _both(erode(pixels, k, value), value, F.max, 2 * k - 1, ("x", "y"))
+    return _both(grown, value, F.min, k, ("y", "x"))
 
 
 def box_sum(pixels: DataFrame, k: int = 3, value: str = "v") -> DataFrame:

@@ -65,10 +65,11 @@ def fixed_threshold(spark: SparkSession, d: str) -> DataFrame:
     return px.threshold(views.prob(spark, d), 0.7).select("image_id", "y", "x")
 
 
-_OTSU = f"""b AS ({_BINS}), c AS (SELECT image_id, bin AS t, count(*) AS n FROM b GROUP BY image_id, bin),
+_LEVELS = """c AS (SELECT image_id, bin AS t, count(*) AS n FROM b GROUP BY image_id, bin),
  s AS (SELECT image_id, t, sum(n) OVER w AS n0, sum(n * t) OVER w AS s0, sum(n) OVER (PARTITION BY image_id) AS n, sum(n * t) OVER (PARTITION BY image_id) AS s FROM c WINDOW w AS (PARTITION BY image_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
  v AS (SELECT image_id, t, CASE WHEN n0 < n THEN (s * n0 - s0 * n)::DOUBLE * (s * n0 - s0 * n)::DOUBLE / (n0 * (n - n0))::DOUBLE ELSE 0.0 END AS bv FROM s),
  o AS (SELECT image_id, t FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY bv DESC, t) AS k FROM v) WHERE k = 1)"""
+_OTSU = f"b AS ({_BINS}), {_LEVELS}"
 
 
 @query(f"WITH {_OTSU} SELECT image_id, t::BIGINT AS t FROM o", "prob")
@@ -77,8 +78,8 @@ def otsu_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_mask(spark: SparkSession, d: str) -> DataFrame:
-    """Normalised, parted by Otsu's level, opened and closed: all pixels with v 0 or 1."""
-    b = bins(spark, d)
+    """Quantised, blurred by five weights and rounded, parted by Otsu's level, opened and closed: all pixels with v 0 or 1."""
+    b = win.gaussian(bins(spark, d).withColumnRenamed("bin", "v")).select("image_id", "y", "x", F.floor(F.col("v") + 0.5).cast("int").alias("bin"))
     levels = px.otsu_thresholds(b)
     mask = b.join(levels, "image_id").select("image_id", "y", "x", (F.col("bin") > F.col("t")).cast("int").alias("v"))
     return win.open_close(mask, 3)
@@ -89,14 +90,6 @@ def _sep(name: str, source: str, agg: str) -> str:
     return f"{name}a AS (SELECT image_id, y, x, {agg}(v) OVER {w.format('x', 'y')} AS v FROM {source}), {name} AS (SELECT image_id, y, x, {agg}(v) OVER {w.format('y', 'x')} AS v FROM {name}a)"
 
 
-_MASK = f"{_OTSU}, m0 AS (SELECT b.image_id, y, x, (bin > t)::INT AS v FROM b JOIN o ON b.image_id = o.image_id), {_sep('m1', 'm0', 'min')}, {_sep('m2', 'm1', 'max')}, {_sep('m3', 'm2', 'max')}, {_sep('m4', 'm3', 'min')}"
-
-
-@query(f"WITH {_MASK} SELECT image_id, y, x, v FROM m4", "prob")
-def open_close(spark: SparkSession, d: str) -> DataFrame:
-    return page_mask(spark, d)
-
-
 def _blur_sql(source: str, weights) -> str:
     r = len(weights) // 2
 
@@ -110,6 +103,14 @@ def _blur_sql(source: str, weights) -> str:
     return f"{step('g1', source, 'y', 'x')}, {step('g2', 'g1', 'x', 'y')}"
 
 
+_MASK = f"b0 AS (SELECT image_id, y, x, floor(v * 255) AS v FROM prob), {_blur_sql('b0', win.GAUSS5)}, b AS (SELECT image_id, y, x, floor(v + 0.5)::INT AS bin FROM g2), {_LEVELS}, m0 AS (SELECT b.image_id, y, x, (bin > t)::INT AS v FROM b JOIN o ON b.image_id = o.image_id), {_sep('m1', 'm0', 'min')}, {_sep('m2', 'm1', 'max')}, {_sep('m3', 'm2', 'max')}, {_sep('m4', 'm3', 'min')}"
+
+
+@query(f"WITH {_MASK} SELECT image_id, y, x, v FROM m4", "prob")
+def open_close(spark: SparkSession, d: str) -> DataFrame:
+    return page_mask(spark, d)
+
+
 @query(f"WITH {_blur_sql('prob', win.GAUSS5)} SELECT image_id, y, x, floor(v * 1000000 + 0.501::DOUBLE) / 1000000 AS v FROM g2", "prob")
 def gaussian5(spark: SparkSession, d: str) -> DataFrame:
     """Sums are multiples of 1e-6 / 256, so they are rounded away from where halves would tie."""
@@ -225,7 +226,7 @@ def boxes_quadrilateral(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def polygons(spark: SparkSession, d: str) -> DataFrame:
-    return vectorize.find_polygons(px.threshold(views.prob(spark, d), 0.6), 1.0)
+    return vectorize.find_polygons(px.threshold(views.prob(spark, d), 0.6), 0.02, n_max=3)
 
 
 @query()
@@ -235,20 +236,53 @@ def skeleton_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def line_extraction(spark: SparkSession, d: str) -> DataFrame:
-    """Blur, hysteresis, centre lines."""
+    """Blur, hysteresis among closed vertical maxima, centre lines."""
     blurred = win.gaussian(views.prob(spark, d), 0.7)
-    return vectorize.find_lines(cc.hysteresis(blurred, 0.5, 0.7))
+    near = win.closed(win.vertical_maxima(blurred).withColumn("v", F.col("v_max")), 5).where("v = 1")
+    return vectorize.find_lines(cc.hysteresis(blurred, 0.5, 0.7, candidates=near))
 
 
 @query()
+def hysteresis_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Hysteresis among vertical maxima that are closed by 5 x 5."""
+    p = views.prob(spark, d)
+    near = win.closed(win.vertical_maxima(p).withColumn("v", F.col("v_max")), 5).where("v = 1")
+    return cc.hysteresis(p, 0.5, 0.8, candidates=near).select("image_id", "y", "x")
+
+
+SQL["hysteresis_candidates"] = _rec(f"""WITH m0 AS (SELECT image_id, y, x, coalesce((v >= lag(v) OVER w AND v >= lead(v) OVER w)::INT, 0) AS v FROM prob WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+ {_sep('m1', 'm0', 'max')}, {_sep('m2', 'm1', 'max')}, {_sep('m3', 'm2', 'min')}, {_sep('m4', 'm3', 'min')},
+ m AS (SELECT p.image_id, p.y, p.x, p.v FROM prob p JOIN m4 ON m4.image_id = p.image_id AND m4.y = p.y AND m4.x = p.x WHERE m4.v = 1 AND p.v > 0.5), {_components('m')},
+ s AS (SELECT DISTINCT l.image_id, c FROM l JOIN m ON m.image_id = l.image_id AND m.y * 100 + m.x = l.p WHERE m.v > 0.8) SELECT l.image_id, (p // 100)::INT AS y, (p % 100)::INT AS x FROM l JOIN s ON s.image_id = l.image_id AND s.c = l.c""", "prob")
+
+_MIRROR = "CASE WHEN {0} < 0 THEN -{0} WHEN {0} > 7 THEN 14 - {0} ELSE {0} END".format
+
+
+@query(f"""WITH pad AS (SELECT p.image_id, i AS y, j AS x, p.v FROM range(-3, 11) a(i), range(-3, 11) b(j), prob p WHERE p.y = {_MIRROR('i')} AND p.x = {_MIRROR('j')}),
+ t AS (SELECT image_id, y, x, v, dy, dx FROM pad, range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE y BETWEEN -1 AND 8 AND x BETWEEN -1 AND 8),
+ q AS (SELECT t.image_id, t.y, t.x, dy, dx, (t.v - o.v) * (t.v - o.v) AS q FROM t JOIN pad o ON o.image_id = t.image_id AND o.y = t.y + dy AND o.x = t.x + dx),
+ c AS (SELECT image_id, y, x, y + py AS ny, x + px AS nx FROM prob, range(-1, 2) a(py), range(-1, 2) b(px)),
+ f AS (SELECT c.image_id, c.y, c.x, dy, dx, sum(q) AS far FROM c JOIN q ON q.image_id = c.image_id AND q.y = c.ny AND q.x = c.nx GROUP BY c.image_id, c.y, c.x, dy, dx),
+ w AS (SELECT f.image_id, f.y, f.x, exp(-far / (9 * (20 / 255.0::DOUBLE) * (20 / 255.0::DOUBLE))) AS w, o.v FROM f JOIN pad o ON o.image_id = f.image_id AND o.y = f.y + dy AND o.x = f.x + dx)
+ SELECT image_id, y, x, {_R6('sum(w * v) / sum(w)')} AS v FROM w GROUP BY image_id, y, x""", "prob")
 def nl_means(spark: SparkSession, d: str) -> DataFrame:
-    return vectorize.denoise(views.prob(spark, d), search=5)
+    return vectorize.denoise(views.prob(spark, d), search=5).withColumn("v", r6(F.col("v")))
 
 
 @query()
 def local_entropy(spark: SparkSession, d: str) -> DataFrame:
     classes = views.prob(spark, d).withColumn("v", (F.col("v") > 0.5).cast("double"))
-    return vectorize.local_entropy(classes, sigma=1.0)
+    return vectorize.local_entropy(classes, sigma=1.0).withColumn("v", r6(F.col("v")))
+
+
+SQL["local_entropy"] = _rec(f"""WITH k AS (SELECT image_id, y, x, (v > 0.5)::INT AS k FROM prob),
+ n AS (SELECT a.image_id, a.y * 100 + a.x AS a, b.y * 100 + b.x AS b FROM k a JOIN k b ON a.image_id = b.image_id AND a.k = b.k AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+ r AS (SELECT image_id, y * 100 + x AS p, y * 100 + x AS q FROM k UNION SELECT r.image_id, r.p, n.b FROM r JOIN n ON n.image_id = r.image_id AND n.a = r.q),
+ l AS (SELECT image_id, p, min(q) AS c FROM r GROUP BY image_id, p),
+ i AS (SELECT l.image_id, p // 100 AS y, p % 100 AS x, ((c // 100 * 8 + c % 100 + 1)::BIGINT * 2654435761 + k.k * 40503) % 20 AS id FROM l JOIN k ON k.image_id = l.image_id AND k.y * 100 + k.x = l.p),
+ b AS (SELECT t.image_id, t.y, t.x, i.id, sum(exp(-((i.y - t.y) * (i.y - t.y))::DOUBLE / 2) * exp(-((i.x - t.x) * (i.x - t.x))::DOUBLE / 2)) AS s FROM k t JOIN i ON i.image_id = t.image_id AND abs(i.y - t.y) <= 3 AND abs(i.x - t.x) <= 3 GROUP BY t.image_id, t.y, t.x, i.id),
+ h AS (SELECT image_id, y, x, pow(s, 1 / 1.4::DOUBLE) / sum(pow(s, 1 / 1.4::DOUBLE)) OVER (PARTITION BY image_id, y, x) AS h FROM b)
+ SELECT image_id, y, x, {_R6('-sum(h * ln(greatest(h, 1e-12::DOUBLE)))')} AS v FROM h GROUP BY image_id, y, x""", "prob")
 
 
 @query(f"SELECT image_id, y, x, CASE WHEN z[1] > 0 THEN z[2] ELSE 0.0::DOUBLE END AS v FROM logits", "logits")
@@ -308,17 +342,25 @@ def tile_plan(spark: SparkSession, d: str) -> DataFrame:
     return t.select("image_id", F.explode(tiling.tile_starts(F.col("s"), 500, 0.2)).alias("start")).distinct()
 
 
-@query("SELECT image_id, y, x, v * 2 + 1 AS v FROM px", "px")
+_STARTS = "CASE WHEN {0} >= 4 THEN 4 WHEN {0} >= 2 THEN 2 ELSE 0 END".format
+
+
+@query(f"SELECT p.image_id, p.y, p.x, {_R6('p.v * 2 + t.v')} AS v FROM px p JOIN px t ON t.image_id = p.image_id AND t.y = {_STARTS('p.y')} AND t.x = {_STARTS('p.x')}", "px")
 def tile_score_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of 4 that overlap, scored one by one by an affine model, the last one winning."""
+    """Tiles of 4 that overlap, scored one by one by a model that depends on the tile's first pixel, the last one winning."""
     tiles = tiling.cut_tiles(views.px(spark, d), 4, 0.25)
-    return tiling.merge_last(tiling.score_tiles(tiles, lambda a: a * 2 + 1))
+    return tiling.merge_last(tiling.score_tiles(tiles, lambda a: a * 2 + a[0, 0])).withColumn("v", r6(F.col("v")))
+
+
+#: What is left of s, the tile's start, after fading: tiles begin at 0, 2 and 4, and each next one fades in over two pixels.
+_FADED = "(CASE {0} WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 4 END)".format
 
 
-@query(f"SELECT image_id, y, x, {_R6('v')} AS v FROM px", "px")
+@query(f"SELECT image_id, y, x, {_R6('v + ' + _FADED('y') + ' + 10 * ' + _FADED('x'))} AS v FROM px", "px")
 def tile_cross_fade(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles that agree where they overlap fade into the same image."""
-    return tiling.merge_cross_fade(tiling.cut_tiles(views.px(spark, d), 5, 0.3)).withColumn("v", r6(F.col("v")))
+    """Overlapping tiles that disagree by their places: within an overlap, values go over linearly from one tile's to the next's."""
+    tiles = tiling.cut_tiles(views.px(spark, d), 4, 0.25).withColumn("v", F.col("v") + F.col("tile_y") + 10 * F.col("tile_x"))
+    return tiling.merge_cross_fade(tiles).withColumn("v", r6(F.col("v")))
 
 
 @query("WITH a AS (SELECT image_id, y, x, v FROM px) SELECT a.image_id, p.y, p.x, a.v FROM px p JOIN a ON a.image_id = p.image_id AND a.y = floor(3.5 + (p.y - 3.5) * 6.123233995736766e-17::DOUBLE - (p.x - 3.5) * 1.0::DOUBLE + 0.5) AND a.x = floor(3.5 + (p.y - 3.5) * 1.0::DOUBLE + (p.x - 3.5) * 6.123233995736766e-17::DOUBLE + 0.5)", "px")
