@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.geometry import format_points, from_xy, parse_points, rectangle, scale_points
 
@@ -86,18 +87,63 @@ def escape(text: Column) -> Column:
     return text
 
 
+#: Fixed value of the page format: the namespace of its documents.
+NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"
+
+
+def _attribute(name: str, v: Column) -> Column:
+    v = v.cast("string")
+    return F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f' {name}="'), escape(v), F.lit('"'))).otherwise("")
+
+
+def _points(tag: str, p: Column) -> Column:
+    return F.when(F.size(p) > 0, F.concat(F.lit(f'<{tag} points="'), format_points(p), F.lit('"/>'))).otherwise("")
+
+
+def _text(text: Column) -> Column:
+    return F.concat(F.lit("<TextEquiv><Unicode>"), escape(F.coalesce(text, F.lit(""))), F.lit("</Unicode></TextEquiv>"))
+
+
 def line_xml(t: Column) -> Column:
     """A text line element: id, custom, coordinates and baseline if there are any, always its text."""
-    attribute = lambda name, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f' {name}="'), escape(v), F.lit('"'))).otherwise("")
-    shape = lambda tag, p: F.when(F.size(p) > 0, F.concat(F.lit(f'<{tag} points="'), format_points(p), F.lit('"/>'))).otherwise("")
-    return F.concat(F.lit("<TextLine"), attribute("id", t["id"]), attribute("custom", t["custom_attribute"]), F.lit(">"), shape("Coords", t["coords"]), shape("Baseline", t["baseline"]), F.lit("<TextEquiv><Unicode>"), escape(F.coalesce(t["text"], F.lit(""))), F.lit("</Unicode></TextEquiv></TextLine>"))
+    return F.concat(F.lit("<TextLine"), _attribute("id", t["id"]), _attribute("custom", t["custom_attribute"]), F.lit(">"), _points("Coords", t["coords"]), _points("Baseline", t["baseline"]), _text(t["text"]), F.lit("</TextLine>"))
+
+
+def page_xml(creator: str, created: str, schema: StructType | None = None) -> Column:
+    """The document of a row with image_filename, image_width, image_height and text_regions (id, coords, custom_attribute, text_lines).
+
+    With the frame's ``schema`` also all else that it has of what ``read_page_xml`` gives: the border, types and texts
+    of text regions, graphic, separator and table regions with their cells. Null and empty lists are left out.
+    """
+    columns = {f.name: f.dataType for f in schema.fields} if schema else {}
+    held = {f.name for f in columns["text_regions"].elementType.fields} if "text_regions" in columns else set()
 
+    def shape(r: Column, tag: str, more: list[Column] | None = None, inside: list[Column] | None = None) -> Column:
+        return F.concat(F.lit(f"<{tag}"), _attribute("id", r["id"]), _attribute("custom", r["custom_attribute"]), *(more or []), F.lit(">"), _points("Coords", r["coords"]), *(inside or []), F.lit(f"</{tag}>"))
 
-def page_xml(creator: str, created: str) -> Column:
-    """The document of a row with image_filename, image_width, image_height and text_regions (id, coords, custom_attribute, text_lines)."""
-    region = lambda r: F.concat(F.lit('<TextRegion id="'), escape(r["id"]), F.lit('">'), F.when(F.size(r["coords"]) > 0, F.concat(F.lit('<Coords points="'), format_points(r["coords"]), F.lit('"/>'))).otherwise(""), F.array_join(F.transform(r["text_lines"], line_xml), ""), F.lit("</TextRegion>"))
-    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><Metadata><Creator>{creator}</Creator><Created>{created}</Created></Metadata><Page imageFilename="')
-    return F.concat(head, escape(F.col("image_filename")), F.lit('" imageWidth="'), F.col("image_width").cast("string"), F.lit('" imageHeight="'), F.col("image_height").cast("string"), F.lit('">'), F.array_join(F.transform("text_regions", region), ""), F.lit("</Page></PcGts>"))
+    def text_region(r: Column) -> Column:
+        lines = F.coalesce(F.array_join(F.transform(r["text_lines"], line_xml), ""), F.lit(""))
+        said = [F.when(F.coalesce(r["text_equiv"], F.lit("")) != "", _text(r["text_equiv"])).otherwise("")] if "text_equiv" in held else []
+        return shape(r, "TextRegion", [_attribute("type", r["type"])] if "type" in held else [], [lines, *said])
+
+    def cell(c: Column) -> Column:
+        names = [("rowIndex", "row_index"), ("columnIndex", "col_index"), ("rowSpan", "row_span"), ("colSpan", "col_span"), ("header", "header"), ("embText", "embedded_text")]
+        return shape(c, "TableCell", [_attribute(a, c[b]) for a, b in names])
+
+    def table(r: Column) -> Column:
+        cells = F.coalesce(F.array_join(F.transform(r["cells"], cell), ""), F.lit(""))
+        return shape(r, "TableRegion", [_attribute("rows", r["rows"]), _attribute("columns", r["columns"])], [cells])
+
+    def every(column: str, build) -> Column:
+        return F.coalesce(F.array_join(F.transform(column, build), ""), F.lit(""))
+
+    body = [every("text_regions", text_region)]
+    for column, build in (("graphic_regions", lambda r: shape(r, "GraphicRegion")), ("separator_regions", lambda r: shape(r, "SeparatorRegion")), ("table_regions", table)):
+        if column in columns:
+            body.append(every(column, build))
+    border = [F.when(F.size("page_border") > 0, F.concat(F.lit("<Border>"), _points("Coords", F.col("page_border")), F.lit("</Border>"))).otherwise("")] if "page_border" in columns else []
+    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}"><Metadata><Creator>{creator}</Creator><Created>{created}</Created></Metadata><Page imageFilename="')
+    return F.concat(head, escape(F.col("image_filename")), F.lit('" imageWidth="'), F.col("image_width").cast("string"), F.lit('" imageHeight="'), F.col("image_height").cast("string"), F.lit('">'), *border, *body, F.lit("</Page></PcGts>"))
 
 
 def baselines_page(lines: DataFrame, key: str, ratio: float) -> DataFrame:
@@ -215,20 +261,36 @@ def via_page(regions: DataFrame, sizes: DataFrame, attribute: str) -> DataFrame:
     return grouped.join(sizes, "filename").select(F.col("filename").alias("image_filename"), F.col("width").alias("image_width"), F.col("height").alias("image_height"), built.alias("text_regions"))
 
 
-def draw(pages: DataFrame, kind: str, key: str = "image_filename", thickness: int = 1, fill: bool = False) -> DataFrame:
-    """key, y, x: the pixels of a page's lines or regions drawn: kind is baselines, lines, text_regions, graphic_regions, separator_regions or page_border."""
+def canvas_ratio(pages: DataFrame, canvas: tuple[int, int]) -> tuple[Column, Column]:
+    """By what a page's places are multiplied to fit a canvas of this height and width: (y, x)."""
+    return canvas[0] / F.col("image_height"), canvas[1] / F.col("image_width")
+
+
+def draw(pages: DataFrame, kind: str, key: str = "image_filename", thickness: int = 1, fill: bool = False, id_has: str = "", canvas: tuple[int, int] | None = None) -> DataFrame:
+    """key, y, x: the pixels of a page's lines or regions drawn: kind is baselines, lines, text_regions, graphic_regions, separator_regions or page_border.
+
+    ``id_has``: only lines or regions with that in their ids. ``canvas`` (height, width): places are scaled from the
+    page's size to it.
+    """
     from .operators import raster
 
+    id_filter = lambda c: F.coalesce(c.contains(id_has), F.lit(not id_has))
+    if canvas is not None:
+        ratio = F.struct(*[r.alias(a) for r, a in zip(canvas_ratio(pages, canvas), "yx", strict=True)])
+        pages = pages.withColumn("_ratio", ratio)
+    else:
+        pages = pages.withColumn("_ratio", F.struct(F.lit(1.0).alias("y"), F.lit(1.0).alias("x")))
     if kind in ("baselines", "lines"):
         column = "baseline" if kind == "baselines" else "coords"
-        shapes = text_lines(pages, [key]).select(key, F.col(column).alias("points"))
+        shapes = text_lines(pages, [key, "_ratio"]).where(id_filter(F.col("id"))).select(key, "_ratio", F.col(column).alias("points"))
     elif kind == "page_border":
-        shapes = pages.select(key, F.col("page_border").alias("points"))
+        shapes = pages.select(key, "_ratio", F.col("page_border").alias("points"))
     elif kind in ("text_regions", "graphic_regions", "separator_regions"):
-        shapes = pages.select(key, F.explode(kind).alias("r")).select(key, F.col("r.coords").alias("points"))
+        shapes = pages.select(key, "_ratio", F.explode(kind).alias("r")).where(id_filter(F.col("r.id"))).select(key, "_ratio", F.col("r.coords").alias("points"))
     else:
         raise ValueError(f"can't draw {kind}")
     shapes = shapes.where(F.size("points") > 0)
+    shapes = shapes.select(key, scale_points(F.col("points"), F.col("_ratio.y"), F.col("_ratio.x")).alias("points") if canvas else "points")
     if fill and kind != "baselines":
         return raster.fill_polygons(shapes, [key])
     return raster.stroke(shapes, [key], thickness, close=kind != "baselines")
@@ -244,6 +306,11 @@ def page_json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def has_keys(attributes: Column, names: list[str]) -> Column:
+    """Does the map have all these keys?"""
+    return F.size(F.array_except(F.array(*map(F.lit, names)), F.map_keys(attributes))) == 0
+
+
 def read_via_attributes(spark: SparkSession, path: str) -> DataFrame:
     """name, type, options of the region attributes that a project file defines; options are null for free text."""
     text = spark.read.text(path, wholetext=True)

@@ -18,6 +18,11 @@ def pair_labels(images: DataFrame, labels: DataFrame, path: str = "path") -> Dat
     return both.groupBy("image").agg(best.alias("b")).select("image", F.col("b.label").alias("label"))
 
 
+def latest(paths: DataFrame, by: list[str], path: str = "path") -> DataFrame:
+    """The last path of each group in code-point order, such as the newest of exports named by time."""
+    return paths.groupBy(*by).agg(F.max(path).alias(path))
+
+
 def require(wanted: DataFrame, there: DataFrame, path: str = "path") -> None:
     """Raise FileNotFoundError for the first of the wanted paths that don't exist."""
     gone = wanted.select(path).join(there.select(path), path, "left_anti").orderBy(path).limit(1).collect()

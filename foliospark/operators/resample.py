@@ -8,25 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _grid(pixels: DataFrame, height: int, width: int) -> DataFrame:
-    """image_id, y, x of the target with the source's height and width (sh, sw)."""
+def _grid(pixels: DataFrame, height: int | DataFrame, width: int | None) -> DataFrame:
+    """image_id, y, x of the target with its height and width (th, tw) and the source's (sh, sw)."""
     size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("sh"), (F.max("x") + 1).alias("sw"))
-    rows = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    if isinstance(height, DataFrame):
+        wanted = height.select("image_id", F.col("height").alias("_h"), F.col("width").alias("_w"))
+        size = size.join(wanted, "image_id", "left").select("image_id", "sh", "sw", F.coalesce("_h", "sh").alias("th"), F.coalesce("_w", "sw").alias("tw"))
+    else:
+        size = size.withColumns({"th": F.lit(height), "tw": F.lit(width)})
+    rows = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("th") - 1)))
+    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
 
 
-def nearest(pixels: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:
-    """Source place: floor(target * in / out)."""
+def nearest(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str = "v") -> DataFrame:
+    """Source place: floor(target * in / out).
+
+    Instead of one height and width: a frame of sizes (image_id, height, width), such as the originals'; an image
+    without a size, or with a null one, stays as it is.
+    """
     grid = _grid(pixels, height, width)
-    at = grid.withColumns({"_y": F.floor(F.col("y") * F.col("sh") / height).cast("int"), "_x": F.floor(F.col("x") * F.col("sw") / width).cast("int")})
+    at = grid.withColumns({"_y": F.floor(F.col("y") * F.col("sh") / F.col("th")).cast("int"), "_x": F.floor(F.col("x") * F.col("sw") / F.col("tw")).cast("int")})
     source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), value)
     return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", value)
 
 
-def bilinear(pixels: DataFrame, height: int, width: int, value: str = "v") -> DataFrame:
-    """Source place target * in / out without a half-pixel shift; beyond the last pixel it is held."""
+def bilinear(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str = "v") -> DataFrame:
+    """Source place target * in / out without a half-pixel shift; beyond the last pixel it is held. Sizes as for ``nearest``."""
     grid = _grid(pixels, height, width)
-    fy, fx = F.col("y") * F.col("sh") / height, F.col("x") * F.col("sw") / width
+    fy, fx = F.col("y") * F.col("sh") / F.col("th"), F.col("x") * F.col("sw") / F.col("tw")
     y0, x0 = F.floor(fy).cast("int"), F.floor(fx).cast("int")
     corners = F.array(*[F.struct(F.least(y0 + dy, F.col("sh") - 1).alias("y"), F.least(x0 + dx, F.col("sw") - 1).alias("x"), ((fy - y0 if dy else 1 - (fy - y0)) * (fx - x0 if dx else 1 - (fx - x0))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
     taps = grid.select("image_id", "y", "x", F.explode(corners).alias("c")).select("image_id", "y", "x", F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.col("c.w").alias("w"))
