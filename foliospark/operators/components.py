@@ -59,19 +59,24 @@ def label_tiled(mask: DataFrame, tile: int = 1024, checkpoint: bool = True) -> D
     rows = mask.select("image_id", "y", "x").distinct().withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
 
     rows = rows.select(*[F.col(c).cast(t) for c, t in (("image_id", "long"), ("ty", "long"), ("tx", "long"), ("y", "int"), ("x", "int"))])
-    local = _labelled(rows, ["image_id", "ty", "tx"], "image_id long, ty long, tx long").withColumn("node", F.struct("cy", "cx"))
+    keep = lambda df: df.checkpoint() if checkpoint else df.persist()
+    local = keep(_labelled(rows, ["image_id", "ty", "tx"], "image_id long, ty long, tx long").withColumn("node", F.struct("cy", "cx")))
     border = local.where((F.col("y") % tile).isin(0, tile - 1) | (F.col("x") % tile).isin(0, tile - 1)).select("image_id", "y", "x", "node")
     near = border.withColumn("d", F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])))
     near = near.select("image_id", (F.col("y") + F.col("d.y")).alias("y"), (F.col("x") + F.col("d.x")).alias("x"), F.col("node").alias("other"))
     links = near.join(border, ["image_id", "y", "x"]).where(F.col("node") != F.col("other")).select("image_id", "node", "other").distinct()
-    links = links.checkpoint() if checkpoint else links.persist()
+    links = keep(links)
     labels = local.select("image_id", "node").distinct().withColumn("component", F.col("node"))
     while True:
         around = links.join(labels.select("image_id", F.col("node").alias("other"), "component"), ["image_id", "other"]).groupBy("image_id", "node").agg(F.min("component").alias("near"))
-        new = labels.join(around, ["image_id", "node"], "left").select("image_id", "node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
-        new = new.checkpoint() if checkpoint else new.persist()
+        hooked = labels.join(around, ["image_id", "node"], "left").select("image_id", "node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
+        # the label of the label: a line over k tiles takes about log k rounds
+        up = hooked.select("image_id", F.col("node").alias("component"), F.col("component").alias("top"))
+        new = keep(hooked.join(up, ["image_id", "component"], "left").select("image_id", "node", F.least("component", F.coalesce("top", "component")).alias("component"), "was"))
         changed = new.where(F.col("component") != F.col("was")).limit(1).count()
-        labels = new.drop("was")
+        if not checkpoint:
+            labels.unpersist()
+        labels = new.select("image_id", "node", "component")
         if not changed:
             return local.join(labels, ["image_id", "node"]).select("image_id", "y", "x", "component")
 

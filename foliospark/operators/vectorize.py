@@ -23,8 +23,14 @@ def grid_of(image: tuple) -> tuple[np.ndarray, int, int]:
     return grid, y0, x0
 
 
-def _packed(mask: DataFrame) -> DataFrame:
-    return kernels.pack(mask.select(F.col("image_id").cast("long"), F.col("y").cast("int"), F.col("x").cast("int")), ["image_id"])
+def _packed(mask: DataFrame, sizes: DataFrame | None = None, sized: bool = False) -> DataFrame:
+    """A row for each image; for each component if ``mask`` has them (``components.label_tiled``), so that images of any size will do. ``sized``: with height and width."""
+    keys = ["image_id", "component"] if "component" in mask.columns else ["image_id"]
+    rows = mask.select(F.col("image_id").cast("long"), *keys[1:], F.col("y").cast("int"), F.col("x").cast("int"))
+    if sized and sizes is None:
+        sizes = rows.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    packed = kernels.pack(rows, keys)
+    return packed.join(sizes.select("image_id", "height", "width"), "image_id") if sized else packed
 
 
 def outer_contour(grid: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
@@ -153,7 +159,7 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
     """image_id, points (four corners), area of each component's box; modes min_rectangle, quadrilateral, rectangle.
 
     mask: image_id, y, x of the foreground. sizes (image_id, height, width): the images' sizes; without it the
-    foreground's extent. Boxes of ``min_area`` (a share of the image) or less are left out, and all but the
+    foreground's extent. With a column component the work is done by component. Boxes of ``min_area`` (a share of the image) or less are left out, and all but the
     ``n_max`` largest of an image; corners are held inside the image.
     """
     if mode not in ("min_rectangle", "quadrilateral", "rectangle"):
@@ -161,7 +167,7 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
 
     def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
-        h, w = (int(image.height), int(image.width)) if sized else (grid.shape[0] + y0, grid.shape[1] + x0)
+        h, w = int(image.height), int(image.width)
         out = []
         for ring in contours(grid):
             ring = [(x + x0, y + y0) for x, y in ring]
@@ -179,9 +185,7 @@ def find_boxes(mask: DataFrame, mode: str = "min_rectangle", min_area: float = 0
                 out.append((image.image_id, [{"x": max(0, min(w, x)), "y": max(0, min(h, y))} for x, y in corners], area))
         return out
 
-    sized = sizes is not None
-    rows = _packed(mask).join(sizes.select("image_id", "height", "width"), "image_id") if sized else _packed(mask)
-    return _top(kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double"), n_max)
+    return _top(kernels.run(_packed(mask, sizes, True), kernel, f"image_id long, points {POINTS}, area double"), n_max)
 
 
 def find_polygons(mask: DataFrame, min_area: float = 0.1, sizes: DataFrame | None = None, n_max: int | None = None) -> DataFrame:
@@ -189,16 +193,14 @@ def find_polygons(mask: DataFrame, min_area: float = 0.1, sizes: DataFrame | Non
 
     Rings under three corners or of ``min_area`` (a share of the image) or less are left out; sizes as for ``find_boxes``.
     """
-    sized = sizes is not None
 
     def kernel(image: tuple) -> list[tuple]:
         grid, y0, x0 = grid_of(image)
-        h, w = (int(image.height), int(image.width)) if sized else (grid.shape[0] + y0, grid.shape[1] + x0)
+        h, w = int(image.height), int(image.width)
         rings = [[(x + x0, y + y0) for x, y in ring] for ring in contours(grid)]
         return [(image.image_id, [{"x": x, "y": y} for x, y in [*r, r[0]]], polygon_area(r)) for r in rings if len(r) > 2 and polygon_area(r) > min_area * h * w]
 
-    rows = _packed(mask).join(sizes.select("image_id", "height", "width"), "image_id") if sized else _packed(mask)
-    return _top(kernels.run(rows, kernel, f"image_id long, points {POINTS}, area double"), n_max)
+    return _top(kernels.run(_packed(mask, sizes, True), kernel, f"image_id long, points {POINTS}, area double"), n_max)
 
 
 def skeleton(grid: np.ndarray) -> np.ndarray:
