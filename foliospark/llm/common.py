@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = os.path.join(tempfile.gettempdir(), f"foliospark-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -31,23 +31,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     Weights repeat over the sources in code-point order. A source is held at its cap if filling every source
     in proportion to weight up to the level at which it is full needs no more than there is.
     """
-    by_name, n = W.orderBy(F.col("source").asc_nulls_last()), len(weights)
-    ranked = sizes.withColumn("slot", (F.row_number().over(by_name) - 1) % n).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("slot") + 1).cast("long"))
-    ranked = ranked.withColumn("most", cap * F.col("source_size"))
-    level = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = W.partitionBy()
-    filled = (
-        ranked.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("below", F.sum("most").over(level.rowsBetween(W.unboundedPreceding, 0)) - F.col("most"))
-        .withColumn("open", F.sum("weight").over(level.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("full", F.col("below") * F.col("weight") + F.col("most") * F.col("open") <= F.col("total") * F.col("weight"))
-    )
-    left = F.col("total") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0)).over(everything)
-    share = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(everything)
-    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise((left * F.col("weight")).cast("double") / share)
+    name, n = [F.col("source").asc_nulls_last()], len(weights)
+    ranked = running(sizes.withColumn("one", F.lit(1)), name, ["one"])
+    ranked = ranked.withColumn("slot", (F.col("one_before") % n).cast("int")).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("slot") + 1).cast("long"))
+    ranked = ranked.select("source", "source_size", "slot", "weight", (cap * F.col("source_size")).alias("most"), (cap * F.col("source_size") / F.col("weight")).alias("level"))
+    filled = stage(running(ranked, [F.col("level").asc(), *name], ["most", "weight"]), "mix-levels")
+    totals = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    full = F.col("most_before") * F.col("weight") + F.col("most") * (totals[1] - F.col("weight_before")) <= totals[0] * F.col("weight")
+    filled = filled.withColumn("full", full)
+    rest = filled.agg(totals[0] - F.coalesce(F.sum(F.when(F.col("full"), F.col("most"))), F.lit(0)), F.sum(F.when(~F.col("full"), F.col("weight")))).first()
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise((F.lit(rest[0]) * F.col("weight")).cast("double") / F.lit(rest[1]))
     return filled.select("source", "source_size", "slot", target.alias("target"))
 
 
+def running(rows: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``rows`` and <name>_before: the sum of a column over all rows before one in ``order``.
+
+    Rows are range-partitioned; sums within a partition are shifted by what those before it hold, so no task has all.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = stage(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # a row for each partition
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums])
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = parts.join(F.broadcast(totals), "_part")
+    return out.select(*rows.columns, *[(F.col(f"_{c}") + F.sum(c).over(within) - F.col(c)).alias(f"{c}_before") for c in sums])
+
+
 def _segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, ...]]:
     """(start, slope, weight at start, area before) for each piece of a schedule, area scaled to 1."""
     area, out = 0.0, []
