@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
+from ..functions.geometry import format_points
 from ..operators import components as cc
 from ..operators import pixels as px
 from ..operators import resample, tiling, vectorize
@@ -214,9 +215,40 @@ SQL["page_extraction"] = _rec(f"""WITH {_MASK}, m AS (SELECT image_id, y, x FROM
  SELECT image_id, x || ',' || y || ' ' || (x + w) || ',' || y || ' ' || (x + w) || ',' || (y + h) || ' ' || x || ',' || (y + h) AS border, (w * h)::INT AS area, 8::INT AS image_width, 8::INT AS image_height FROM t WHERE rn = 1""", "prob")
 
 
+def _rectangles(share: float, scale: int = 1) -> str:
+    """Of an image ``scale`` times as large as m, with pixels repeated: smallest rectangles of the components of m: each lies on an edge of the hull; of equal ones that of the first edge, from the leftmost point on."""
+    return f"""{_components('m')}, e AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM m GROUP BY image_id),
+ q AS (SELECT DISTINCT image_id, c, x, y * {scale} + i AS y FROM (SELECT image_id, c, unnest([min(p % 100) * {scale}, max(p % 100) * {scale} + {scale - 1}]) AS x, p // 100 AS y FROM l GROUP BY image_id, c, p // 100), range({scale}) a(i)),
+ ab AS (SELECT a.image_id, a.c, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM q a JOIN q b ON a.image_id = b.image_id AND a.c = b.c AND (a.x, a.y) <> (b.x, b.y)),
+ ed AS (SELECT ab.*, min(q.x * dx + q.y * dy) AS s0, max(q.x * dx + q.y * dy) AS s1, min(q.y * dx - q.x * dy) AS t0, max(q.y * dx - q.x * dy) AS t1, dx * dx + dy * dy AS n
+        FROM ab JOIN q ON q.image_id = ab.image_id AND q.c = ab.c GROUP BY ALL
+        HAVING bool_and(dx * (q.y - ay) - dy * (q.x - ax) > 0 OR (dx * (q.y - ay) - dy * (q.x - ax) = 0 AND (q.x - ax) * dx + (q.y - ay) * dy BETWEEN 0 AND dx * dx + dy * dy)) AND max(dx * (q.y - ay) - dy * (q.x - ax)) > 0),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, c ORDER BY round((s1 - s0) * (t1 - t0)::DOUBLE / n, 6), CASE WHEN atan2(dy, dx) <= -1.5707963 THEN atan2(dy, dx) + 6.2831853 ELSE atan2(dy, dx) END) AS k FROM ed),
+ cs AS (SELECT image_id, c, floor((dx * s0 - dy * t0)::DOUBLE / n + 1e-9)::INT AS x1, floor((dy * s0 + dx * t0)::DOUBLE / n + 1e-9)::INT AS y1, floor((dx * s1 - dy * t0)::DOUBLE / n + 1e-9)::INT AS x2, floor((dy * s1 + dx * t0)::DOUBLE / n + 1e-9)::INT AS y2,
+        floor((dx * s1 - dy * t1)::DOUBLE / n + 1e-9)::INT AS x3, floor((dy * s1 + dx * t1)::DOUBLE / n + 1e-9)::INT AS y3, floor((dx * s0 - dy * t1)::DOUBLE / n + 1e-9)::INT AS x4, floor((dy * s0 + dx * t1)::DOUBLE / n + 1e-9)::INT AS y4 FROM rk WHERE k = 1),
+ ar AS (SELECT cs.*, h, w, abs(x1 * y2 - x2 * y1 + x2 * y3 - x3 * y2 + x3 * y4 - x4 * y3 + x4 * y1 - x1 * y4) / 2.0::DOUBLE AS area FROM cs JOIN e ON e.image_id = cs.image_id),
+ bx AS (SELECT image_id, area, {" || ' ' || ".join(f"greatest(0, least(w, x{i})) || ',' || greatest(0, least(h, y{i}))" for i in (1, 2, 3, 4))} AS corners FROM ar WHERE area > {share} * h * w)"""
+
+
 @query()
 def boxes_min_rectangle(spark: SparkSession, d: str) -> DataFrame:
-    return vectorize.find_boxes(px.threshold(views.prob(spark, d), 0.7), "min_rectangle", 0.05)
+    found = vectorize.find_boxes(px.threshold(views.prob(spark, d), 0.7), "min_rectangle", 0.05)
+    return found.select("image_id", format_points(F.col("points")).alias("corners"), "area")
+
+
+SQL["boxes_min_rectangle"] = _rec(f"WITH m AS (SELECT image_id, y, x FROM prob WHERE v > 0.7), {_rectangles(0.05)} SELECT image_id, corners, area FROM bx", "prob")
+
+
+@query()
+def page_quads(spark: SparkSession, d: str) -> DataFrame:
+    """Page extraction with rotated boxes: the cleaned mask, back at the page's own size (three times as large), and its largest smallest-area rectangle."""
+    mask = page_mask(spark, d)
+    sizes = mask.select("image_id").distinct().select("image_id", F.lit(24).alias("height"), F.lit(24).alias("width"))
+    whole = resample.nearest(mask, sizes).where("v = 1")
+    return vectorize.find_boxes(whole, "min_rectangle", 0.1, sizes, n_max=1).select("image_id", "area")
+
+
+SQL["page_quads"] = _rec(f"WITH {_MASK}, m AS (SELECT image_id, y, x FROM m4 WHERE v = 1), {_rectangles(0.1, 3).replace('max(y) + 1 AS h, max(x) + 1 AS w', '24 AS h, 24 AS w')} SELECT image_id, max(area) AS area FROM bx GROUP BY image_id", "prob")
 
 
 @query()
@@ -229,6 +261,36 @@ def polygons(spark: SparkSession, d: str) -> DataFrame:
     return vectorize.find_polygons(px.threshold(views.prob(spark, d), 0.6), 0.02, n_max=3)
 
 
+#: Areas of outer contours through pixel centres: of a component with its holes filled, squares of four pixels count 1, of three one half.
+_AREAS = f"""m AS (SELECT image_id, y, x FROM prob WHERE v > 0.6), {_components('m')}, e AS (SELECT image_id, (max(y) + 1) * (max(x) + 1) AS size FROM m GROUP BY image_id),
+ s AS (SELECT image_id, c, p // 100 AS y, p % 100 AS x FROM l), g AS (SELECT image_id, c, i AS y, j AS x FROM (SELECT DISTINCT image_id, c FROM l), range(-1, 9) a(i), range(-1, 9) b(j)),
+ o AS (SELECT g.* FROM g LEFT JOIN s ON s.image_id = g.image_id AND s.c = g.c AND s.y = g.y AND s.x = g.x WHERE s.c IS NULL),
+ f AS (SELECT image_id, c, y, x FROM o WHERE y = -1 AND x = -1 UNION SELECT o.image_id, o.c, o.y, o.x FROM f JOIN o ON o.image_id = f.image_id AND o.c = f.c AND abs(o.y - f.y) + abs(o.x - f.x) = 1),
+ d AS (SELECT g.* FROM g LEFT JOIN f ON f.image_id = g.image_id AND f.c = g.c AND f.y = g.y AND f.x = g.x WHERE f.c IS NULL),
+ k AS (SELECT image_id, c, y - i AS y, x - j AS x, count(*) AS n FROM d, range(2) a(i), range(2) b(j) GROUP BY image_id, c, y - i, x - j),
+ t AS (SELECT k.image_id, c, size, sum(CASE n WHEN 4 THEN 1.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS area FROM k JOIN e ON e.image_id = k.image_id GROUP BY k.image_id, c, size)"""
+
+
+@query()
+def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
+    """First corners and areas of all outer contours of more than two hundredths of the image."""
+    found = vectorize.find_polygons(px.threshold(views.prob(spark, d), 0.6), 0.02)
+    return found.select("image_id", F.col("points")[0]["y"].alias("y"), F.col("points")[0]["x"].alias("x"), "area")
+
+
+SQL["polygon_areas"] = _rec(f"WITH {_AREAS} SELECT image_id, (c // 100)::INT AS y, (c % 100)::INT AS x, area FROM t WHERE area > 0.02 * size", "prob")
+
+
+@query()
+def polygon_areas_top(spark: SparkSession, d: str) -> DataFrame:
+    """Area of the largest polygon of each image, by component."""
+    labelled = cc.label_images(px.threshold(views.prob(spark, d), 0.6))
+    return vectorize.find_polygons(labelled, 0.02, n_max=1).select("image_id", "area")
+
+
+SQL["polygon_areas_top"] = _rec(f"WITH {_AREAS} SELECT image_id, area FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area DESC) AS r FROM t WHERE area > 0.02 * size) WHERE r = 1", "prob")
+
+
 @query()
 def skeleton_lines(spark: SparkSession, d: str) -> DataFrame:
     return vectorize.find_lines(px.threshold(views.prob(spark, d), 0.6))
