@@ -104,11 +104,13 @@ def placed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequenc
     document. positions: training positions (0 to 1) at which the document's copies begin, ascending, empty
     if nothing is taken; position: the first, null if there is none. ``mix`` range-sorts the rows by position.
 
-    Null sources are a source of their own, null ids are as ids that come first in hash order; repeated rows
-    are documents of their own; without rows or words nothing is taken; other columns are ignored.
+    Null sources are a source of their own; rows with null ids are in order of a hash of their texts; repeated rows
+    are documents of their own; texts of any length are taken whole; without rows or words nothing is taken; other
+    columns are ignored.
     """
     text = F.col(f"`{text_col}`")
-    place = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    unnamed = F.concat(F.lit("null "), F.md5(F.coalesce(text, F.lit(""))))  # rows without ids are spread by their texts
+    place = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), unnamed))
     rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"), F.substring(place, 1, 3).alias("bucket"), _key(id_col, text_col, source_col).alias("key")), "mix-sizes")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, cap)
@@ -164,7 +166,7 @@ def _double(sql: str) -> str:
 
 ORACLE_SQL = {
     "op5_mix_sources": f"""
-WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))) AS place,
              coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
  r AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3)::INT AS slot FROM s),

@@ -74,7 +74,10 @@ def test_line_dedup_sql_on_odd_rows(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["op5_mix_sources", "op9_near_duplicates"])
 def test_sql_on_odd_rows(spark, tmp_path, name):
-    same_as_sql(spark, name, write(spark, tmp_path, documents=(odd_documents(2, False), DOCS)), "documents")
+    rows = odd_documents(2, False)
+    if name == "op5_mix_sources":
+        rows += [(None, f"text without an id {i % 9}", "en", "s1", 0) for i in range(20)]
+    same_as_sql(spark, name, write(spark, tmp_path, documents=(rows, DOCS)), "documents")
 
 
 def test_preference_sql(spark, tmp_path):
