@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, stage, unstage
+from .words import chunks
 
 ORDERS = (3, 4, 5, 6)
 #: Bound on labelled rows for fitting; which rows: a hash of the id.
@@ -43,22 +44,26 @@ class Model:
 
     def active(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Rows and indices of the features that occur in each text, once each."""
-        rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        m, pairs = len(self.grams) + 1, [np.zeros(0, np.int64)]
         for codes, owner in _pieces(texts):
+            mine = [np.zeros(0, np.int64)]
             for h in _grams(codes):
                 at = np.flatnonzero(self.filter[_slot(h)])
                 k = np.searchsorted(self.grams, h[at])
                 k[k == len(self.grams)] = 0
                 hit = self.grams[k] == h[at] if len(self.grams) else np.zeros(len(at), bool)
-                rows.append(owner[at[hit]])
-                found.append(k[hit])
-        pair = np.unique(np.concatenate(rows) * (len(self.grams) + 1) + np.concatenate(found))
-        return pair // (len(self.grams) + 1), pair % (len(self.grams) + 1)
+                mine.append(owner[at[hit]] * m + k[hit])
+            pairs.append(np.unique(np.concatenate(mine)))  # a gram that a piece repeats is kept once
+        pair = np.unique(np.concatenate(pairs))
+        return pair // m, pair % m
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        rows, found = self.active(texts)
-        z = self.bias + np.bincount(rows, self.weights[found], minlength=len(texts)) if len(found) else np.full(len(texts), self.bias)
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        out = [np.zeros(0)]
+        for lo, hi in chunks(texts, 4 * _PIECE):
+            rows, found = self.active(texts[lo:hi])
+            z = self.bias + (np.bincount(rows, self.weights[found], minlength=hi - lo) if len(found) else np.zeros(hi - lo))
+            out.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return np.concatenate(out)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -223,9 +228,11 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, significant: float = SI
 
     def presences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            row, found = shared.value.active(batch["text"].tolist())
-            cut = np.searchsorted(row, np.arange(1, len(batch)))
-            yield pd.DataFrame({"toxic": batch["toxic"].to_numpy(), "found": [x.astype("<i4").tobytes() for x in np.split(found, cut)]})
+            texts = batch["text"].tolist()
+            for lo, hi in chunks(texts, 4 * _PIECE):
+                row, found = shared.value.active(texts[lo:hi])
+                cut = np.searchsorted(row, np.arange(1, hi - lo))
+                yield pd.DataFrame({"toxic": batch["toxic"].to_numpy()[lo:hi], "found": [x.astype("<i4").tobytes() for x in np.split(found, cut)]})
 
     fitted = rows.mapInPandas(presences, "toxic int, found binary").toPandas()  # ``max_rows`` rows at most
     lengths = fitted["found"].map(len).to_numpy(np.int64) // 4
