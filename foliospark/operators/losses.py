@@ -53,5 +53,10 @@ def masked_mean(pixels: DataFrame, margin: int, loss: str = "loss") -> DataFrame
     return inner.groupBy("image_id").agg(F.avg(loss).alias("loss"))
 
 
+def batch_mean(losses: DataFrame, batch: str = "batch", loss: str = "loss") -> DataFrame:
+    """batch, loss: mean over the images of a batch."""
+    return losses.groupBy(batch).agg(F.avg(loss).alias(loss))
+
+
 def learning_rate(step: Column, rate: float, decay: float = 0.95, every: int = 200) -> Column:
     return F.lit(rate) * F.pow(F.lit(decay), step / every)

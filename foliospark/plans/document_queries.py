@@ -9,7 +9,7 @@ from .. import annotations as an
 from .. import views
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..operators import labels, pairing, pixels, raster, resample
+from ..operators import labels, losses, pairing, pixels, raster, resample
 from ..views import r6, with_views
 
 QUERIES: dict = {}
@@ -238,3 +238,35 @@ def working_items(spark: SparkSession, d: str) -> DataFrame:
     rows = views.regions(spark, d).groupBy("image_id").agg(F.collect_list(F.when(F.col("flag") == "R", F.struct("x", "y"))).alias("regions")).select(name, name.alias("key"), "regions")
     out = an.working_items(rows, rows.select("filename", F.lit(2000).alias("height"), F.lit(1000).alias("width")), "all", 500)
     return out.select("collection", "image_name", "original_x", "original_y", "reduced_x", "reduced_y", F.size("regions").cast("long").alias("regions"))
+
+
+_FILLED = f"""{_P}, s AS (SELECT DISTINCT id, x1, y1, x2, y2, x3, y3 FROM p WHERE n = 1), e AS (SELECT id, x1 AS k1, y1 AS k2, x2 AS k3, y2 AS k4, x3 AS k5, y3 AS k6, unnest([x1, x2, x3]) AS xa, unnest([y1, y2, y3]) AS ya, unnest([x2, x3, x1]) AS xb, unnest([y2, y3, y1]) AS yb FROM s),
+ c AS (SELECT id, k1, k2, k3, k4, k5, k6, r.y, xa + (r.y - ya) * (xb - xa)::DOUBLE / (yb - ya) AS x FROM e, range(80) r(y) WHERE (ya <= r.y AND yb > r.y) OR (yb <= r.y AND ya > r.y)),
+ l AS (SELECT id, y, min(x) AS a, max(x) AS b FROM c GROUP BY id, k1, k2, k3, k4, k5, k6, y),
+ f AS (SELECT DISTINCT id, y::INT AS y, q.x::INT AS x FROM l, range(80) q(x) WHERE q.x >= ceil(a) AND q.x < ceil(b))"""
+
+
+@query(f"WITH {_FILLED}, g AS (SELECT id, y, x + 2 AS x FROM f) SELECT coalesce(f.id, g.id) AS id, count(f.id + g.id)::DOUBLE / count(*) AS iou FROM f FULL JOIN g ON g.id = f.id AND g.y = f.y AND g.x = f.x GROUP BY coalesce(f.id, g.id)")
+def polygon_iou(spark: SparkSession, d: str) -> DataFrame:
+    """Polygons as pixels against the same ones two pixels to the right."""
+    t = _triangles(spark, d).where("n = 1").select("id", F.col("p").alias("points"))
+    moved = t.select("id", F.transform("points", lambda q: F.struct((q["x"] + 2).alias("x"), q["y"].alias("y"))).alias("points"))
+    return raster.pixel_iou(raster.fill_polygons(t, ["id"]), raster.fill_polygons(moved, ["id"]), "id")
+
+
+@query(f"SELECT image_id % 16 AS batch, {_R6('avg(v)')} AS loss FROM (SELECT image_id, avg(v) AS v FROM prob WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY image_id) GROUP BY image_id % 16", "prob")
+def batch_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Means over images without their margins, then over batches."""
+    images = losses.masked_mean(views.prob(spark, d).withColumnRenamed("v", "loss"), 2)
+    return losses.batch_mean(images.withColumn("batch", F.col("image_id") % 16)).withColumn("loss", r6(F.col("loss")))
+
+
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY x, y, w, h, flag) - 1 AS i FROM (SELECT DISTINCT image_id, x, y, w, h, flag FROM regions))
+ SELECT image_id, '<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{an.NAMESPACE}"><Metadata><Creator>foliospark</Creator><Created>2020</Created></Metadata><Page imageFilename="' || image_id || '" imageWidth="250" imageHeight="300">' || string_agg('<TextRegion id="region_' || i || '" custom="structure {{type:' || flag || ';}}"><Coords points="' || {_CORNERS} || '"/></TextRegion>', '' ORDER BY i) || '</Page></PcGts>' AS xml FROM r GROUP BY image_id""", "regions")
+def via_page(spark: SparkSession, d: str) -> DataFrame:
+    """Annotated rectangles as documents, tags and all."""
+    rows = views.regions(spark, d).select("image_id", "x", "y", "w", "h", "flag").distinct()
+    regions = rows.select(F.col("image_id").cast("string").alias("filename"), geo.rectangle(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("points"), F.create_map(F.lit("kind"), F.col("flag")).alias("attributes"))
+    sizes = rows.select(F.col("image_id").cast("string").alias("filename"), F.lit(300).alias("height"), F.lit(250).alias("width")).distinct()
+    pages = an.via_page(regions, sizes, "kind")
+    return pages.select(F.col("image_filename").cast("long").alias("image_id"), an.page_xml("foliospark", "2020", pages.schema).alias("xml"))

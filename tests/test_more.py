@@ -1,5 +1,7 @@
 import colorsys
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark import annotations as an
@@ -85,3 +87,38 @@ def test_annotated_page_and_json(spark):
     got = an.annotate_page(page, 1, endpoint_radius=0).groupBy("channel").count().collect()
     assert {r.channel: r["count"] for r in got} == {"r": 10, "g": 16, "b": 2}
     assert '"text":"t"' in page.select(an.page_json(["image_filename", "text_regions"])).first()[0]
+
+
+def test_shapes_by_component_are_those_by_image(spark):
+    from foliospark.operators import components, vectorize
+
+    rng = random.Random(3)
+    rows = [(i, y, x) for i in range(3) for y in range(40) for x in range(50) if rng.random() < 0.45]
+    mask = spark.createDataFrame(rows, "image_id long, y int, x int")
+    from foliospark.checkpoints import ensure
+
+    ensure(spark)
+    tiled = components.label_tiled(mask, tile=16)
+    for f in (lambda m: vectorize.find_polygons(m, 0.0005), lambda m: vectorize.find_boxes(m, "min_rectangle", 0.001), lambda m: vectorize.find_boxes(m, "rectangle", 0.001, n_max=2)):
+        assert sorted(map(str, f(mask).collect())) == sorted(map(str, f(tiled).collect()))
+    assert sorted(map(str, vectorize.find_lines(mask).collect())) == sorted(map(str, vectorize.find_lines(tiled).collect()))
+
+
+def test_a_line_over_many_tiles_is_one_component(spark):
+    from foliospark.checkpoints import ensure
+    from foliospark.operators import components
+
+    ensure(spark)
+    mask = spark.createDataFrame([(1, 3, x) for x in range(200)], "image_id long, y int, x int")
+    assert components.label_tiled(mask, tile=8).select("component").distinct().count() == 1
+
+
+def test_large_palettes_are_an_error(spark):
+    from foliospark.operators import labels
+
+    palette = spark.range(labels.PALETTE_LIMIT + 1).selectExpr("int(id) as class_id", "0 as r", "0 as g", "0 as b", "array(1) as codes")
+    pixels = spark.createDataFrame([(1,)], "class_id int")
+    with pytest.raises(ValueError, match="entries at most"):
+        labels.class_colour(pixels, palette)
+    with pytest.raises(ValueError, match="entries at most"):
+        labels.codes_colour(pixels.selectExpr("array(1) as codes"), palette)

@@ -66,6 +66,24 @@ def test_page_xml_round_trip(spark, tmp_path):
     assert an.text_lines(an.read_page_xml(spark, str(tmp_path)), ["image_filename"]).count() == 2
 
 
+def test_whole_page_round_trip(spark, tmp_path):
+    from foliospark.plans import document_queries
+
+    pages = document_queries._pages(spark, "/root/testdata/sf0.001").where("size(table_regions) > 0 and size(graphic_regions) > 0 and size(separator_regions) > 0")
+    kinds = ["text_regions", "graphic_regions", "separator_regions", "table_regions", "page_border"]
+    want = pages.orderBy("image_id").limit(20)
+    an.write_documents(want.select("image_filename", an.page_xml("me", "2020", pages.schema).alias("xml")), str(tmp_path / "pages"))
+    back = {r.image_filename: r for r in an.read_page_xml(spark, str(tmp_path / "pages/*")).collect()}
+    rows = want.collect()
+    assert len(back) == len(rows) == 20
+    plain = lambda v: {k: plain(x) for k, x in v.asDict().items()} if hasattr(v, "asDict") else [plain(x) for x in v] if isinstance(v, list) else "" if v is None else v
+    for r in rows:
+        for kind in kinds:
+            own, read = plain(r[kind]), plain(back[r.image_filename][kind])
+            for a, b in zip(own, read, strict=True):
+                assert a == {k: b[k] for k in a}
+
+
 def test_via(spark, tmp_path):
     body = """{"_via_img_metadata": {"a.jpg12": {"filename": "a.jpg", "size": 12, "file_attributes": {}, "regions": [
       {"region_attributes": {"kind": "text", "box": {"x": true, "y": false}}, "shape_attributes": {"name": "rect", "x": 1, "y": 2, "width": 3, "height": 4}},
