@@ -29,8 +29,11 @@ def _shape(r: Column) -> list[Column]:
 
 def _list(column: str, build) -> Column:
     """An empty list where the document has no such element."""
-    built = F.transform(F.col(column), lambda r: F.struct(*build(r)))
-    return F.coalesce(built, F.filter(F.transform(F.array(F.lit(1)), lambda _: F.get(built, F.lit(0))), lambda x: F.lit(False)))
+    return _or_empty(F.transform(F.col(column), lambda r: F.struct(*build(r))))
+
+
+def _or_empty(built: Column) -> Column:
+    return F.coalesce(built, F.filter(F.array(F.get(built, F.lit(0))), lambda _: F.lit(False)))
 
 
 def read_page_xml(spark: SparkSession, path: str) -> DataFrame:
@@ -41,14 +44,14 @@ def read_page_xml(spark: SparkSession, path: str) -> DataFrame:
         return [*_shape(t), parse_points(t["Baseline"]["_points"]).alias("baseline"), F.coalesce(t["TextEquiv"]["Unicode"], F.lit("")).alias("text")]
 
     def region(r: Column) -> list[Column]:
-        return [*_shape(r), r["_type"].alias("type"), F.coalesce(r["TextEquiv"]["Unicode"], F.lit("")).alias("text_equiv"), F.transform(r["TextLine"], lambda t: F.struct(*line(t))).alias("text_lines")]
+        return [*_shape(r), r["_type"].alias("type"), F.coalesce(r["TextEquiv"]["Unicode"], F.lit("")).alias("text_equiv"), _or_empty(F.transform(r["TextLine"], lambda t: F.struct(*line(t)))).alias("text_lines")]
 
     def cell(c: Column) -> list[Column]:
         flag = lambda x: F.lower(c[x]) == "true"
         return [*_shape(c), c["_rowIndex"].alias("row_index"), c["_columnIndex"].alias("col_index"), c["_rowSpan"].alias("row_span"), c["_colSpan"].alias("col_span"), flag("_header").alias("header"), flag("_embText").alias("embedded_text")]
 
     def grid(t: Column) -> list[Column]:
-        return [*_shape(t), t["_rows"].alias("rows"), t["_columns"].alias("columns"), F.transform(t["TableCell"], lambda c: F.struct(*cell(c))).alias("cells")]
+        return [*_shape(t), t["_rows"].alias("rows"), t["_columns"].alias("columns"), _or_empty(F.transform(t["TableCell"], lambda c: F.struct(*cell(c)))).alias("cells")]
 
     meta = F.struct(*[F.col(f"Metadata.{a}").alias(b) for a, b in (("Creator", "creator"), ("Created", "created"), ("LastChange", "last_change"), ("Comments", "comments"))])
     return rows.select(
