@@ -36,16 +36,26 @@ def random_flips(rows: DataFrame, key: str = "image_id", seed: int = 0) -> DataF
     return both.withColumns({"y": F.when(ud, F.col("y")).otherwise(F.col("_y")), "x": F.when(lr, F.col("x")).otherwise(F.col("_x"))}).drop("_y", "_x")
 
 
-def training_table(images: DataFrame, label_images: DataFrame, palette: DataFrame, settings: TrainingSettings, seed: int = 0) -> DataFrame:
+def training_table(images: DataFrame, label_images: DataFrame, palette: DataFrame, settings: TrainingSettings, seed: int = 0, geometry: bool = False) -> DataFrame:
     """images and label_images (image_id, y, x, r, g, b) -> epoch, image_id, patch_y, patch_x, y, x, r, g, b, class_id, batch, all joins by pixel.
 
-    Each epoch has its own flips and its own order of images; patches are cut last.
+    Each epoch has its own flips and its own order of images; patches are cut last. With ``geometry`` images are also
+    brought to about ``input_pixels`` pixels, scaled at random by ``augment_scale`` and turned by up to
+    ``augment_rotation`` (radians) either way, colours and classes alike by nearest pixels; what a turn leaves out is
+    absent. Without it these three settings aren't used. Settings of losses and learning rates concern training alone.
     """
     classes = labels.nearest_class(label_images, palette).select("image_id", "y", "x", "class_id")
     rows = images.join(classes, ["image_id", "y", "x"])
     order = pairing.epochs(images.select("image_id").distinct(), settings.n_epochs, "image_id", seed)
     order = pairing.batches(order, settings.batch_size, "epoch", ["shuffle_key", "image_id"])
     rows = rows.join(order.select("image_id", "epoch", "batch"), "image_id").withColumns({"_id": F.col("image_id"), "image_id": F.struct("image_id", "epoch")})
+    if geometry:
+        values = [c for c in rows.columns if c not in ("image_id", "y", "x")]
+        extent = rows.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+        sizes = extent.select("image_id", scaled_size(F.col("h"), F.col("w"), F.col("image_id"), settings, seed).alias("s")).select("image_id", "s.height", "s.width")
+        rows = resample.nearest(rows, sizes, value=values)
+        if settings.augment_rotation:
+            rows = resample.rotate(rows, (2 * uniform(F.col("image_id"), seed, "turn") - 1) * settings.augment_rotation, values)
     if settings.augment_flip:
         rows = random_flips(rows, "image_id", seed)
     if settings.make_patches:

@@ -20,16 +20,20 @@ def _grid(pixels: DataFrame, height: int | DataFrame, width: int | None) -> Data
     return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
 
 
-def nearest(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str = "v") -> DataFrame:
-    """Source place: floor(target * in / out).
+def _list(value: str | list[str]) -> list[str]:
+    return [value] if isinstance(value, str) else value
+
+
+def nearest(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str | list[str] = "v") -> DataFrame:
+    """Source place: floor(target * in / out). One value or several.
 
     Instead of one height and width: a frame of sizes (image_id, height, width), such as the originals'; an image
     without a size, or with a null one, stays as it is.
     """
     grid = _grid(pixels, height, width)
     at = grid.withColumns({"_y": F.floor(F.col("y") * F.col("sh") / F.col("th")).cast("int"), "_x": F.floor(F.col("x") * F.col("sw") / F.col("tw")).cast("int")})
-    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), value)
-    return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", value)
+    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), *_list(value))
+    return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", *_list(value))
 
 
 def bilinear(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str = "v") -> DataFrame:
@@ -73,15 +77,15 @@ def inner_crop(height: Column, width: Column, angle: Column) -> Column:
     return F.struct(h.alias("height"), w.alias("width"))
 
 
-def rotate(pixels: DataFrame, angle: float, value: str = "v") -> DataFrame:
-    """Turned by ``angle`` (radians) about the middle, nearest pixel; pixels from outside the raster are absent."""
-    s, c = math.sin(angle), math.cos(angle)
+def rotate(pixels: DataFrame, angle: float | Column, value: str | list[str] = "v") -> DataFrame:
+    """Turned by ``angle`` (radians, perhaps of image_id) about the middle, nearest pixel; pixels from outside the raster are absent."""
+    s, c = (F.sin(angle), F.cos(angle)) if isinstance(angle, Column) else (math.sin(angle), math.cos(angle))
     sized = pixels.groupBy("image_id").agg((F.max("y") / 2).alias("my"), (F.max("x") / 2).alias("mx"))
     at = pixels.select("image_id", "y", "x").join(sized, "image_id")
     dy, dx = F.col("y") - F.col("my"), F.col("x") - F.col("mx")
     at = at.withColumns({"_y": F.floor(F.col("my") + dy * c - dx * s + 0.5).cast("int"), "_x": F.floor(F.col("mx") + dy * s + dx * c + 0.5).cast("int")})
-    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), value)
-    return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", value)
+    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), *_list(value))
+    return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", *_list(value))
 
 
 def random_scale(key: Column, share: float, seed: int = 0) -> Column:

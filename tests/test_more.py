@@ -32,6 +32,23 @@ def test_training_table(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def test_training_table_with_geometry(spark):
+    rows = [(i, y, x, 200, 10 * x, 0) for i in (1, 2) for y in range(8) for x in range(8)]
+    images = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+    marks = images.withColumns({"r": F.when(F.col("x") < 4, 255).otherwise(0), "g": F.lit(0)})
+    palette = spark.createDataFrame([(0, 0, 0, 0), (1, 255, 0, 0)], "class_id int, r int, g int, b int")
+    plain = TrainingSettings(n_epochs=2, make_patches=False, augment_flip=False, input_pixels=256, augment_scale=0.0, augment_rotation=0.0)
+    got = augment.training_table(images, marks, palette, plain, geometry=True).collect()
+    assert len(got) == 2 * 2 * 256 and all(r.g == 10 * (r.x // 2) and (r.class_id == 1) == (r.x < 8) for r in got)
+    turned = TrainingSettings(n_epochs=2, make_patches=False, augment_flip=False, input_pixels=256, augment_scale=0.3, augment_rotation=0.4)
+    again = augment.training_table(images, marks, palette, turned, geometry=True).collect()
+    sizes = {(r.epoch, r.image_id): 0 for r in again}
+    for r in again:
+        sizes[r.epoch, r.image_id] += 1
+        assert (r.class_id == 1) == (r.g < 40)
+    assert len(set(sizes.values())) > 1 and max(sizes.values()) <= 256 * 1.3
+
+
 def test_via_masks_export_and_page(spark, tmp_path):
     body = """{"a.jpg9": {"filename": "a.jpg", "size": 9, "file_attributes": {}, "regions": [
       {"region_attributes": {"kind": "Text"}, "shape_attributes": {"name": "rect", "x": 1, "y": 1, "width": 3, "height": 2}},
