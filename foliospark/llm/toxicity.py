@@ -2,9 +2,10 @@
 
 Training takes labelled rows up to a documented bound, which bounds all else. Each n-gram's presence is counted over
 toxic and clean training texts on the executors; the ratio r = log((p/|p|) / (q/|q|)) of its smoothed counts, with
-sums over all n-grams, scales the feature. All n-grams whose counts differ significantly between the classes (a
-likelihood-ratio test, no cap on how many) make the feature table, and a logistic regression over the scaled
-presences is fitted on the training rows' active features. Scoring looks the table's n-grams up in whole texts, in
+sums over all n-grams, scales the feature. The n-grams whose counts differ most between the classes (by likelihood
+ratio) make the feature table; how many is chosen by cross-validation over folds of the training rows, with counts,
+ratios and fits of the other folds only, and goes on growing while the held-out loss falls. A logistic regression over
+the scaled presences is fitted on the training rows' active features. Scoring looks the table's n-grams up in whole texts, in
 pieces of bounded length, without any shuffle.
 """
 
@@ -24,8 +25,8 @@ from .words import chunks
 ORDERS = (3, 4, 5, 6)
 #: Bound on labelled rows for fitting; which rows: a hash of the id.
 MAX_ROWS = 20_000
-#: Likelihood ratio statistic (chi-square of one degree) from which an n-gram is a feature: chance 5e-9, so that of millions hardly one is there by chance.
-SIGNIFICANT = 34.0
+#: Folds of the cross-validation, and the numbers of features that it begins with; it goes on in the same steps while the largest is the best.
+FOLDS, SIZES = 3, (32, 128, 512, 2048, 8192)
 THRESHOLD = 0.7
 _PIECE = 400_000  # characters handled at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -108,10 +109,13 @@ def _grams(codes: np.ndarray) -> Iterator[np.ndarray]:
             yield mixed
 
 
+_COUNTS = [f"{c}{k}" for k in range(FOLDS) for c in "pq"]
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each n-gram: in how many toxic and clean texts of a batch it is present."""
+    """Of each n-gram: in how many toxic (p) and clean (q) texts of each fold it is present."""
     for batch in batches:
-        texts, toxic = batch["text"].tolist(), batch["toxic"].to_numpy(np.int64)
+        texts, kind = batch["text"].tolist(), (2 * batch["fold"] + 1 - batch["toxic"]).to_numpy(np.int64)
         at = 0
         while at < len(texts):  # about a piece of text at a time
             stop, size = at, 0
@@ -130,10 +134,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 first = np.ones(len(h), bool)
                 first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
                 first &= h != 0
-                h, is_toxic = h[first], toxic[at + row[first]]
+                h, own = h[first], kind[at + row[first]]
                 new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
                 if len(new):
-                    yield pd.DataFrame({"gram": h[new].view(np.int64), "p": np.add.reduceat(is_toxic, new), "q": np.add.reduceat(1 - is_toxic, new)})
+                    yield pd.DataFrame({"gram": h[new].view(np.int64)} | {c: np.add.reduceat(own == k, new, dtype=np.int64) for k, c in enumerate(_COUNTS)})
             at = stop
 
 
@@ -195,51 +199,122 @@ def _fit_logistic(lengths: np.ndarray, features: np.ndarray, scale: np.ndarray,
     return theta[:m], float(theta[m])
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS, significant: float = SIGNIFICANT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def _statistic(p: Column, q: Column, toxic: int, clean: int) -> Column:
+    """Likelihood ratio (chi-square of one degree) of an n-gram's presence counts in the two classes."""
+    n, here = toxic + clean, p + q
+    cells = [(p, here, toxic), (q, here, clean), (toxic - p, n - here, toxic), (clean - q, n - here, clean)]
+    return sum(F.when(o > 0, 2 * o * F.log(o * float(n) / (row * float(column)))).otherwise(0.0) for o, row, column in cells)
+
+
+@dataclass
+class _Part:
+    """What the rows outside one fold (-1: all rows) say of the n-grams: the best ones, their ratios."""
+
+    grams: np.ndarray  # best first
+    ratios: np.ndarray
+
+
+def _best(counts: DataFrame, fold: int, n_rows: np.ndarray, size: int) -> _Part | None:
+    """The ``size`` n-grams with the highest statistic outside a fold, ties by their hashes; None without both classes."""
+    kept = [k for k in range(FOLDS) if k != fold]
+    toxic, clean = (int(n_rows[kept, c].sum()) for c in (0, 1))
+    if not toxic or not clean:
+        return None
+    p, q = (sum((F.col(f"{c}{k}") for k in kept), F.lit(0)) for c in "pq")
+    own = counts.select("gram", p.alias("p"), q.alias("q")).where("p + q > 0")
+    sums = own.agg(F.coalesce(F.sum(F.col("p") + 1), F.lit(1)), F.coalesce(F.sum(F.col("q") + 1), F.lit(1))).first()
+    table = own.orderBy(_statistic(F.col("p"), F.col("q"), toxic, clean).desc(), "gram").limit(size).toPandas()
+    return _Part(table["gram"].to_numpy(np.int64).view(np.uint64), ratios(table["p"].to_numpy(float), table["q"].to_numpy(float), float(sums[0]), float(sums[1])))
+
+
+@dataclass
+class _Rows:
+    """Training rows with their active n-grams of a list."""
+
+    y: np.ndarray
+    fold: np.ndarray
+    lengths: np.ndarray
+    found: np.ndarray
+
+    def fit(self, listed: np.ndarray, part: _Part, size: int, chosen: np.ndarray, **kind: int) -> tuple[np.ndarray, float]:
+        """Weight of each listed n-gram (0: not among the first ``size`` of the part) and bias, from the chosen rows."""
+        place = np.full(len(listed), -1)
+        own = np.searchsorted(listed, part.grams[:size])
+        place[own] = np.arange(len(own))
+        lengths, features = self._active(place, chosen)
+        w, bias = _fit_logistic(lengths, features, part.ratios[:size], self.y[chosen], **kind)
+        out = np.zeros(len(listed))
+        out[own] = w * part.ratios[:size]
+        return out, bias
+
+    def _active(self, place: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(self.y)), self.lengths)
+        use = chosen[row] & (place[self.found] >= 0)
+        return np.bincount(row[use], minlength=len(self.y))[chosen], place[self.found[use]]
+
+    def loss(self, weights: np.ndarray, bias: float, chosen: np.ndarray) -> float:
+        row = np.repeat(np.arange(len(self.y)), self.lengths)
+        z = (bias + np.bincount(row, weights[self.found], minlength=len(self.y)))[chosen]
+        return float(np.sum(np.logaddexp(0, z) - self.y[chosen] * z))
+
+
+def _presences(rows: DataFrame, grams: np.ndarray) -> _Rows:
+    """The training rows, ``max_rows`` at most, with the n-grams of the list that they have."""
+    shared = rows.sparkSession.sparkContext.broadcast(Model(grams, np.zeros(len(grams)), 0.0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for lo, hi in chunks(texts, 4 * _PIECE):
+                row, found = shared.value.active(texts[lo:hi])
+                cut = np.searchsorted(row, np.arange(1, hi - lo))
+                yield pd.DataFrame({c: batch[c].to_numpy()[lo:hi] for c in ("toxic", "fold")} | {"found": [x.astype("<i4").tobytes() for x in np.split(found, cut)]})
+
+    table = rows.mapInPandas(run, "toxic int, fold int, found binary").toPandas()
+    lengths = table["found"].map(len).to_numpy(np.int64) // 4
+    return _Rows(table["toxic"].to_numpy(np.float64), table["fold"].to_numpy(np.int64), lengths, np.frombuffer(b"".join(table["found"]), "<i4"))
+
+
+def train(labelled: DataFrame, max_rows: int = MAX_ROWS, features: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on up to about ``max_rows`` labelled rows (label 1: toxic, 0: not; rows with other labels are left out).
 
-    Without rows of both classes the model is its prior, by which empty training sets score 0.5. Null texts are
-    empty, very long ones are taken whole; repeated rows count as often as they occur; ids only choose rows.
+    ``features`` fixes their number; else it is chosen by cross-validation. Without rows of both classes the model is its
+    prior, by which empty training sets score 0.5. Null texts are empty, very long ones are taken whole; repeated rows
+    count as often as they occur (and are in one fold); ids only choose rows and folds.
     """
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{label_col}`").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
     n = rows.count()
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    rows = stage(rows, "toxic-train")
-    counts = rows.select("text", "toxic").mapInPandas(_count, "gram long, p long, q long").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    n_toxic = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    toxic, clean = int(n_toxic[0]), int(n_toxic[1]) - int(n_toxic[0])
+    rows = stage(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "toxic-train")
+    n_rows = np.zeros((FOLDS, 2), np.int64)
+    for r in rows.groupBy("fold", "toxic").count().collect():
+        n_rows[r["fold"], 1 - r["toxic"]] = r["count"]
+    toxic, clean = (int(x) for x in n_rows.sum(axis=0))
     if not toxic or not clean:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((toxic + 1) / (clean + 1))))
-    n = toxic + clean
-    here, away = F.col("p") + F.col("q"), F.lit(n) - F.col("p") - F.col("q")
-    cells = [(F.col("p"), here, toxic), (F.col("q"), here, clean), (toxic - F.col("p"), away, toxic), (clean - F.col("q"), away, clean)]
-    statistic = sum(F.when(o > 0, 2 * o * F.log(o * float(n) / (row * float(column)))).otherwise(0.0) for o, row, column in cells)
+    counts = rows.select("text", "toxic", "fold").mapInPandas(_count, ", ".join(f"{c} long" for c in ("gram", *_COUNTS))).groupBy("gram").agg(*[F.sum(c).cast("int").alias(c) for c in _COUNTS])
     counts = stage(counts, "toxic-grams")
-    sums = counts.agg(F.coalesce(F.sum(F.col("p") + 1), F.lit(1)), F.coalesce(F.sum(F.col("q") + 1), F.lit(1))).first()
-    table = counts.where(statistic >= significant).toPandas()
-    unstage(counts)
-    grams = table["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(grams)
-    p, q = table["p"].to_numpy(np.float64)[order], table["q"].to_numpy(np.float64)[order]
-    model = Model(grams[order], np.zeros(len(order)), 0.0)
-    r = ratios(p, q, float(sums[0]), float(sums[1]))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def presences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for lo, hi in chunks(texts, 4 * _PIECE):
-                row, found = shared.value.active(texts[lo:hi])
-                cut = np.searchsorted(row, np.arange(1, hi - lo))
-                yield pd.DataFrame({"toxic": batch["toxic"].to_numpy()[lo:hi], "found": [x.astype("<i4").tobytes() for x in np.split(found, cut)]})
-
-    fitted = rows.mapInPandas(presences, "toxic int, found binary").toPandas()  # ``max_rows`` rows at most
-    lengths = fitted["found"].map(len).to_numpy(np.int64) // 4
-    y, flat = fitted["toxic"].to_numpy(np.float64), np.frombuffer(b"".join(fitted["found"]), "<i4")
-    del fitted
-    w, bias = _fit_logistic(lengths, flat, r, y)
-    return Model(model.grams, w * r, bias)
+    if features:
+        size, whole = features, _best(counts, -1, n_rows, features)
+        listed = np.sort(whole.grams)
+        held = _presences(rows, listed)
+    else:
+        sizes, losses = list(SIZES), []
+        while len(losses) < len(sizes):
+            parts = {k: p for k in range(-1, FOLDS) if (p := _best(counts, k, n_rows, sizes[-1]))}
+            listed = np.unique(np.concatenate([p.grams for p in parts.values()]))
+            held = _presences(rows, listed)
+            for size in sizes[len(losses) :]:
+                fits = [(k, *held.fit(listed, p, size, held.fold != k, steps=10)) for k, p in parts.items() if k >= 0]
+                losses.append(sum(held.loss(w, b, held.fold == k) for k, w, b in fits))
+            if losses[-1] == min(losses) and len(parts[-1].grams) == sizes[-1]:
+                sizes.append(4 * sizes[-1])
+        size, whole = sizes[int(np.argmin(losses))], parts[-1]
+    weights, bias = held.fit(listed, whole, size, np.ones(len(held.y), bool))
+    unstage(counts, rows)
+    mine = np.isin(listed, whole.grams[:size])
+    return Model(listed[mine], weights[mine], bias)
 
 
 def score(spark: SparkSession, text: Column, model: Model) -> Column:

@@ -191,11 +191,29 @@ def test_toxicity_query(spark, documents):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.75), ("sf0.01", 0.9), ("sf0.1", 0.95)])
+def test_toxicity_ranks_held_out_rows(spark, sf, least):
+    """Share of held-out (toxic, clean) pairs in which the toxic text scores higher, ties half."""
+    scores = queries.queries()["op10_toxicity"](spark, f"/root/testdata/{sf}").toPandas()
+    held = scores[scores["held_out"]].merge(spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").toPandas(), on="doc_id")
+    rank, toxic = held["score"].rank(), held["toxic"] == 1
+    n = int(toxic.sum())
+    assert (rank[toxic].sum() - n * (n + 1) / 2) / (n * (len(held) - n)) >= least
+    assert scores["score"].nunique() > 5 and held.loc[toxic, "score"].mean() > 2 * held.loc[~toxic, "score"].mean()
+
+
+def test_toxicity_without_one_class_or_rows(spark):
+    rows = spark.createDataFrame([(1, "a text", 1), (2, None, 1), (None, "", 1)], "doc_id long, text string, toxic int")
+    assert toxicity.train(rows).score(["x"])[0] == pytest.approx(0.8)
+    assert toxicity.train(rows.where("false")).score(["x", None]).tolist() == [0.5, 0.5]
+
+
 def test_toxicity_model_against_brute_force(spark):
     """Features by their definition, ratios over all n-grams, and weights at the minimum of the penalised loss."""
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["mild", "calm", "tree", "Vile" if i % 4 == 0 else "kind", "sun"]) for _ in range(6)), int(i % 4 == 0)) for i in range(120)]
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    size = 150
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), features=size)
     held, p, q = [], Counter(), Counter()
     for _, t, y in rows:
         padded = f" {t.lower()} "
@@ -209,14 +227,15 @@ def test_toxicity_model_against_brute_force(spark):
         return sum(2 * o * math.log(o * n / (r * c)) for o, r, c in cells if o)
 
     every = set(p) | set(q)
-    chosen = {g for g in every if statistic(g) >= toxicity.SIGNIFICANT}
     hashes = {}
-    for g in chosen:
+    for g in every:
         codes = np.array([ord(x) for x in g], np.uint32)
         for order, h in zip(toxicity.ORDERS, toxicity._grams(codes), strict=False):
             if order == len(g):
                 hashes[g] = h[0]
-    assert chosen and sorted(hashes.values()) == model.grams.tolist()
+    chosen = {g for g in every if hashes[g] in set(model.grams.tolist())}
+    best = sorted(map(statistic, every), reverse=True)
+    assert len(chosen) == len(model.grams) == size and np.allclose(sorted(map(statistic, chosen), reverse=True), best[:size])
     total_p, total_q = sum(p[g] + 1 for g in every), sum(q[g] + 1 for g in every)
     ratio = {g: math.log((p[g] + 1) / total_p) - math.log((q[g] + 1) / total_q) for g in chosen}
     weight = {g: model.weights[np.searchsorted(model.grams, hashes[g])] / ratio[g] for g in chosen}
