@@ -17,6 +17,7 @@ import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,10 @@ class ByteLevel:
         if any(x >= y for x, y in zip(merged, merged[1:], strict=False)):
             raise ValueError(f"{path}: ids don't follow the merges' order")
         self.size = 1 + max(model["vocab"].values())
-        self.bytes = {i: token for token, i in ranks.items()}
+        self.bytes = [b""] * self.size
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        self.length = np.array([len(x) for x in self.bytes])
         self._codec = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
@@ -72,7 +76,8 @@ class Pieces:
 
         self._codec = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self._codec.get_piece_size()
-        self.bytes = {i: bytes([int(p[3:5], 16)]) if self._codec.is_byte(i) else p.replace(SPACE, " ").encode() for i in range(self.size) for p in [self._codec.id_to_piece(i)]}
+        self.bytes = [bytes([int(p[3:5], 16)]) if self._codec.is_byte(i) else p.replace(SPACE, " ").encode() for i in range(self.size) for p in [self._codec.id_to_piece(i)]]
+        self.length = np.array([len(x) for x in self.bytes])
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return self._codec.encode(list(texts), num_threads=1)
@@ -125,10 +130,7 @@ class Aligned:
 def align_texts(texts: Sequence[str | None], one: ByteLevel | Pieces, two: ByteLevel | Pieces) -> Aligned:
     """Texts null or empty, or that a tokenizer doesn't give back byte for byte, have no tokens."""
     texts = [t or "" for t in texts]
-    ids: list[list[list[int]]] = []
-    for c in (one, two):
-        own = c.encode(texts)
-        ids.append(own)
+    ids = [c.encode(texts) for c in (one, two)]
     size = np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
         want = b" " + t.encode("utf-8", "replace")
@@ -139,11 +141,8 @@ def align_texts(texts: Sequence[str | None], one: ByteLevel | Pieces, two: ByteL
     base = np.concatenate([[0], np.cumsum(size)])
     marks, flat, first = [], [], []
     for c, own in zip((one, two), ids, strict=True):
-        tokens = np.fromiter((i for x in own for i in x), np.int64, sum(map(len, own)))
-        length = np.zeros(c.size, np.int64)
-        for i, x in c.bytes.items():
-            length[i] = len(x)
-        marks.append(Marks.at(np.cumsum(length[tokens]) - 1, int(base[-1])))
+        tokens = np.fromiter(chain.from_iterable(own), np.int64, sum(map(len, own)))
+        marks.append(Marks.at(np.cumsum(c.length[tokens]) - 1, int(base[-1])))
         flat.append(tokens)
         first.append(np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64))
     one_ends, two_ends = marks
@@ -152,21 +151,25 @@ def align_texts(texts: Sequence[str | None], one: ByteLevel | Pieces, two: ByteL
     return Aligned(*flat, *first, one_ends.rank(cuts + 1), two_ends.rank(cuts + 1), shared.rank(base), one_ends.rank(ends), two_ends.rank(ends), pieces.rank(base))
 
 
-def _group_texts(x: Aligned) -> Iterator[str]:
+@lru_cache(maxsize=4)
+def _written(size_a: int, size_b: int) -> np.ndarray:
+    """Ids as they are written: a's followed by a comma, then by a bar, b's by a comma, by a semicolon, and by a line's end."""
+    return np.array([b"%d%s" % (i, mark) for size, mark in ((size_a, b","), (size_a, b"|"), (size_b, b","), (size_b, b";"), (size_b, b"\n")) for i in range(size)], dtype=object)
+
+
+def _group_texts(x: Aligned, size_a: int, size_b: int) -> Iterator[bytes]:
     """a1,a2|b1;a3|b2,b3 of each text; empty without tokens."""
-    a, b = x.a.astype(str).tolist(), x.b.astype(str).tolist()
-    ends_a, ends_b = x.group_a.tolist(), x.group_b.tolist()
-    at_a = at_b = 0
-    for lo, hi in zip(x.group_first[:-1].tolist(), x.group_first[1:].tolist(), strict=True):
-        out = []
-        for k in range(lo, hi):
-            to_a, to_b = ends_a[k], ends_b[k]
-            if to_a == at_a + 1 and to_b == at_b + 1:
-                out.append(f"{a[at_a]}|{b[at_b]}")
-            else:
-                out.append(",".join(a[at_a:to_a]) + "|" + ",".join(b[at_b:to_b]))
-            at_a, at_b = to_a, to_b
-        yield ";".join(out)
+    form = np.empty(len(x.a) + len(x.b), np.int64)
+    of_a, of_b = x.a.copy(), x.b + 2 * size_a
+    of_a[x.group_a - 1] += size_a
+    of_b[x.group_b - 1] += size_b
+    full = np.diff(x.b_first) > 0
+    of_b[x.b_first[1:][full] - 1] += size_b
+    # a group's tokens of a come after all earlier groups' tokens of b, its tokens of b after its own of a
+    form[np.arange(len(x.a)) + np.repeat(np.concatenate([[0], x.group_b])[:-1], np.diff(x.group_a, prepend=0))] = of_a
+    form[np.arange(len(x.b)) + np.repeat(x.group_a, np.diff(x.group_b, prepend=0))] = of_b
+    written = iter(b"".join(_written(size_a, size_b)[form].tolist()).split(b"\n"))
+    return (next(written) if has else b"" for has in full.tolist())
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
@@ -213,7 +216,7 @@ def _chunk_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             pairs, place, totals = np.unique(x.a[x.link_a] * two.size + x.b[x.link_b], return_inverse=True, return_counts=True)
             row = np.repeat(np.arange(len(ids)), np.diff(x.link_first))
             own, times = np.unique(row * max(len(pairs), 1) + place, return_counts=True)
-            sha = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in _group_texts(x)]
+            sha = [hashlib.sha256(s).hexdigest() if s else "" for s in _group_texts(x, one.size, two.size)]
             held = np.bincount(own // max(len(pairs), 1), minlength=len(ids))
             values = [[number], [ids], *[[np.diff(v)] for v in (x.a_first, x.b_first, x.group_first, x.link_first)], [sha], [pairs], [totals], [held], [own % max(len(pairs), 1)], [times]]
             kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.list_(pa.string()), *[pa.list_(pa.int64())] * 2, *[pa.list_(pa.int32())] * 3]
