@@ -61,10 +61,20 @@ def read_page_xml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_page_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Layout documents as ``to_json`` writes them, one file each."""
-    reader = spark.read.option("multiLine", "true")
-    return (reader.schema(schema) if schema else reader).json(path)
+_S = f"id:string,coords:{POINTS},custom_attribute:string"
+#: Schema of a layout document as JSON: what ``read_page_xml`` gives.
+JSON_SCHEMA = (
+    "image_filename string, image_width int, image_height int, "
+    f"text_regions array<struct<{_S},type:string,text_equiv:string,text_lines:array<struct<{_S},baseline:{POINTS},text:string>>>>, "
+    f"graphic_regions array<struct<{_S}>>, separator_regions array<struct<{_S}>>, "
+    f"table_regions array<struct<{_S},rows:int,columns:int,cells:array<struct<{_S},row_index:int,col_index:int,row_span:int,col_span:int,header:boolean,embedded_text:boolean>>>>, "
+    f"page_border {POINTS}, metadata struct<creator:string,created:string,last_change:string,comments:string>"
+)
+
+
+def read_page_json(spark: SparkSession, path: str, schema: str = JSON_SCHEMA) -> DataFrame:
+    """Layout documents as ``page_json`` writes them, one file each; what a document lacks is null."""
+    return spark.read.option("multiLine", "true").schema(schema).json(path)
 
 
 def text_lines(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,11 +122,25 @@ def line_xml(t: Column) -> Column:
     return F.concat(F.lit("<TextLine"), _attribute("id", t["id"]), _attribute("custom", t["custom_attribute"]), F.lit(">"), _points("Coords", t["coords"]), _points("Baseline", t["baseline"]), _text(t["text"]), F.lit("</TextLine>"))
 
 
-def page_xml(creator: str, created: str, schema: StructType | None = None) -> Column:
+def updated_metadata(creator: str, now: str, comments: str = "", schema: StructType | None = None) -> Column:
+    """creator, created, last_change, comments of a document written ``now``: what it knows of itself is kept, ``comments`` follow."""
+    was = F.col("metadata") if schema is not None and "metadata" in schema.names else F.struct(*[F.lit(None).cast("string").alias(c) for c in ("created", "comments")])
+    created = F.nullif(was["created"], F.lit(""))
+    said = F.concat(F.coalesce(was["comments"], F.lit("")), F.lit(comments))
+    return F.struct(F.lit(creator).alias("creator"), F.coalesce(created, F.lit(now)).alias("created"), F.when(created.isNotNull(), F.lit(now)).alias("last_change"), said.alias("comments"))
+
+
+def _metadata_xml(meta: Column) -> Column:
+    one = lambda tag, c: F.when(F.coalesce(meta[c], F.lit("")) != "", F.concat(F.lit(f"<{tag}>"), escape(meta[c]), F.lit(f"</{tag}>"))).otherwise("")
+    return F.concat(F.lit("<Metadata>"), *[one(tag, c) for tag, c in (("Creator", "creator"), ("Created", "created"), ("LastChange", "last_change"), ("Comments", "comments"))], F.lit("</Metadata>"))
+
+
+def page_xml(creator: str, created: str, schema: StructType | None = None, comments: str = "") -> Column:
     """The document of a row with image_filename, image_width, image_height and text_regions (id, coords, custom_attribute, text_lines).
 
     With the frame's ``schema`` also all else that it has of what ``read_page_xml`` gives: the border, types and texts
-    of text regions, graphic, separator and table regions with their cells. Null and empty lists are left out.
+    of text regions, graphic, separator and table regions with their cells, and its metadata: a document that has a date
+    keeps it and gets ``created`` as its last change, and ``comments`` follow its own. Null and empty lists are left out.
     """
     columns = {f.name: f.dataType for f in schema.fields} if schema else {}
     held = {f.name for f in columns["text_regions"].elementType.fields} if "text_regions" in columns else set()
@@ -145,8 +169,9 @@ def page_xml(creator: str, created: str, schema: StructType | None = None) -> Co
         if column in columns:
             body.append(every(column, build))
     border = [F.when(F.size("page_border") > 0, F.concat(F.lit("<Border>"), _points("Coords", F.col("page_border")), F.lit("</Border>"))).otherwise("")] if "page_border" in columns else []
-    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}"><Metadata><Creator>{creator}</Creator><Created>{created}</Created></Metadata><Page imageFilename="')
-    return F.concat(head, escape(F.col("image_filename")), F.lit('" imageWidth="'), F.col("image_width").cast("string"), F.lit('" imageHeight="'), F.col("image_height").cast("string"), F.lit('">'), *border, *body, F.lit("</Page></PcGts>"))
+    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}">')
+    meta = _metadata_xml(updated_metadata(creator, created, comments, schema))
+    return F.concat(head, meta, F.lit('<Page imageFilename="'), escape(F.col("image_filename")), F.lit('" imageWidth="'), F.col("image_width").cast("string"), F.lit('" imageHeight="'), F.col("image_height").cast("string"), F.lit('">'), *border, *body, F.lit("</Page></PcGts>"))
 
 
 def baselines_page(lines: DataFrame, key: str, ratio: float) -> DataFrame:
