@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.polygons import polygon_iou
+
 
 def confusion(pairs: DataFrame, truth: str, prediction: str, by: list[str] | None = None) -> DataFrame:
     """total, true and false positives and negatives of boolean columns."""
@@ -85,3 +87,16 @@ def line_height_stats(lines: DataFrame, by: list[str], height: str = "height") -
     """mean, std and median of line heights by page, outliers aside."""
     kept = drop_outliers(lines, height, by)
     return kept.groupBy(*by).agg(F.avg(height).alias("mean"), F.stddev_pop(height).alias("std"), F.median(height).alias("median"))
+
+
+def quad_ious(truth: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """key, iou of each page's quadrilateral (corners in points) and the found one, exact; 0 where there is none. Both are convex."""
+    b = found.select(*key, F.col("points").alias("_found"))
+    both = truth.select(*key, F.col("points").alias("_true")).join(b, key, "left")
+    iou = F.when(F.size("_found") >= 3, polygon_iou(F.col("_true"), F.col("_found"), convex=True)).otherwise(F.lit(0.0))
+    return both.select(*key, F.coalesce(iou, F.lit(0.0)).alias("iou"), F.col("_found").isNull().alias("missing"))
+
+
+def mean_quad_iou(truth: DataFrame, found: DataFrame, key: list[str], by: list[str] | None = None) -> DataFrame:
+    """miou of pages' quadrilaterals and the number without a found one, over all or ``by`` some of the keys."""
+    return quad_ious(truth, found, key).groupBy(*(by or [])).agg(F.avg("iou").alias("miou"), F.count_if("missing").alias("missing"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annotation_queries, document_queries, evaluation_queries, file_queries, pixel_queries
+from . import annotation_queries, document_queries, evaluation_queries, file_queries, overlap_queries, pixel_queries
 
-_PLANS = (pixel_queries, evaluation_queries, annotation_queries, document_queries, file_queries)
+_PLANS = (pixel_queries, evaluation_queries, annotation_queries, document_queries, file_queries, overlap_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
