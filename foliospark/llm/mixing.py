@@ -134,15 +134,17 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix takes them, with their own columns: a row for each copy, ordered by training position.
 
     Copies are whole documents; the one that the last pass cuts is kept if at least half of it is taken. Rows that
-    agree in id, text and source are taken as one of them as often as all of them together.
+    agree in id, text and source are taken as one of them (by a hash of all else) as often as all of them together.
     """
     names = [options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))]
     copies = placed(docs, **options).where(F.col("size") > 0)
     whole = F.slice("positions", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    copies = copies.select(F.col("key").alias("_mix_copy"), F.explode(whole).alias("_mix_at"))
-    one = F.row_number().over(W.partitionBy("_mix_key").orderBy(F.lit(1)))
-    rows = docs.withColumn("_mix_key", _key(*names)).withColumn("_mix_row", one).where(F.col("_mix_row") == 1)
-    return rows.join(copies, F.col("_mix_key") == F.col("_mix_copy")).orderBy("_mix_at", "_mix_key").select(*[rows[c] for c in docs.columns])
+    copies = copies.select("key", F.explode(whole).alias("at"))
+    columns = {c: docs[f"`{c}`"] for c in docs.columns}
+    rest = F.xxhash64(F.to_json(F.struct(*[v for c, v in columns.items() if c not in names])) if set(columns) - set(names) else F.lit(0))
+    rows = docs.select(_key(*names).alias("key"), rest.alias("rest"), F.struct(*columns.values()).alias("row"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("rest"))).where("n = 1").select("key", "row")
+    return rows.join(copies, "key").orderBy("at", "key").select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

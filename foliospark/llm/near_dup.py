@@ -240,8 +240,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, k: int
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id. Rows with a null id stay."""
-    gone = near_duplicates(docs, percent, shingle, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, percent, shingle, id_col=id_col, text_col=text_col).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

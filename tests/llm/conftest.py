@@ -16,7 +16,7 @@ def odd_docs(spark):
         (7, "x", "c", "fr", 8),
         (7, "another text of the same id", "c", "fr", 9),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size long").withColumnsRenamed({}).selectExpr("*", "size as n", "size as id", "text as key", "size as position", "source as v", "size as taken", "text as line", "size as component_id")
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size long").withColumnsRenamed({}).selectExpr("*", "size as n", "size as id", "text as key", "size as position", "source as v", "size as taken", "text as line", "size as component_id", "size as _gone", "size as _mix_at", "text as _mix_copy", "text as _mix_key", "size as at", "size as row", "text as rest", "size as `a.b`", "map('k', size) as kept")
 
 
 @pytest.fixture

@@ -97,7 +97,8 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     rows = near_dup.near_duplicates(odd_docs).collect()
     assert len(rows) == 10
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows if r.doc_id in (None, 1, 2, 3)} == {(None, 1, None, True), (1, 6, 1, True), (2, 0, 2, True), (3, 0, 3, True)}
-    assert near_dup.drop_near_duplicates(odd_docs).count() == 10 and near_dup.near_duplicates(no_docs).count() == 0
+    left = near_dup.drop_near_duplicates(odd_docs)
+    assert left.count() == 10 and left.columns == odd_docs.columns and near_dup.near_duplicates(no_docs).count() == 0
 
 
 def test_words_of_odd_texts():
