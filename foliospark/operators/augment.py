@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TrainingSettings
-from . import labels, pairing, pixels, resample, windows
+from . import labels, losses, pairing, pixels, resample, vectorize, windows
 
 
 def uniform(key: Column, seed: int, name: str) -> Column:
@@ -42,9 +42,16 @@ def training_table(images: DataFrame, label_images: DataFrame, palette: DataFram
     Each epoch has its own flips and its own order of images; patches are cut last. With ``geometry`` images are also
     brought to about ``input_pixels`` pixels, scaled at random by ``augment_scale`` and turned by up to
     ``augment_rotation`` (radians) either way, colours and classes alike by nearest pixels; what a turn leaves out is
-    absent. Without it these three settings aren't used. Settings of losses and learning rates concern training alone.
+    absent. Without it these three settings aren't used. With a ``local_entropy_ratio`` above 0 there is a ``weight`` too:
+    that share of the local entropy of class 1 around a pixel, the rest even. Images of different sizes in a batch
+    are padded by ``pairing.pad_batches``. Settings of losses and learning rates concern training alone.
     """
     classes = labels.nearest_class(label_images, palette).select("image_id", "y", "x", "class_id")
+    weights = settings.local_entropy_ratio > 0
+    if weights:
+        mixed = vectorize.local_entropy(classes.select("image_id", "y", "x", (F.col("class_id") == 1).cast("int").alias("v")), settings.local_entropy_sigma, seed=seed)
+        share = losses.blended(F.lit(1.0), F.col("v"), settings.local_entropy_ratio)
+        classes = classes.join(mixed.select("image_id", "y", "x", share.alias("weight")), ["image_id", "y", "x"])
     rows = images.join(classes, ["image_id", "y", "x"])
     order = pairing.epochs(images.select("image_id").distinct(), settings.n_epochs, "image_id", seed)
     order = pairing.batches(order, settings.batch_size, "epoch", ["shuffle_key", "image_id"])
@@ -62,7 +69,7 @@ def training_table(images: DataFrame, label_images: DataFrame, palette: DataFram
         rows = windows.patches(rows, settings.patch_height, settings.patch_width)
     else:
         rows = rows.withColumns({"patch_y": F.lit(0), "patch_x": F.lit(0)})
-    return rows.select("epoch", F.col("_id").alias("image_id"), "patch_y", "patch_x", "y", "x", "r", "g", "b", "class_id", "batch")
+    return rows.select("epoch", F.col("_id").alias("image_id"), "patch_y", "patch_x", "y", "x", "r", "g", "b", "class_id", *(["weight"] if weights else []), "batch")
 
 
 def scaled_size(height: Column, width: Column, key: Column, settings: TrainingSettings, seed: int = 0) -> Column:

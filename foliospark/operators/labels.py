@@ -5,44 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Palettes have up to this many entries: they are inlined as one array expression or broadcast.
-PALETTE_LIMIT = 4096
+from ..checkpoints import ensure
 
+#: Palettes of up to this many entries are inlined as one array expression or broadcast; larger ones are joined.
+PALETTE_LIMIT = 256
+#: Distinct colours are broadcast up to this number.
+BROADCAST_COLOURS = 1_000_000
 
-def _entries(palette: DataFrame, columns: list[str]) -> list:
-    return _checked(palette).select("class_id", *columns).orderBy("class_id").collect()
 
+def _is_small(palette: DataFrame, limit: int = PALETTE_LIMIT) -> bool:
+    return palette.limit(limit + 1).count() <= limit
 
-def _checked(palette: DataFrame) -> DataFrame:
-    """The palette, which is small enough to inline or broadcast; larger ones are an error."""
-    if palette.limit(PALETTE_LIMIT + 1).count() > PALETTE_LIMIT:
-        raise ValueError(f"a palette has {PALETTE_LIMIT} entries at most")
-    return palette
 
+def _side(palette: DataFrame) -> DataFrame:
+    """The palette as a side of a join, broadcast if it is small."""
+    return F.broadcast(palette) if _is_small(palette, BROADCAST_COLOURS) else palette
 
-def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id") -> DataFrame:
-    """Class of the palette colour nearest to r, g, b (squared distance; of equals the first class). No join: the palette is inlined."""
-    entries = _entries(palette, ["r", "g", "b"])
+
+def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id", limit: int = PALETTE_LIMIT) -> DataFrame:
+    """Class of the palette colour nearest to r, g, b (squared distance; of equals the first class).
+
+    A palette of up to ``limit`` colours is inlined, without a join; larger ones are searched by ``nearest_in_cells``.
+    """
+    if not _is_small(palette, limit):
+        return nearest_in_cells(pixels, palette, out)
+    entries = palette.select("class_id", "r", "g", "b").orderBy("class_id").collect()
     colours = F.array(*[F.struct(*[F.lit(e[c]).alias(c) for c in ("class_id", "r", "g", "b")]) for e in entries])
     square = lambda x: x * x
     far = F.transform(colours, lambda e: F.struct((square(F.col("r") - e["r"]) + square(F.col("g") - e["g"]) + square(F.col("b") - e["b"])).alias("d"), e["class_id"].alias("class_id")))
     return pixels.withColumn(out, F.array_min(far)["class_id"])
 
 
+def nearest_in_cells(pixels: DataFrame, palette: DataFrame, out: str = "class_id", edge: int = 8) -> DataFrame:
+    """``nearest_class`` for palettes of any size: the colour cube is cut into cells of ``edge`` values a side.
+
+    Every distinct colour looks into its own cell, then into rings of cells around it, until the best colour found is
+    nearer than anything beyond the rings can be. A cell holds edge^3 distinct colours at most, on either side, and the
+    rings are 256 / edge at most, whatever the palette. Pixels with a null channel have a null class, and so has every
+    pixel if the palette is empty.
+    """
+    spark, at = pixels.sparkSession, ["r", "g", "b"]
+    ensure(spark)
+    cell = lambda c: F.floor(F.col(c) / edge).cast("int")
+    known = palette.groupBy(*[F.col(c).alias(f"p{c}") for c in at]).agg(F.min("class_id").alias("class"))
+    known = known.select("*", *[cell(f"p{c}").alias(f"k{c}") for c in at]).checkpoint()
+    ends = known.agg(*[f(f"k{c}").alias(f"{n}{c}") for c in at for n, f in (("low", F.min), ("high", F.max))]).first()
+    wanted = pixels.select(*at).where("r is not null and g is not null and b is not null").distinct()
+    square = lambda x: x * x
+    distance = square(F.col("r") - F.col("pr")) + square(F.col("g") - F.col("pg")) + square(F.col("b") - F.col("pb"))
+    left = wanted.select(*at, F.lit(None).cast("struct<d:int,class:" + palette.schema["class_id"].dataType.simpleString() + ">").alias("best")).checkpoint()
+    found, ring = left.where("false"), 0
+    while ends[0] is not None and not left.isEmpty():
+        steps = F.sequence(F.lit(-ring), F.lit(ring))
+        near = left
+        for c in at:
+            near = near.withColumn(f"s{c}", F.explode(steps)).withColumn(f"k{c}", cell(c) + F.col(f"s{c}")).where(F.col(f"k{c}").between(ends[f"low{c}"], ends[f"high{c}"]))
+        near = near.where(F.greatest(*[F.abs(f"s{c}") for c in at]) == ring).join(known, [f"k{c}" for c in at])
+        near = near.groupBy(*at).agg(F.min(F.struct(distance.cast("int").alias("d"), "class")).alias("new"))
+        # beyond the rings a colour is at least this far away in one channel
+        beyond = F.least(*[F.least(F.col(c) - (cell(c) - ring) * edge + 1, (cell(c) + ring + 1) * edge - F.col(c)) for c in at])
+        over = F.lit(True)
+        for c in at:  # the rings have passed all cells of the palette
+            over = over & (cell(c) - ring <= ends[f"low{c}"]) & (cell(c) + ring >= ends[f"high{c}"])
+        step = left.join(near, at, "left").select(*at, F.coalesce(F.least("best", "new"), "best", "new").alias("best"), over.alias("over"), beyond.alias("beyond"))
+        step = step.withColumn("done", F.coalesce(F.col("best.d") < square(F.col("beyond")), F.lit(False)) | F.col("over")).checkpoint()
+        found = found.unionByName(step.where("done").select(*at, "best"))
+        left, ring = step.where("not done").select(*at, "best").checkpoint(), ring + 1
+    classes = _side(found.select(*at, F.col("best.class").alias("_class")))
+    return pixels.join(classes, at, "left").select(*pixels.columns, F.col("_class").alias(out))
+
+
 def class_colour(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """class_id to r, g, b."""
-    return pixels.join(F.broadcast(_checked(palette).select("class_id", "r", "g", "b")), "class_id", "left")
+    return pixels.join(_side(palette.select("class_id", "r", "g", "b")), "class_id", "left")
 
 
 def nearest_codes(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """Booleans of the nearest colour's codes, as ``labels``."""
-    classes = F.broadcast(palette.select("class_id", F.transform("codes", lambda c: c > 0).alias("labels")))
+    classes = _side(palette.select("class_id", F.transform("codes", lambda c: c > 0).alias("labels")))
     return nearest_class(pixels, palette, "class_id").join(classes, "class_id", "left")
 
 
 def codes_colour(pixels: DataFrame, palette: DataFrame, codes: str = "codes") -> DataFrame:
     """Codes to r, g, b; combinations that the palette lacks are black."""
-    known = F.broadcast(_checked(palette).select(F.col("codes").alias("_codes"), "r", "g", "b"))
+    known = _side(palette.select(F.col("codes").alias("_codes"), "r", "g", "b"))
     out = pixels.join(known, F.col(codes) == F.col("_codes"), "left").drop("_codes")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("r", "g", "b")})
 

@@ -96,13 +96,13 @@ def draw_separators(spark: SparkSession, d: str) -> DataFrame:
     return an.draw(_pages(spark, d), "separator_regions", "image_id", fill=True, id_has="1", canvas=(150, 125))
 
 
-@query(f"""WITH {_P}, e AS (SELECT id, unnest([x1, x2, x3])::INT AS ax, unnest([y1, y2, y3])::INT AS ay, unnest([x2, x3, x1])::INT AS bx, unnest([y2, y3, y1])::INT AS b_y FROM p WHERE n = 1),
+@query(f"""WITH {_P}, e AS (SELECT id, unnest([x1, x2, x3])::INT AS ax, unnest([y1, y2, y3])::INT AS ay, unnest([x2, x3, x1])::INT AS bx, unnest([y2, y3, y1])::INT AS b_y FROM p),
  c AS (SELECT *, unnest(range(least(ay, b_y) - 2, greatest(ay, b_y) + 3)) AS y FROM e), g AS (SELECT *, unnest(range(least(ax, bx) - 2, greatest(ax, bx) + 3)) AS x FROM c),
  t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay))::DOUBLE / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0), 0.0::DOUBLE))) AS u FROM g)
  SELECT DISTINCT id, y::INT AS y, x::INT AS x FROM t WHERE (x - (ax + u * (bx - ax))) * (x - (ax + u * (bx - ax))) + (y - (ay + u * (b_y - ay))) * (y - (ay + u * (b_y - ay))) <= 1.5::DOUBLE * 1.5::DOUBLE""")
 def stroke_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Closed outlines, three pixels thick."""
-    return raster.stroke(_triangles(spark, d).where("n = 1").select("id", F.col("p").alias("points")), ["id"], 3, close=True)
+    return raster.stroke(_triangles(spark, d).select("id", F.col("p").alias("points")), ["id"], 3, close=True)
 
 
 @query("SELECT image_id, sum((a AND b)::INT)::DOUBLE / sum((a OR b)::INT)::DOUBLE AS iou FROM (SELECT prob.image_id, prob.v > 0.4 AS a, (prob.y + prob.x) % 3 > 0 AS b FROM prob) GROUP BY image_id", "prob")
@@ -117,10 +117,11 @@ def mask_union(spark: SparkSession, d: str) -> DataFrame:
     return pixels.threshold(p, 0.8).select("image_id", "y", "x").unionByName(p.where("y = 3").select("image_id", "y", "x")).distinct()
 
 
-@query("SELECT DISTINCT image_id, y, unnest(range(x, x + w + 1))::INT AS x FROM (SELECT image_id, unnest(range(y, y + h + 1))::INT AS y, x, w FROM regions WHERE image_id % 20 = 0)", "regions")
+@query("SELECT image_id, y // 64 AS band, count(*) AS n, sum(x)::BIGINT AS sum_x FROM (SELECT DISTINCT image_id, y, unnest(range(x, x + w + 1))::INT AS x FROM (SELECT image_id, unnest(range(y, y + h + 1))::INT AS y, x, w FROM regions)) GROUP BY image_id, y // 64", "regions")
 def rect_fill_pixels(spark: SparkSession, d: str) -> DataFrame:
-    """Of one page in twenty: single pixels of its rectangles are many."""
-    return raster.fill_rectangles(views.regions(spark, d).where("image_id % 20 = 0"), ["image_id"]).distinct()
+    """Pixels of pages' rectangles, counted by bands of 64 rows."""
+    filled = raster.fill_rectangles(views.regions(spark, d), ["image_id"]).distinct()
+    return filled.groupBy("image_id", F.floor(F.col("y") / 64).cast("int").alias("band")).agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -173,9 +174,14 @@ def regression_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select("image_id", "y", "x", F.col("z")[0].alias("first"), F.col("z")[3].alias("last"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 0, 0, 0, 0), (0, 0, 255, 0, 0, 1), (0, 255, 0, 0, 1, 0), (0, 255, 255, 0, 1, 1), (200, 0, 0, 1, 0, 0), (200, 0, 255, 1, 0, 1), (200, 255, 0, 1, 1, 0), (200, 255, 255, 1, 1, 1)) AS t(r, g, b, c1, c2, c3)")
+@query("""WITH c AS (SELECT r_regionkey AS k, (40 * r_regionkey % 256)::INT AS r, (length(r_name) * 17 % 256)::INT AS g, (90 * (4 - r_regionkey) % 256)::INT AS b FROM region),
+ s AS (SELECT m, least(coalesce(sum(r), 0), 255)::INT AS r, least(coalesce(sum(g), 0), 255)::INT AS g, least(coalesce(sum(b), 0), 255)::INT AS b FROM range(32) t(m) LEFT JOIN c ON (m >> c.k::BIGINT) % 2 = 1 GROUP BY m)
+ SELECT DISTINCT r, g, b, (r > 0)::INT AS c1, (g > 0)::INT AS c2, (b > 0)::INT AS c3 FROM s""")
 def class_table(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(labels.class_table([(200, 0, 0), (0, 255, 0), (0, 0, 255)]), "r int, g int, b int, c1 int, c2 int, c3 int")
+    """The palette of all sums of five regions' colours."""
+    t = views.table(spark, d, "region")
+    colours = t.select((40 * F.col("r_regionkey") % 256).cast("int").alias("r"), (F.length("r_name") * 17 % 256).cast("int").alias("g"), (90 * (4 - F.col("r_regionkey")) % 256).cast("int").alias("b"))
+    return spark.createDataFrame(labels.class_table([tuple(c) for c in colours.collect()]), "r int, g int, b int, c1 int, c2 int, c3 int")
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_returnflag = 'R' THEN 'true' ELSE 'false' END AS text, l_returnflag = 'R' AS flag FROM lineitem")
@@ -240,7 +246,7 @@ def working_items(spark: SparkSession, d: str) -> DataFrame:
     return out.select("collection", "image_name", "original_x", "original_y", "reduced_x", "reduced_y", F.size("regions").cast("long").alias("regions"))
 
 
-_FILLED = f"""{_P}, s AS (SELECT DISTINCT id, x1, y1, x2, y2, x3, y3 FROM p WHERE n = 1), e AS (SELECT id, x1 AS k1, y1 AS k2, x2 AS k3, y2 AS k4, x3 AS k5, y3 AS k6, unnest([x1, x2, x3]) AS xa, unnest([y1, y2, y3]) AS ya, unnest([x2, x3, x1]) AS xb, unnest([y2, y3, y1]) AS yb FROM s),
+_FILLED = f"""{_P}, s AS (SELECT DISTINCT id, x1, y1, x2, y2, x3, y3 FROM p), e AS (SELECT id, x1 AS k1, y1 AS k2, x2 AS k3, y2 AS k4, x3 AS k5, y3 AS k6, unnest([x1, x2, x3]) AS xa, unnest([y1, y2, y3]) AS ya, unnest([x2, x3, x1]) AS xb, unnest([y2, y3, y1]) AS yb FROM s),
  c AS (SELECT id, k1, k2, k3, k4, k5, k6, r.y, xa + (r.y - ya) * (xb - xa)::DOUBLE / (yb - ya) AS x FROM e, range(80) r(y) WHERE (ya <= r.y AND yb > r.y) OR (yb <= r.y AND ya > r.y)),
  l AS (SELECT id, y, min(x) AS a, max(x) AS b FROM c GROUP BY id, k1, k2, k3, k4, k5, k6, y),
  f AS (SELECT DISTINCT id, y::INT AS y, q.x::INT AS x FROM l, range(80) q(x) WHERE q.x >= ceil(a) AND q.x < ceil(b))"""
@@ -249,7 +255,7 @@ _FILLED = f"""{_P}, s AS (SELECT DISTINCT id, x1, y1, x2, y2, x3, y3 FROM p WHER
 @query(f"WITH {_FILLED}, g AS (SELECT id, y, x + 2 AS x FROM f) SELECT coalesce(f.id, g.id) AS id, count(f.id + g.id)::DOUBLE / count(*) AS iou FROM f FULL JOIN g ON g.id = f.id AND g.y = f.y AND g.x = f.x GROUP BY coalesce(f.id, g.id)")
 def polygon_iou(spark: SparkSession, d: str) -> DataFrame:
     """Polygons as pixels against the same ones two pixels to the right."""
-    t = _triangles(spark, d).where("n = 1").select("id", F.col("p").alias("points"))
+    t = _triangles(spark, d).select("id", F.col("p").alias("points"))
     moved = t.select("id", F.transform("points", lambda q: F.struct((q["x"] + 2).alias("x"), q["y"].alias("y"))).alias("points"))
     return raster.pixel_iou(raster.fill_polygons(t, ["id"]), raster.fill_polygons(moved, ["id"]), "id")
 

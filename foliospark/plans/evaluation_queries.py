@@ -292,3 +292,27 @@ def event_windows_stream(spark: SparkSession, d: str) -> DataFrame:
     query = ingest.event_windows(events).writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("total", F.floor(F.col("total") * 1000 + 0.5) / 1000)
+
+
+_MANY = "many AS (SELECT o_orderkey AS class_id, (o_custkey * 37 % 256)::INT AS r, (floor(o_totalprice)::BIGINT % 256)::INT AS g, (o_orderkey % 256)::INT AS b FROM orders)"
+
+
+@query(f"WITH {_MANY}, d AS (SELECT DISTINCT r, g, b FROM rgb), n AS (SELECT d.r, d.g, d.b, arg_min(m.class_id, ((d.r - m.r) * (d.r - m.r) + (d.g - m.g) * (d.g - m.g) + (d.b - m.b) * (d.b - m.b))::BIGINT * 100000000 + m.class_id) AS class_id FROM d, many m GROUP BY d.r, d.g, d.b) SELECT image_id, y, x, class_id FROM rgb JOIN n ON n.r = rgb.r AND n.g = rgb.g AND n.b = rgb.b", "rgb")
+def rgb_to_many_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest colour of a palette with a colour for each order."""
+    o = views.table(spark, d, "orders")
+    palette = o.select(F.col("o_orderkey").alias("class_id"), (F.col("o_custkey") * 37 % 256).cast("int").alias("r"), (F.floor("o_totalprice") % 256).cast("int").alias("g"), (F.col("o_orderkey") % 256).cast("int").alias("b"))
+    return labels.nearest_class(views.rgb(spark, d), palette).select("image_id", "y", "x", "class_id")
+
+
+@query("WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i FROM documents) SELECT lang, doc_id, (i // 64) * 64 + row_number() OVER (PARTITION BY lang, i // 64 ORDER BY md5('7|' || lang || '|' || doc_id), doc_id) - 1 AS place FROM n")
+def buffered_order(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a language shuffled within each 64 running ones."""
+    return pairing.buffered_shuffle(views.table(spark, d, "documents").select("lang", "doc_id"), ["lang"], ["doc_id"], "doc_id", 64, 7)
+
+
+@query("WITH k AS (SELECT image_id, image_id // 4 AS batch, y, x, v FROM px WHERE y < 3 + image_id % 6 AND x < 2 + image_id % 7), s AS (SELECT batch, image_id, max(y) + 1 AS h, max(x) + 1 AS w FROM k GROUP BY batch, image_id), m AS (SELECT batch, max(h) AS h, max(w) AS w FROM s GROUP BY batch) SELECT s.batch, s.image_id, i::INT AS y, j::INT AS x, coalesce(k.v, 0) AS v FROM s JOIN m ON m.batch = s.batch JOIN range(8) a(i) ON i < m.h JOIN range(8) b(j) ON j < m.w LEFT JOIN k ON k.image_id = s.image_id AND k.y = i AND k.x = j", "px")
+def padded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Images of various sizes, padded to the largest of their batch of four."""
+    cut = views.px(spark, d).where("y < 3 + image_id % 6 and x < 2 + image_id % 7").withColumn("batch", F.floor(F.col("image_id") / 4))
+    return pairing.pad_batches(cut, "batch", ["v"])
