@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.polygons import let
+
 
 def fill_rectangles(shapes: DataFrame, keep: list[str]) -> DataFrame:
     """Pixels y, x from x to x + w and y to y + h, both inclusive."""
@@ -34,8 +39,9 @@ def polygon_runs(shapes: DataFrame, keep: list[str], points: str = "points") ->
     def line(y: Column) -> Column:
         crossed = F.filter("_e", lambda e: (e["y1"] <= y) != (e["y2"] <= y))
         at = F.array_sort(F.transform(crossed, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]).cast("double") / (e["y2"] - e["y1"])))
-        pairs = F.filter(F.transform(at, lambda c, i: F.struct(y.alias("y"), F.ceil(c).cast("int").alias("left"), (F.ceil(F.get(at, i + 1)) - 1).cast("int").alias("right"), (i % 2 == 0).alias("opens"))), lambda r: r["opens"] & (r["left"] <= r["right"]))
-        return F.transform(pairs, lambda r: F.struct(r["y"].alias("y"), r["left"].alias("left"), r["right"].alias("right")))
+        run = lambda a, b: F.struct(y.alias("y"), F.ceil(a).cast("int").alias("left"), (F.ceil(b) - 1).cast("int").alias("right"))
+        pairs = let(at, lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), run))
+        return F.filter(pairs, lambda r, i: (i % 2 == 0) & (r["left"] <= r["right"]))
 
     rows = p.withColumn("_e", edges).withColumn("_y", F.sequence(F.array_min(ys), F.array_max(ys)))
     return rows.select(*keep, F.inline(F.flatten(F.transform("_y", line))))
@@ -43,10 +49,13 @@ def polygon_runs(shapes: DataFrame, keep: list[str], points: str = "points") ->
 
 def fill_polygons(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
     """Pixels whose centres are inside polygons by the even-odd rule, each once, however many shapes of one key hold it: shapes are united as runs."""
-    runs = polygon_runs(shapes, keep, points)
+    several = shapes.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keep)])
+    alone = polygon_runs(shapes.join(several, same, "left_anti"), keep, points)  # nothing to unite: no shuffle of runs
     before = W.partitionBy(*keep, "y").orderBy("left", "right").rowsBetween(W.unboundedPreceding, -1)
+    runs = polygon_runs(shapes.join(several, same, "left_semi"), keep, points)
     runs = runs.withColumn("left", F.greatest("left", F.max("right").over(before) + 1)).where("left <= right")
-    return runs.select(*keep, "y", F.explode(F.sequence("left", "right")).alias("x"))
+    return alone.unionByName(runs).select(*keep, "y", F.explode(F.sequence("left", "right")).alias("x"))
 
 
 def stroke(shapes: DataFrame, keep: list[str], thickness: int, points: str = "points", close: bool = False) -> DataFrame:
@@ -60,8 +69,13 @@ def stroke(shapes: DataFrame, keep: list[str], thickness: int, points: str = "po
     p = p.withColumns({"_x1": a["x"], "_y1": a["y"], "_x2": b["x"], "_y2": b["y"]})
     reach = int(r) + 1
     p = p.withColumn("y", F.explode(F.sequence(F.least("_y1", "_y2") - reach, F.greatest("_y1", "_y2") + reach)))
-    p = p.withColumn("x", F.explode(F.sequence(F.least("_x1", "_x2") - reach, F.greatest("_x1", "_x2") + reach)))
     dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
+    # of the row only what may be near: places beside the line, by as much as half the thickness is along the row
+    middle = F.col("_x1") + (F.col("y") - F.col("_y1")) * dx / F.nullif(dy, F.lit(0))
+    aside = F.lit(r) * F.sqrt(dx * dx + dy * dy) / F.nullif(F.abs(dy), F.lit(0)) + 1
+    left = F.greatest(F.least("_x1", "_x2") - reach, F.floor(middle - aside).cast("int"))
+    right = F.least(F.greatest("_x1", "_x2") + reach, F.ceil(middle + aside).cast("int"))
+    p = p.withColumn("x", F.explode(F.when(left <= right, F.sequence(left, right))))
     along = F.coalesce(((F.col("x") - F.col("_x1")) * dx + (F.col("y") - F.col("_y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
     ex, ey = F.col("x") - (F.col("_x1") + t * dx), F.col("y") - (F.col("_y1") + t * dy)

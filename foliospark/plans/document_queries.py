@@ -99,10 +99,11 @@ def draw_separators(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_P}, e AS (SELECT id, unnest([x1, x2, x3])::INT AS ax, unnest([y1, y2, y3])::INT AS ay, unnest([x2, x3, x1])::INT AS bx, unnest([y2, y3, y1])::INT AS b_y FROM p),
  c AS (SELECT *, unnest(range(least(ay, b_y) - 2, greatest(ay, b_y) + 3)) AS y FROM e), g AS (SELECT *, unnest(range(least(ax, bx) - 2, greatest(ax, bx) + 3)) AS x FROM c),
  t AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(((x - ax) * (bx - ax) + (y - ay) * (b_y - ay))::DOUBLE / nullif((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay), 0), 0.0::DOUBLE))) AS u FROM g)
- SELECT DISTINCT id, y::INT AS y, x::INT AS x FROM t WHERE (x - (ax + u * (bx - ax))) * (x - (ax + u * (bx - ax))) + (y - (ay + u * (b_y - ay))) * (y - (ay + u * (b_y - ay))) <= 1.5::DOUBLE * 1.5::DOUBLE""")
+ SELECT id, count(*) AS n, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM (SELECT DISTINCT id, y, x FROM t WHERE (x - (ax + u * (bx - ax))) * (x - (ax + u * (bx - ax))) + (y - (ay + u * (b_y - ay))) * (y - (ay + u * (b_y - ay))) <= 1.5::DOUBLE * 1.5::DOUBLE) GROUP BY id""")
 def stroke_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """Closed outlines, three pixels thick."""
-    return raster.stroke(_triangles(spark, d).select("id", F.col("p").alias("points")), ["id"], 3, close=True)
+    """Closed outlines, three pixels thick: pixels of all of an id's together, and sums of their places."""
+    drawn = raster.stroke(_triangles(spark, d).select("id", F.col("p").alias("points")), ["id"], 3, close=True)
+    return drawn.groupBy("id").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
 
 
 @query("SELECT image_id, sum((a AND b)::INT)::DOUBLE / sum((a OR b)::INT)::DOUBLE AS iou FROM (SELECT prob.image_id, prob.v > 0.4 AS a, (prob.y + prob.x) % 3 > 0 AS b FROM prob) GROUP BY image_id", "prob")

@@ -14,7 +14,7 @@ from .. import annotations as an
 from .. import checkpoints, views
 from ..functions import geometry as geo
 from ..operators import pixels
-from ..sources import named_files
+from ..sources import addresses, named_files
 from ..sources.codec import png_decode
 from ..views import with_views
 
@@ -119,3 +119,16 @@ def training_set_files(spark: SparkSession, d: str) -> DataFrame:
     images = at.select("image_id", "y", "x", F.lit(200).alias("r"), (F.col("y") + 1).alias("g"), (F.col("x") + 1).alias("b"))
     named_files.write_training_set(images, pages, out, 384, channels="rb", thickness=1, endpoint_radius=2, now="2020")
     return _sums(named_files.read_named_files(spark, out, "*.png")).select("name", "height", "width", "n", "sum_y", "sum_x", "n_r", "n_b")
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN (20 + vec_id % 50)::INT END AS height, CASE WHEN vec_id % 7 > 0 THEN (30 + label)::INT END AS width, CASE WHEN vec_id % 7 > 0 AND vec_id % 5 > 0 THEN length('image ' || vec_id)::BIGINT END AS length, vec_id % 7 = 0 OR vec_id % 5 = 0 AS failed FROM embeddings")
+def addressed_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images behind listed addresses, here of a mirror on the shared disk that lacks some descriptions and some images."""
+    mirror, lists = _folder(spark, "mirror"), _folder(spark, "addresses")
+    e = views.table(spark, d, "embeddings").select("vec_id", "label", F.col("vec_id").cast("string").alias("v"))
+    info = F.to_json(F.struct((20 + F.col("vec_id") % 50).alias("height"), (30 + F.col("label")).alias("width")))
+    files = e.select(F.explode(F.array(F.struct(F.concat("v", F.lit("/info.json")).alias("name"), F.when(F.col("vec_id") % 7 > 0, info).alias("content")), F.struct(F.concat("v", F.lit("/default.jpg")).alias("name"), F.when(F.col("vec_id") % 5 > 0, F.concat(F.lit("image "), "v")).alias("content")))).alias("f"))
+    named_files.write_named_files(files.select("f.*"), mirror)
+    e.select(F.concat(F.lit(f"{mirror}/"), "v", F.lit("/default.jpg"))).write.text(lists)
+    found = addresses.read_addressed_images(spark, lists, fetcher="foliospark.sources.addresses:fetch_file", retries=0, rangeBytes=4096)
+    return found.select(F.element_at(F.split("address", "/"), -2).cast("long").alias("vec_id"), "height", "width", F.octet_length("content").cast("long").alias("length"), F.col("error").isNotNull().alias("failed"))
