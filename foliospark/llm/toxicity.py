@@ -11,6 +11,7 @@ pieces of bounded length, without any shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,10 @@ from .words import chunks
 ORDERS = (3, 4, 5, 6)
 #: Bound on labelled rows for fitting; which rows: a hash of the id.
 MAX_ROWS = 20_000
-#: Folds of the cross-validation, and the numbers of features that it begins with; it goes on in the same steps while the largest is the best.
-FOLDS, SIZES = 3, (32, 128, 512, 2048, 8192)
+#: Folds of the cross-validation, and the numbers of features that it begins with; it goes on in the same steps while the largest brings the loss below this share of the others' least.
+FOLDS, SIZES, GAIN = 3, (32, 128, 512, 2048, 8192), 0.98
+#: Bound on training rows that the cross-validation fits and scores; its counts and ratios are of all training rows.
+FOLD_ROWS = 3000
 THRESHOLD = 0.7
 _PIECE = 400_000  # characters handled at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -229,37 +232,41 @@ def _best(counts: DataFrame, fold: int, n_rows: np.ndarray, size: int) -> _Part
 
 @dataclass
 class _Rows:
-    """Training rows with their active n-grams of a list."""
+    """Training rows with their active n-grams of a list: compressed differences of ascending places, unpacked some rows at a time."""
 
     y: np.ndarray
     fold: np.ndarray
-    lengths: np.ndarray
-    found: np.ndarray
+    packed: list[bytes]
+
+    def blocks(self, step: int = 1000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Rows, how many n-grams each has, and these."""
+        for lo in range(0, len(self.y), step):
+            found = [np.cumsum(np.frombuffer(zlib.decompress(x), "<i4")) for x in self.packed[lo : lo + step]]
+            yield slice(lo, lo + len(found)), np.array([len(x) for x in found]), np.concatenate(found)
 
     def fit(self, listed: np.ndarray, part: _Part, size: int, chosen: np.ndarray, **kind: int) -> tuple[np.ndarray, float]:
         """Weight of each listed n-gram (0: not among the first ``size`` of the part) and bias, from the chosen rows."""
-        place = np.full(len(listed), -1)
+        place = np.full(len(listed), -1, np.int32)
         own = np.searchsorted(listed, part.grams[:size])
         place[own] = np.arange(len(own))
-        lengths, features = self._active(place, chosen)
-        w, bias = _fit_logistic(lengths, features, part.ratios[:size], self.y[chosen], **kind)
+        lengths, features = [], []
+        for rows, n, found in self.blocks():
+            at = place[found]
+            keep = np.repeat(chosen[rows], n) & (at >= 0)
+            lengths.append(np.bincount(np.repeat(np.arange(len(n)), n)[keep], minlength=len(n))[chosen[rows]])
+            features.append(at[keep])
+        w, bias = _fit_logistic(np.concatenate(lengths), np.concatenate(features), part.ratios[:size], self.y[chosen], **kind)
         out = np.zeros(len(listed))
         out[own] = w * part.ratios[:size]
         return out, bias
 
-    def _active(self, place: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(self.y)), self.lengths)
-        use = chosen[row] & (place[self.found] >= 0)
-        return np.bincount(row[use], minlength=len(self.y))[chosen], place[self.found[use]]
-
     def loss(self, weights: np.ndarray, bias: float, chosen: np.ndarray) -> float:
-        row = np.repeat(np.arange(len(self.y)), self.lengths)
-        z = (bias + np.bincount(row, weights[self.found], minlength=len(self.y)))[chosen]
-        return float(np.sum(np.logaddexp(0, z) - self.y[chosen] * z))
+        z = bias + np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), weights[found], minlength=len(n)) for _, n, found in self.blocks()])
+        return float(np.sum((np.logaddexp(0, z) - self.y * z)[chosen]))
 
 
 def _presences(rows: DataFrame, grams: np.ndarray) -> _Rows:
-    """The training rows, ``max_rows`` at most, with the n-grams of the list that they have."""
+    """Training rows, of a bounded number, with the n-grams of the list that they have."""
     shared = rows.sparkSession.sparkContext.broadcast(Model(grams, np.zeros(len(grams)), 0.0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,12 +274,11 @@ def _presences(rows: DataFrame, grams: np.ndarray) -> _Rows:
             texts = batch["text"].tolist()
             for lo, hi in chunks(texts, 4 * _PIECE):
                 row, found = shared.value.active(texts[lo:hi])
-                cut = np.searchsorted(row, np.arange(1, hi - lo))
-                yield pd.DataFrame({c: batch[c].to_numpy()[lo:hi] for c in ("toxic", "fold")} | {"found": [x.astype("<i4").tobytes() for x in np.split(found, cut)]})
+                each = np.split(found, np.searchsorted(row, np.arange(1, hi - lo)))
+                yield pd.DataFrame({c: batch[c].to_numpy()[lo:hi] for c in ("toxic", "fold")} | {"found": [zlib.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), 1) for x in each]})
 
     table = rows.mapInPandas(run, "toxic int, fold int, found binary").toPandas()
-    lengths = table["found"].map(len).to_numpy(np.int64) // 4
-    return _Rows(table["toxic"].to_numpy(np.float64), table["fold"].to_numpy(np.int64), lengths, np.frombuffer(b"".join(table["found"]), "<i4"))
+    return _Rows(table["toxic"].to_numpy(np.float64), table["fold"].to_numpy(np.int64), table["found"].tolist())
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, features: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -297,24 +303,25 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS, features: int | None =
     counts = stage(counts, "toxic-grams")
     if features:
         size, whole = features, _best(counts, -1, n_rows, features)
-        listed = np.sort(whole.grams)
-        held = _presences(rows, listed)
     else:
-        sizes, losses = list(SIZES), []
+        sizes, losses, few = list(SIZES), [], rows
+        if toxic + clean > FOLD_ROWS:
+            few = rows.where(F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(1_000_000)) < int(1_000_000 * FOLD_ROWS / (toxic + clean)))
         while len(losses) < len(sizes):
             parts = {k: p for k in range(-1, FOLDS) if (p := _best(counts, k, n_rows, sizes[-1]))}
             listed = np.unique(np.concatenate([p.grams for p in parts.values()]))
-            held = _presences(rows, listed)
+            held = _presences(few, listed)
             for size in sizes[len(losses) :]:
                 fits = [(k, *held.fit(listed, p, size, held.fold != k, steps=10)) for k, p in parts.items() if k >= 0]
                 losses.append(sum(held.loss(w, b, held.fold == k) for k, w, b in fits))
-            if losses[-1] == min(losses) and len(parts[-1].grams) == sizes[-1]:
+            if losses[-1] < GAIN * min(losses[:-1]) and len(parts[-1].grams) == sizes[-1]:
                 sizes.append(4 * sizes[-1])
         size, whole = sizes[int(np.argmin(losses))], parts[-1]
+    listed = np.sort(whole.grams[:size])
+    held = _presences(rows, listed)
     weights, bias = held.fit(listed, whole, size, np.ones(len(held.y), bool))
     unstage(counts, rows)
-    mine = np.isin(listed, whole.grams[:size])
-    return Model(listed[mine], weights[mine], bias)
+    return Model(listed, weights, bias)
 
 
 def score(spark: SparkSession, text: Column, model: Model) -> Column:
