@@ -37,7 +37,7 @@ _SHARD = 2_000_000  # bytes of text for each shard
 _BEGIN, _END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB2F)
 _NARROW = np.uint64(0xFFFFFFFF)
 
-_PIECES = "piece string, doc_ids array<long>, train binary, first binary, n_words int, bounds binary, words binary, counts binary, trained binary, tokens binary"
+_PIECES = "piece string, doc_ids array<long>, train binary, first binary, n_words int, shards binary, words binary, counts binary, trained binary, tokens binary"
 
 
 def _pack(idx: np.ndarray) -> bytes:
@@ -73,9 +73,9 @@ def pieces(docs: DataFrame, shards: int) -> DataFrame:
                 tokens = place[tokens]
                 counts = np.bincount(tokens, minlength=len(distinct))
                 trained = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(distinct))
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+                present = np.stack(np.unique(shard, return_counts=True))  # only the shards that the piece has: bytes go with its words
                 ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"].iloc[lo:hi]]
-                yield pd.DataFrame([(uuid.uuid4().hex, ids, train.astype(np.uint8).tobytes(), first.astype("<i8").tobytes(), len(distinct), bounds.astype("<i4").tobytes(), distinct[order].tobytes(), counts.astype("<u4").tobytes(), trained.astype("<u4").tobytes(), _pack(tokens))], columns=_PIECES.replace(" array<long>", "").replace(" string", "").replace(" binary", "").replace(" int", "").split(", "))
+                yield pd.DataFrame([(uuid.uuid4().hex, ids, train.astype(np.uint8).tobytes(), first.astype("<i8").tobytes(), len(distinct), present.astype("<i4").tobytes(), distinct[order].tobytes(), counts.astype("<u4").tobytes(), trained.astype("<u4").tobytes(), _pack(tokens))], columns=_PIECES.replace(" array<long>", "").replace(" string", "").replace(" binary", "").replace(" int", "").split(", "))
 
     return docs.mapInPandas(cut, _PIECES)
 
@@ -122,9 +122,14 @@ def _bigrams(first: np.ndarray, tokens: np.ndarray, n_words: int) -> tuple[np.nd
     return before, own, start
 
 
-def _shard_of(context: np.ndarray, follower: np.ndarray, bounds: np.ndarray, n_words: int, spread: np.ndarray) -> np.ndarray:
+def _word_shards(present: bytes) -> np.ndarray:
+    """Shard of each word of a piece."""
+    return np.repeat(*np.frombuffer(present, "<i4").astype(np.int64).reshape(2, -1))
+
+
+def _shard_of(context: np.ndarray, follower: np.ndarray, word_shards: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """Shard of each bigram: the context's, or the follower's if the context is spread."""
-    shard = np.append(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), [0, 0])
+    shard = np.append(word_shards, [0, 0])
     return np.where(spread[context], shard[follower], shard[context])
 
 
@@ -132,11 +137,11 @@ _SENT = "shard int, piece string, contexts binary, fan binary, followers binary,
 _ANSWER = "piece string, shard int, contexts binary, codes binary, spread binary, spread_counts binary, types long, tokens long, trie binary"
 
 
-def _send(table: DataFrame, heavy: np.ndarray, shards: int) -> DataFrame:
+def _send(table: DataFrame, heavy: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                bounds, w = _of(r.bounds, "<i4").astype(np.int64), _of(r.words, "<u8")
+                w = _of(r.words, "<u8")
                 d, train = r.n_words, _of(r.train, np.uint8).astype(bool)
                 first = _of(r.first, "<i8")
                 before, own, start = _bigrams(first, _unpack(r.tokens), d)
@@ -144,22 +149,19 @@ def _send(table: DataFrame, heavy: np.ndarray, shards: int) -> DataFrame:
                 counts = np.bincount(inverse[np.repeat(train, np.diff(np.append(start, len(own))))], minlength=len(key))
                 context, follower = key // (d + 2), key % (d + 2)
                 spread = np.append(np.isin(w, heavy), [False, True])
-                shard = _shard_of(context, follower, bounds, d, spread)
+                shard = _shard_of(context, follower, _word_shards(r.shards), spread)
                 order = np.argsort(shard, kind="stable")
                 hashes = np.append(w, [_END, _BEGIN])
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
+                own_shards, cut = np.unique(shard[order], return_index=True)
                 out = []
-                for s in range(shards):
-                    mine = order[cut[s] : cut[s + 1]]
-                    if not len(mine):
-                        continue
+                for s, mine in zip(own_shards.tolist(), np.split(order, cut[1:]), strict=True):
                     c = context[mine]
                     at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                     heads = c[at]
                     out.append((s, r.piece, hashes[heads].tobytes(), np.diff(np.append(at, len(c))).astype("<u4").tobytes(), (hashes[follower[mine]] & _NARROW).astype("<u4").tobytes(), counts[mine].astype("<u4").tobytes(), heads[spread[heads]].astype("<i4").tobytes()))
                 yield pd.DataFrame(out, columns=["shard", "piece", "contexts", "fan", "followers", "counts", "spread"])
 
-    return table.select("piece", "train", "first", "n_words", "bounds", "words", "tokens").mapInPandas(run, _SENT)
+    return table.select("piece", "train", "first", "n_words", "shards", "words", "tokens").mapInPandas(run, _SENT)
 
 
 def shard_count(docs: DataFrame, text_col: str) -> int:
@@ -250,7 +252,7 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
     n_docs = rows.where("train").count()
     table = stage(pieces(rows, shards), "lm-pieces")
     heavy = _heavy(table, shards)
-    sent = _send(table, np.array(sorted(heavy), np.uint64), shards)
+    sent = _send(table, np.array(sorted(heavy), np.uint64))
     answers = stage(_answers(sent, heavy, n_docs, mu, False), "lm-answers")
     sums = answers.where(F.col("piece").isNull()).agg(F.sum("types"), F.sum("tokens")).first()
     seen = [c for c in heavy.values() if c]
@@ -260,7 +262,7 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
     def finish(piece: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in piece.itertuples():
-            d, bounds = r.n_words, _of(r.bounds, "<i4").astype(np.int64)
+            d, word_shards = r.n_words, _word_shards(r.shards)
             first, train = _of(r.first, "<i8"), _of(r.train, np.uint8).astype(bool)
             before, own, start = _bigrams(first, _unpack(r.tokens), d)
             key, inverse = np.unique(before * (d + 2) + own, return_inverse=True)
@@ -272,10 +274,10 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
                 s = _of(s, "<i4")
                 spread[s] = True
                 count[s] = _of(c, "<i8")
-            order = np.argsort(_shard_of(context, follower, bounds, d, spread), kind="stable")
+            order = np.argsort(_shard_of(context, follower, word_shards, spread), kind="stable")
             codes = np.empty(len(key), np.uint8)
             codes[order] = np.concatenate([_of(c, np.uint8) for c in replies["codes"]])
-            sorted_shard = _shard_of(context, follower, bounds, d, spread)[order]
+            sorted_shard = _shard_of(context, follower, word_shards, spread)[order]
             c = context[order]
             heads = c[np.append(True, (c[1:] != c[:-1]) | (sorted_shard[1:] != sorted_shard[:-1]))]
             answered = np.concatenate([_of(x, "<i8") for x in replies["contexts"]])
@@ -289,7 +291,7 @@ def score(docs: DataFrame, train: Column, mu: float = MU, id_col: str = "doc_id"
             out.append(pd.DataFrame({"doc_id": pd.array(r.doc_ids, dtype="Int64"), "train": train, "n_tokens": np.diff(np.append(start, len(own))), "n_known": np.add.reduceat(known.astype(np.int64), start), "train_tokens": n_total, "base_score": np.add.reduceat(base, start), "score": np.add.reduceat(own_score, start)}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    left = table.select("piece", "doc_ids", "train", "first", "n_words", "bounds", "tokens")
+    left = table.select("piece", "doc_ids", "train", "first", "n_words", "shards", "tokens")
     right = answers.where(F.col("piece").isNotNull()).select("piece", "shard", "contexts", "codes", "spread", "spread_counts")
     return left.groupBy("piece").cogroup(right.groupBy("piece")).applyInPandas(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
@@ -300,7 +302,7 @@ def tries(docs: DataFrame, mu: float = MU, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(True).alias("train"))
     table = stage(pieces(rows, shards), "lm-pieces")
     heavy = _heavy(table, shards)
-    return _answers(_send(table, np.array(sorted(heavy), np.uint64), shards), heavy, rows.count(), mu, True).where(F.col("trie").isNotNull()).select("shard", "trie")
+    return _answers(_send(table, np.array(sorted(heavy), np.uint64)), heavy, rows.count(), mu, True).where(F.col("trie").isNotNull()).select("shard", "trie")
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:

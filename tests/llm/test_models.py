@@ -124,6 +124,18 @@ def test_lm_frequent_contexts_are_spread(spark):
     assert sorted(map(key, rows)) == sorted(map(key, plain)) and {r.n_known for r in rows} == {6}
 
 
+def test_lm_bytes_go_with_the_words_not_with_the_shards(spark):
+    """What pieces hold of shards and send to them, with 16 and with 16,000 shards over one text."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 900}" for k in range(60)), True) for i in range(200)], "doc_id long, text string, train boolean").coalesce(2)
+    for shards in (16, 16_000):
+        table = lm.pieces(docs, shards).cache()
+        for r in table.collect():
+            assert len(r.shards) <= 8 * min(shards, r.n_words)
+        words = sum(r.n_words for r in table.collect())
+        sent = lm._send(table, np.zeros(0, np.uint64)).collect()
+        assert len(sent) <= words + 2 * table.count() and len({(r.shard, r.piece) for r in sent}) == len(sent)
+
+
 def test_lm_odd_rows(odd_docs, no_docs):
     rows = lm.score(odd_docs, F.lit(True), shards=3).collect()
     assert len(rows) == 10 and {r.n_tokens for r in rows if r.doc_id in (2, 3, 4)} == {1}
