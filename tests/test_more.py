@@ -130,12 +130,11 @@ def test_a_line_over_many_tiles_is_one_component(spark):
     assert components.label_tiled(mask, tile=8).select("component").distinct().count() == 1
 
 
-def test_large_palettes_are_an_error(spark):
+def test_palettes_have_no_limit(spark):
     from foliospark.operators import labels
 
-    palette = spark.range(labels.PALETTE_LIMIT + 1).selectExpr("int(id) as class_id", "0 as r", "0 as g", "0 as b", "array(1) as codes")
-    pixels = spark.createDataFrame([(1,)], "class_id int")
-    with pytest.raises(ValueError, match="entries at most"):
-        labels.class_colour(pixels, palette)
-    with pytest.raises(ValueError, match="entries at most"):
-        labels.codes_colour(pixels.selectExpr("array(1) as codes"), palette)
+    palette = spark.range(5000).selectExpr("int(id) as class_id", "int(id % 256) as r", "7 as g", "int(id / 256) as b", "array(int(id)) as codes")
+    pixels = spark.createDataFrame([(4999,), (5000,)], "class_id int")
+    assert {r.class_id: (r.r, r.g, r.b) for r in labels.class_colour(pixels, palette).collect()} == {4999: (135, 7, 19), 5000: (None, None, None)}
+    coded = labels.codes_colour(pixels.selectExpr("array(class_id) as codes"), palette).collect()
+    assert {r.codes[0]: (r.r, r.g, r.b) for r in coded} == {4999: (135, 7, 19), 5000: (0, 0, 0)}
