@@ -1,15 +1,11 @@
-"""Shapes to pixels: filled rectangles, circles and polygons as joins with the rows they cross, strokes by distance."""
+"""Shapes to pixels, by runs of the rows that they cross: filled rectangles, circles and polygons, strokes by distance."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.polygons import let
+from . import runs
 
 
 def fill_rectangles(shapes: DataFrame, keep: list[str]) -> DataFrame:
@@ -26,60 +22,56 @@ def fill_circles(shapes: DataFrame, keep: list[str]) -> DataFrame:
     return rows.where(dy * dy + dx * dx <= F.col("r") * F.col("r")).select(*keep, "y", "x")
 
 
+def rectangle_runs(shapes: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, y, left, right: runs of the pixels of a key's rectangles (x, y, w, h) together, each pixel in one."""
+    return runs.united_runs(shapes.select(*keep, *[F.col(c).cast("int").alias(c) for c in "xywh"]), keep, list("xywh"), runs.rectangle_rows, runs.rectangle_runs)
+
+
+def circle_runs(shapes: DataFrame, keep: list[str]) -> DataFrame:
+    """The same of circles (cx, cy, r)."""
+    columns = ["cx", "cy", "r"]
+    return runs.united_runs(shapes.select(*keep, *[F.col(c).cast("int").alias(c) for c in columns]), keep, columns, runs.circle_rows, runs.circle_runs)
+
+
 def polygon_runs(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
-    """keep, y, left, right: runs of pixels inside, by the even-odd rule, made inside each shape's row.
+    """The same of polygons, by the even-odd rule of each.
 
     An edge crosses row y if it goes from above or on it to below; a run holds the pixels from its left crossing,
     rounded up, to before its right one.
     """
-    p = shapes.select(*keep, F.col(points).alias("_p")).where(F.size("_p") >= 3)
-    edges = F.zip_with("_p", F.concat(F.slice("_p", F.lit(2), F.size("_p") - 1), F.slice("_p", 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    ys = F.transform("_p", lambda a: a["y"])
+    return runs.united_runs(shapes.select(*keep, F.col(points).alias("points")), keep, ["points"], runs.polygon_rows, runs.polygon_runs)
 
-    def line(y: Column) -> Column:
-        crossed = F.filter("_e", lambda e: (e["y1"] <= y) != (e["y2"] <= y))
-        at = F.array_sort(F.transform(crossed, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]).cast("double") / (e["y2"] - e["y1"])))
-        run = lambda a, b: F.struct(y.alias("y"), F.ceil(a).cast("int").alias("left"), (F.ceil(b) - 1).cast("int").alias("right"))
-        pairs = let(at, lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), run))
-        return F.filter(pairs, lambda r, i: (i % 2 == 0) & (r["left"] <= r["right"]))
 
-    rows = p.withColumn("_e", edges).withColumn("_y", F.sequence(F.array_min(ys), F.array_max(ys)))
-    return rows.select(*keep, F.inline(F.flatten(F.transform("_y", line))))
+def stroke_runs(shapes: DataFrame, keep: list[str], thickness: int, points: str = "points", close: bool = False) -> DataFrame:
+    """The same of polylines (of the ring, if ``close``): pixels within half the thickness."""
+    p = F.col(points)
+    r = thickness / 2
+    drawn = shapes.select(*keep, (F.concat(p, F.slice(p, 1, 1)) if close else p).alias("points")).withColumns({"half": F.lit(r), "reach": F.lit(int(r) + 1)})
+    return runs.united_runs(drawn, keep, ["points", "half", "reach"], runs.stroke_rows, runs.stroke_runs)
 
 
 def fill_polygons(shapes: DataFrame, keep: list[str], points: str = "points") -> DataFrame:
-    """Pixels whose centres are inside polygons by the even-odd rule, each once, however many shapes of one key hold it: shapes are united as runs."""
-    several = shapes.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keep)])
-    alone = polygon_runs(shapes.join(several, same, "left_anti"), keep, points)  # nothing to unite: no shuffle of runs
-    before = W.partitionBy(*keep, "y").orderBy("left", "right").rowsBetween(W.unboundedPreceding, -1)
-    runs = polygon_runs(shapes.join(several, same, "left_semi"), keep, points)
-    runs = runs.withColumn("left", F.greatest("left", F.max("right").over(before) + 1)).where("left <= right")
-    return alone.unionByName(runs).select(*keep, "y", F.explode(F.sequence("left", "right")).alias("x"))
+    """Pixels whose centres are inside polygons by the even-odd rule, each once, however many shapes of one key hold it."""
+    return runs.pixels(polygon_runs(shapes, keep, points))
 
 
 def stroke(shapes: DataFrame, keep: list[str], thickness: int, points: str = "points", close: bool = False) -> DataFrame:
-    """Pixels within half the thickness of a polyline (of the ring, if ``close``)."""
-    p = shapes.select(*keep, F.col(points).alias("_p"))
-    ring = F.concat("_p", F.slice("_p", 1, 1)) if close else F.col("_p")
-    r = thickness / 2
-    p = p.withColumn("_p", ring).where(F.size("_p") >= 1)
-    p = p.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_p") - 2, F.lit(0)))))
-    a, b = F.get("_p", F.col("_i")), F.coalesce(F.get("_p", F.col("_i") + 1), F.get("_p", F.col("_i")))
-    p = p.withColumns({"_x1": a["x"], "_y1": a["y"], "_x2": b["x"], "_y2": b["y"]})
-    reach = int(r) + 1
-    p = p.withColumn("y", F.explode(F.sequence(F.least("_y1", "_y2") - reach, F.greatest("_y1", "_y2") + reach)))
-    dx, dy = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
-    # of the row only what may be near: places beside the line, by as much as half the thickness is along the row
-    middle = F.col("_x1") + (F.col("y") - F.col("_y1")) * dx / F.nullif(dy, F.lit(0))
-    aside = F.lit(r) * F.sqrt(dx * dx + dy * dy) / F.nullif(F.abs(dy), F.lit(0)) + 1
-    left = F.greatest(F.least("_x1", "_x2") - reach, F.floor(middle - aside).cast("int"))
-    right = F.least(F.greatest("_x1", "_x2") + reach, F.ceil(middle + aside).cast("int"))
-    p = p.withColumn("x", F.explode(F.when(left <= right, F.sequence(left, right))))
-    along = F.coalesce(((F.col("x") - F.col("_x1")) * dx + (F.col("y") - F.col("_y1")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0)), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    ex, ey = F.col("x") - (F.col("_x1") + t * dx), F.col("y") - (F.col("_y1") + t * dy)
-    return p.where(ex * ex + ey * ey <= r * r).select(*keep, "y", "x").distinct()
+    """Pixels within half the thickness of a polyline (of the ring, if ``close``), each once for a key."""
+    return runs.pixels(stroke_runs(shapes, keep, thickness, points, close))
+
+
+def run_sums(found: DataFrame, by: list[str]) -> DataFrame:
+    """by, n (pixels), sum_y, sum_x of runs."""
+    n = (F.col("right") - F.col("left") + 1).cast("long")
+    return found.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * F.col("y")).alias("sum_y"), F.sum((n * (F.col("left").cast("long") + F.col("right")) / 2).cast("long")).alias("sum_x"))
+
+
+def polygon_set_iou(a: DataFrame, b: DataFrame, key: str, points: str = "points") -> DataFrame:
+    """key, iou of the pixels of a key's polygons in ``a`` and those in ``b``, from the sizes of either and of both together."""
+    tagged = lambda s, tag: s.select(key, F.col(points).alias("points"), F.explode(F.array(F.lit(tag), F.lit(2))).alias("_side"))
+    found = polygon_runs(tagged(a, 0).unionByName(tagged(b, 1)), [key, "_side"])
+    size = lambda k: F.sum(F.when(F.col("_side") == k, F.col("right") - F.col("left") + 1).otherwise(0))
+    return found.groupBy(key).agg(((size(0) + size(1) - size(2)) / size(2)).alias("iou"))
 
 
 def pixel_iou(a: DataFrame, b: DataFrame, key: str = "image_id") -> DataFrame:

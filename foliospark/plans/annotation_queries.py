@@ -118,14 +118,14 @@ def via_rect_from_points(spark: SparkSession, d: str) -> DataFrame:
 _FILLED = "SELECT DISTINCT image_id, y, unnest(range(x, x + w + 1)) AS x FROM (SELECT image_id, unnest(range(y, y + h + 1)) AS y, x, w FROM regions)"
 
 
-def _mask_size(pixels: DataFrame) -> DataFrame:
+def _mask_size(runs: DataFrame) -> DataFrame:
     """image_id, pixels and a sum over their places, of the union of an image's shapes."""
-    return pixels.distinct().groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    return raster.run_sums(runs, ["image_id"]).select("image_id", F.col("n").alias("pixels"), (F.col("sum_y") * 1000 + F.col("sum_x")).alias("places"))
 
 
 @query(f"SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM ({_FILLED}) GROUP BY image_id", "regions")
 def rect_fill_mask(spark: SparkSession, d: str) -> DataFrame:
-    return _mask_size(raster.fill_rectangles(views.regions(spark, d), ["image_id"]))
+    return _mask_size(raster.rectangle_runs(views.regions(spark, d), ["image_id"]))
 
 
 @query(f"""WITH {_P}, s AS (SELECT DISTINCT id, n, x1, y1, x2, y2, x3, y3 FROM p), e AS (SELECT id, n, x1 AS k1, y1 AS k2, x2 AS k3, y2 AS k4, x3 AS k5, y3 AS k6, unnest([x1, x2, x3]) AS xa, unnest([y1, y2, y3]) AS ya, unnest([x2, x3, x1]) AS xb, unnest([y2, y3, y1]) AS yb FROM s),
@@ -139,7 +139,7 @@ def polygon_fill_mask(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM (SELECT DISTINCT image_id, cy + i AS y, cx + j AS x FROM (SELECT image_id, x AS cx, y AS cy, h - 8 AS r, i, unnest(range(-12, 13)) AS j FROM (SELECT *, unnest(range(-12, 13)) AS i FROM regions)) WHERE i * i + j * j <= r * r) GROUP BY image_id", "regions")
 def circle_fill_mask(spark: SparkSession, d: str) -> DataFrame:
     c = views.regions(spark, d).select("image_id", F.col("x").alias("cx"), F.col("y").alias("cy"), (F.col("h") - 8).alias("r"))
-    return _mask_size(raster.fill_circles(c, ["image_id"]))
+    return _mask_size(raster.circle_runs(c, ["image_id"]))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -192,8 +192,8 @@ def quad_parse(spark: SparkSession, d: str) -> DataFrame:
     t = views.table(spark, d, "lineitem")
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     line = F.concat_ws(",", F.concat(F.col("l_orderkey").cast("string"), F.lit(".jpg")), *[c.cast("string") for c in (p, s, p + 5, s, p + 5, s + 7, p, s + 7)], F.when(F.col("l_linenumber") % 2 == 0, "SINGLE"))
-    q = t.select(tx.parse_quad(line).alias("q"))
-    return q.select("q.file", F.col("q.quad")[0]["x"].alias("x1"), F.col("q.quad")[2]["y"].alias("y3"), "q.tag", tx.format_quad(F.col("q.file"), F.col("q.quad")).alias("line")).distinct()
+    q = t.select(tx.parse_quad(line).alias("q")).select("q.*").distinct()
+    return q.select("file", F.col("quad")[0]["x"].alias("x1"), F.col("quad")[2]["y"].alias("y3"), "tag", tx.format_quad(F.col("file"), F.col("quad")).alias("line"))
 
 
 @query(f"SELECT o_orderkey || '.xml' AS basename, {_R6('o_totalprice / 1000000')} AS f1, {_R6('o_totalprice / 2000000')} AS p, {_R6('o_totalprice / 3000000')} AS r FROM orders")
@@ -215,7 +215,8 @@ def url_strings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT image_id, count(*) AS pixels, sum(y * 1000 + x)::BIGINT AS places FROM (SELECT image_id, y, x FROM ({_FILLED}) WHERE y < 100 AND x < 100) GROUP BY image_id", "regions")
 def pixel_intersection(spark: SparkSession, d: str) -> DataFrame:
     """Masks intersected with a window of a hundred rows and columns."""
-    return _mask_size(raster.fill_rectangles(views.regions(spark, d), ["image_id"]).where("y < 100 AND x < 100"))
+    inside = raster.rectangle_runs(views.regions(spark, d), ["image_id"]).where("y < 100 AND left < 100")
+    return _mask_size(inside.withColumn("right", F.least("right", F.lit(99))))
 
 
 @query("SELECT page_id, split_part(url, '/', 3) AS name, 'https://host/iiif/' || split_part(url, '/', 3) || '/info.json' AS info FROM pages")

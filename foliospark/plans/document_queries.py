@@ -102,8 +102,7 @@ def draw_separators(spark: SparkSession, d: str) -> DataFrame:
  SELECT id, count(*) AS n, sum(y)::BIGINT AS sum_y, sum(x)::BIGINT AS sum_x FROM (SELECT DISTINCT id, y, x FROM t WHERE (x - (ax + u * (bx - ax))) * (x - (ax + u * (bx - ax))) + (y - (ay + u * (b_y - ay))) * (y - (ay + u * (b_y - ay))) <= 1.5::DOUBLE * 1.5::DOUBLE) GROUP BY id""")
 def stroke_polygons(spark: SparkSession, d: str) -> DataFrame:
     """Closed outlines, three pixels thick: pixels of all of an id's together, and sums of their places."""
-    drawn = raster.stroke(_triangles(spark, d).select("id", F.col("p").alias("points")), ["id"], 3, close=True)
-    return drawn.groupBy("id").agg(F.count("*").alias("n"), F.sum("y").alias("sum_y"), F.sum("x").alias("sum_x"))
+    return raster.run_sums(raster.stroke_runs(_triangles(spark, d).select("id", F.col("p").alias("points")), ["id"], 3, close=True), ["id"])
 
 
 @query("SELECT image_id, sum((a AND b)::INT)::DOUBLE / sum((a OR b)::INT)::DOUBLE AS iou FROM (SELECT prob.image_id, prob.v > 0.4 AS a, (prob.y + prob.x) % 3 > 0 AS b FROM prob) GROUP BY image_id", "prob")
@@ -121,8 +120,8 @@ def mask_union(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT image_id, y // 64 AS band, count(*) AS n, sum(x)::BIGINT AS sum_x FROM (SELECT DISTINCT image_id, y, unnest(range(x, x + w + 1))::INT AS x FROM (SELECT image_id, unnest(range(y, y + h + 1))::INT AS y, x, w FROM regions)) GROUP BY image_id, y // 64", "regions")
 def rect_fill_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of pages' rectangles, counted by bands of 64 rows."""
-    filled = raster.fill_rectangles(views.regions(spark, d), ["image_id"]).distinct()
-    return filled.groupBy("image_id", F.floor(F.col("y") / 64).cast("int").alias("band")).agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"))
+    filled = raster.rectangle_runs(views.regions(spark, d), ["image_id"]).withColumn("band", F.floor(F.col("y") / 64).cast("int"))
+    return raster.run_sums(filled, ["image_id", "band"]).select("image_id", "band", "n", "sum_x")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -258,7 +257,7 @@ def polygon_iou(spark: SparkSession, d: str) -> DataFrame:
     """Polygons as pixels against the same ones two pixels to the right."""
     t = _triangles(spark, d).select("id", F.col("p").alias("points"))
     moved = t.select("id", F.transform("points", lambda q: F.struct((q["x"] + 2).alias("x"), q["y"].alias("y"))).alias("points"))
-    return raster.pixel_iou(raster.fill_polygons(t, ["id"]), raster.fill_polygons(moved, ["id"]), "id")
+    return raster.polygon_set_iou(t, moved, "id")
 
 
 @query(f"SELECT image_id % 16 AS batch, {_R6('avg(v)')} AS loss FROM (SELECT image_id, avg(v) AS v FROM prob WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY image_id) GROUP BY image_id % 16", "prob")

@@ -7,7 +7,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import tiling
+from foliospark.operators import raster, runs, tiling
+from foliospark.plans import annotation_queries, document_queries
 
 
 def test_tile_starts_round_exact_halves_to_even(spark):
@@ -16,3 +17,55 @@ def test_tile_starts_round_exact_halves_to_even(spark):
     for r in rows:
         n = math.ceil((r.s - 500) / 400)
         assert r["at"] == [round(Fraction(i * (r.s - 500), n)) for i in range(n + 1)]
+
+
+KINDS = {"rectangle": "x int, y int, w int, h int", "circle": "cx int, cy int, r int", "polygon": "points array<struct<x:int,y:int>>", "stroke": "points array<struct<x:int,y:int>>"}
+
+
+def shapes(kind, rng):
+    at = lambda: rng.randrange(-30, 30)
+    if kind == "rectangle":
+        return (at(), at(), rng.randrange(20), rng.randrange(20))
+    if kind == "circle":
+        return (at(), at(), rng.randrange(12))
+    return ([(at(), at()) for _ in range(rng.randrange(0, 6))],)
+
+
+def holds(kind, s, y, x):
+    if kind == "rectangle":
+        return s[0] <= x <= s[0] + s[2] and s[1] <= y <= s[1] + s[3]
+    if kind == "circle":
+        return (x - s[0]) ** 2 + (y - s[1]) ** 2 <= s[2] ** 2
+    ring = s[0]
+    if kind == "polygon":
+        if len(ring) < 3:
+            return False
+        crossed = [xa + (y - ya) * (xb - xa) / (yb - ya) for (xa, ya), (xb, yb) in zip(ring, ring[1:] + ring[:1], strict=True) if (ya <= y) != (yb <= y)]
+        return sum(x >= c for c in crossed) % 2 == 1
+    for (xa, ya), (xb, yb) in zip(ring, ring[1:], strict=False) if len(ring) > 1 else [(p, p) for p in ring]:
+        dx, dy = xb - xa, yb - ya
+        t = max(0.0, min(1.0, ((x - xa) * dx + (y - ya) * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+        if (x - (xa + t * dx)) ** 2 + (y - (ya + t * dy)) ** 2 <= 2.25:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("kind", sorted(KINDS))
+@pytest.mark.parametrize("chunk", [1_000_000, 40])
+def test_united_runs(spark, kind, chunk, monkeypatch):
+    """Every pixel of a key's shapes once, over keys cut by chunks, with null keys and shapes."""
+    monkeypatch.setattr(runs, "CHUNK", chunk)
+    rng = random.Random(len(kind))
+    rows = [(rng.choice([1, 2, None]), rng.choice("ab"), *shapes(kind, rng)) for _ in range(60)]
+    df = spark.createDataFrame([*rows, (1, "a", *[None] * len(rows[0][2:]))], f"k long, n string, {KINDS[kind]}")
+    made = {"rectangle": raster.rectangle_runs, "circle": raster.circle_runs, "polygon": raster.polygon_runs, "stroke": lambda d, keep: raster.stroke_runs(d, keep, 3)}[kind](df, ["k", "n"])
+    got = [(r.k, r.n, r.y, x) for r in made.collect() for x in range(r.left, r.right + 1)]
+    want = {(k, n, y, x) for k, n, *s in rows for y in range(-45, 55) for x in range(-45, 55) if holds(kind, s, y, x)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_masks_are_counted_as_runs(spark):
+    """No row for each pixel: neither explosion nor sort of pixels before sums."""
+    for name, module in (("rect_fill_mask", annotation_queries), ("circle_fill_mask", annotation_queries), ("pixel_intersection", annotation_queries), ("rect_fill_pixels", document_queries), ("polygon_iou", document_queries), ("stroke_polygons", document_queries)):
+        plan = module.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence" not in plan and "Distinct" not in plan and "Join" not in plan
