@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .polygons import let
+
 
 def tags(custom: Column) -> Column:
     """Types in '{type:...;}' of an attribute, greedy to the last ';}', distinct and sorted."""
@@ -60,14 +62,17 @@ def parse_quad(line: Column) -> Column:
 
     With a tag the eight numbers before it count, else the first eight after the name.
     """
-    parts = F.split(line, ",")
-    last = F.btrim(F.element_at(parts, -1))
-    tagged = last.isin("SINGLE", "ABNORMAL")
-    start = F.when(tagged, F.size(parts) - 8).otherwise(F.lit(2))
-    numbers = F.transform(F.slice(parts, start, F.lit(8)), lambda x: F.btrim(x).cast("double").cast("int"))
-    quad = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.get(numbers, 2 * i).alias("x"), F.get(numbers, 2 * i + 1).alias("y")))
-    return F.struct(F.get(parts, F.lit(0)).alias("file"), quad.alias("quad"), F.when(tagged, last).alias("tag"))
+
+    def built(parts: Column) -> Column:
+        last = F.btrim(F.element_at(parts, -1))
+        tagged = last.isin("SINGLE", "ABNORMAL")
+        start = F.when(tagged, F.size(parts) - 9).otherwise(F.lit(1))
+        number = lambda k: F.btrim(F.get(parts, start + k)).cast("double").cast("int")
+        quad = F.array(*[F.struct(number(2 * i).alias("x"), number(2 * i + 1).alias("y")) for i in range(4)])
+        return F.struct(F.get(parts, F.lit(0)).alias("file"), quad.alias("quad"), F.when(tagged, last).alias("tag"))
+
+    return let(F.split(line, ","), built)
 
 
 def format_quad(file: Column, quad: Column) -> Column:
-    return F.concat_ws(",", file, F.array_join(F.flatten(F.transform(quad, lambda p: F.array(p["x"].cast("string"), p["y"].cast("string")))), ","))
+    return F.concat_ws(",", file, *[F.get(quad, F.lit(i))[c].cast("string") for i in range(4) for c in "xy"])
