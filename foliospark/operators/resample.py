@@ -5,19 +5,28 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _grid(pixels: DataFrame, height: int | DataFrame, width: int | None) -> DataFrame:
-    """image_id, y, x of the target with its height and width (th, tw) and the source's (sh, sw)."""
-    size = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("sh"), (F.max("x") + 1).alias("sw"))
-    if isinstance(height, DataFrame):
-        wanted = height.select("image_id", F.col("height").alias("_h"), F.col("width").alias("_w"))
-        size = size.join(wanted, "image_id", "left").select("image_id", "sh", "sw", F.coalesce("_h", "sh").alias("th"), F.coalesce("_w", "sw").alias("tw"))
-    else:
-        size = size.withColumns({"th": F.lit(height), "tw": F.lit(width)})
-    rows = size.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("th") - 1)))
-    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
+def _sized(pixels: DataFrame, height: int | DataFrame, width: int | None) -> DataFrame:
+    """Pixels with their image's height and width (sh, sw) and the target's (th, tw); an image is brought together once."""
+    image = W.partitionBy("image_id")
+    rows = pixels.where(F.col("image_id").isNotNull()).withColumns({"sh": (F.max("y").over(image) + 1).cast("long"), "sw": (F.max("x").over(image) + 1).cast("long")})
+    if not isinstance(height, DataFrame):
+        return rows.withColumns({"th": F.lit(height).cast("long"), "tw": F.lit(width).cast("long")})
+    wanted = height.select("image_id", F.col("height").alias("_h"), F.col("width").alias("_w"))
+    return rows.join(wanted, "image_id", "left").withColumns({"th": F.coalesce("_h", "sh").cast("long"), "tw": F.coalesce("_w", "sw").cast("long")}).drop("_h", "_w")
+
+
+def _first(at: Column, size: Column, target: Column) -> Column:
+    """The first target place whose source place, floor(target * size / out), is ``at`` or later."""
+    return F.floor((at.cast("long") * target + size - 1) / size)
+
+
+def _between(low: Column, high: Column) -> Column:
+    """low to high, none if that is less."""
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _list(value: str | list[str]) -> list[str]:
@@ -30,21 +39,34 @@ def nearest(pixels: DataFrame, height: int | DataFrame, width: int | None = None
     Instead of one height and width: a frame of sizes (image_id, height, width), such as the originals'; an image
     without a size, or with a null one, stays as it is.
     """
-    grid = _grid(pixels, height, width)
-    at = grid.withColumns({"_y": F.floor(F.col("y") * F.col("sh") / F.col("th")).cast("int"), "_x": F.floor(F.col("x") * F.col("sw") / F.col("tw")).cast("int")})
-    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), *_list(value))
-    return at.join(source, ["image_id", "_y", "_x"]).select("image_id", "y", "x", *_list(value))
+    names = _list(value)
+    rows = _sized(pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "y", "x", *names), height, width)
+    for at, n, m in (("y", "sh", "th"), ("x", "sw", "tw")):  # the target's places that look at a pixel
+        n, m = F.col(n), F.col(m)
+        rows = rows.withColumn(at, F.explode(_between(_first(F.col(f"_{at}"), n, m), _first(F.col(f"_{at}") + 1, n, m) - 1)))
+    return rows.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *names)
+
+
+def _taps(own: Column, size: Column, target: Column) -> Column:
+    """t, w: the target places that a source place has a part in, with its weight as the place before and as the one after."""
+
+    def taps(t: Column) -> Column:
+        place = t * size / target
+        low = F.floor(place)
+        tap = lambda here, w: F.when(here, F.struct(t.alias("t"), w.alias("w")))
+        return F.array(tap(low == own, 1 - (place - low)), tap(F.least(low + 1, size - 1) == own, place - low))
+
+    near = _between(_first(F.greatest(own - 1, F.lit(0)), size, target), _first(own + 1, size, target) - 1)
+    return F.filter(F.flatten(F.transform(near, taps)), lambda t: t.isNotNull())
 
 
 def bilinear(pixels: DataFrame, height: int | DataFrame, width: int | None = None, value: str = "v") -> DataFrame:
     """Source place target * in / out without a half-pixel shift; beyond the last pixel it is held. Sizes as for ``nearest``."""
-    grid = _grid(pixels, height, width)
-    fy, fx = F.col("y") * F.col("sh") / F.col("th"), F.col("x") * F.col("sw") / F.col("tw")
-    y0, x0 = F.floor(fy).cast("int"), F.floor(fx).cast("int")
-    corners = F.array(*[F.struct(F.least(y0 + dy, F.col("sh") - 1).alias("y"), F.least(x0 + dx, F.col("sw") - 1).alias("x"), ((fy - y0 if dy else 1 - (fy - y0)) * (fx - x0 if dx else 1 - (fx - x0))).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    taps = grid.select("image_id", "y", "x", F.explode(corners).alias("c")).select("image_id", "y", "x", F.col("c.y").alias("_y"), F.col("c.x").alias("_x"), F.col("c.w").alias("w"))
-    source = pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), value)
-    return taps.join(source, ["image_id", "_y", "_x"]).groupBy("image_id", "y", "x").agg(F.sum(F.col("w") * F.col(value)).alias(value))
+    rows = _sized(pixels.select("image_id", F.col("y").alias("_y"), F.col("x").alias("_x"), "y", "x", value), height, width)
+    for at, n, m in (("y", "sh", "th"), ("x", "sw", "tw")):
+        rows = rows.withColumn(f"t{at}", F.explode(_taps(F.col(f"_{at}"), F.col(n), F.col(m))))
+    taken = rows.select("image_id", F.col("ty.t").cast("int").alias("y"), F.col("tx.t").cast("int").alias("x"), (F.col("ty.w") * F.col("tx.w") * F.col(value)).alias(value))
+    return taken.groupBy("image_id", "y", "x").agg(F.sum(value).alias(value))
 
 
 def budget_dims(height: Column, width: Column, budget: int) -> Column:

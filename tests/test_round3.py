@@ -7,7 +7,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import raster, runs, tiling
+from foliospark.operators import raster, resample, runs, tiling
 from foliospark.plans import annotation_queries, document_queries
 
 
@@ -69,3 +69,26 @@ def test_masks_are_counted_as_runs(spark):
     for name, module in (("rect_fill_mask", annotation_queries), ("circle_fill_mask", annotation_queries), ("pixel_intersection", annotation_queries), ("rect_fill_pixels", document_queries), ("polygon_iou", document_queries), ("stroke_polygons", document_queries)):
         plan = module.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(sequence" not in plan and "Distinct" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize(("height", "width"), [(12, 5), (3, 17), (7, 7), (1, 1)])
+def test_resized_without_a_join_of_pixels(spark, height, width):
+    """Images of several sizes, one with a hole, against the formula place by place; no pixel is joined with another."""
+    rng = random.Random(height)
+    images = {1: (7, 7), 2: (1, 9), 3: (5, 2)}
+    pixels = {(i, y, x): rng.random() for i, (h, w) in images.items() for y in range(h) for x in range(w) if (i, y, x) != (1, 3, 3)}
+    df = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image_id long, y int, x int, v double")
+    near, linear = {}, {}
+    for i, (h, w) in images.items():
+        for y in range(height):
+            for x in range(width):
+                if (k := (i, y * h // height, x * w // width)) in pixels:
+                    near[i, y, x] = pixels[k]
+                fy, fx = y * h / height, x * w / width
+                taps = [((i, min(int(fy) + a, h - 1), min(int(fx) + b, w - 1)), (fy % 1 if a else 1 - fy % 1) * (fx % 1 if b else 1 - fx % 1)) for a in (0, 1) for b in (0, 1)]
+                if any(k in pixels for k, _ in taps):
+                    linear[i, y, x] = sum(s * pixels[k] for k, s in taps if k in pixels)
+    made = resample.nearest(df, height, width)
+    assert {(r.image_id, r.y, r.x): r.v for r in made.collect()} == near
+    assert {(r.image_id, r.y, r.x): pytest.approx(r.v) for r in resample.bilinear(df, height, width).collect()} == linear
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
