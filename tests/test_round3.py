@@ -4,11 +4,13 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import raster, resample, runs, tiling
-from foliospark.plans import annotation_queries, document_queries
+from foliospark.operators import overlaps, raster, resample, runs, tiling
+from foliospark.plans import annotation_queries, document_queries, overlap_queries
 
 
 def test_tile_starts_round_exact_halves_to_even(spark):
@@ -92,3 +94,32 @@ def test_resized_without_a_join_of_pixels(spark, height, width):
     assert {(r.image_id, r.y, r.x): r.v for r in made.collect()} == near
     assert {(r.image_id, r.y, r.x): pytest.approx(r.v) for r in resample.bilinear(df, height, width).collect()} == linear
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_areas_of_many_pairs_at_once():
+    """Against shares of a fine grid of points: polygons that cross themselves, of various sizes, and without area."""
+    rng = random.Random(4)
+    lists = [[(rng.randrange(0, 12), rng.randrange(0, 12)) for _ in range(rng.choice([0, 2, 3, 4, 5, 7]))] for _ in range(60)]
+    column = pa.array([[{"x": x, "y": y} for x, y in p] for p in lists], pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
+    one, two = overlaps.ragged(column[:30]), overlaps.ragged(column[30:])
+    got = overlaps.even_odd_shared(*one, *two)
+    y, x = (np.mgrid[0 : 12 * 16, 0 : 12 * 16] + 0.5) / 16
+
+    def inside(p):
+        hit = np.zeros(y.shape, bool)
+        for (xa, ya), (xb, yb) in zip(p, p[1:] + p[:1], strict=True):
+            if ya != yb:
+                hit ^= ((ya <= y) != (yb <= y)) & (x >= xa + (y - ya) * (xb - xa) / (yb - ya))
+        return hit
+
+    for i in range(30):
+        a, b = inside(lists[i]), inside(lists[30 + i])
+        for k, want in enumerate((a, b, a & b)):
+            assert abs(got[k][i] - want.sum() / 256) < 1.5
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Shapes meet in one join of cells; boxes aren't fetched again for pairs."""
+    for name in ("shape_overlaps", "polygon_overlaps"):
+        plan = overlap_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 3  # the cells, and their counts on either side
