@@ -181,7 +181,7 @@ def unite(own: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -
     return own[keep], y[keep], left[keep], right[keep]
 
 
-def _changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+def changes(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     """Number of the key in each row, counted from 0; rows are sorted by key."""
     new = np.zeros(batch.num_rows, bool)
     for c in names:
@@ -213,7 +213,7 @@ def united_runs(shapes: DataFrame, keep: list[str], columns: list[str], rows_of:
                     keys = pa.Table.from_batches([held[0], keys]).combine_chunks().to_batches()[0]
                     old = held[1]
                     runs = tuple(np.concatenate([a, b + (i == 0)]) for i, (a, b) in enumerate(zip((np.zeros(len(old[0]), np.int64), *old), runs, strict=True)))
-                number = _changes(keys, keep)
+                number = changes(keys, keep)
                 first = np.flatnonzero(np.diff(number, prepend=-1))
                 own, y, left, right = unite(number[runs[0]], *runs[1:])
                 cut = int(np.searchsorted(own, number[-1]))

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.runs import changes
 from .codec import image_size, npy_decode, png_decode, png_encode
 
 IMAGES = r"\.(jpg|png)$"
@@ -65,17 +68,47 @@ def read_probabilities(spark: SparkSession, paths: str | list[str]) -> DataFrame
 
 def encode_masks(pixels: DataFrame, keys: list[str], height: str = "height", width: str = "width") -> DataFrame:
     """keys, png: a grey PNG (255 on the mask's y, x) for each key, as a binary column to write as Parquet or files."""
+    return encode_images(pixels, keys, [], height, width)
 
-    def run(mask: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((int(mask[height].iat[0]), int(mask[width].iat[0])), np.uint8)
-        inside = mask.dropna(subset=["y", "x"])
-        y, x = inside["y"].to_numpy(int), inside["x"].to_numpy(int)
-        ok = (y >= 0) & (x >= 0) & (y < a.shape[0]) & (x < a.shape[1])
-        a[y[ok], x[ok]] = 255
-        return pd.DataFrame([(*[mask[k].iat[0] for k in keys], png_encode(a))], columns=[*keys, "png"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*keys).schema)
-    return pixels.select(*keys, height, width, "y", "x").groupBy(*keys).applyInPandas(run, f"{schema}, png binary")
+def encode_images(pixels: DataFrame, keys: list[str], colours: list[str], height: str = "height", width: str = "width") -> DataFrame:
+    """keys, png: for each key a PNG of its pixels' r, g, b (``colours``), or grey, 255 at its pixels; other places are black.
+
+    Pixels with null places, or beyond the image, are left out. They are brought together by key, sorted by it and
+    streamed through: one image at a time is held.
+    """
+    rows = pixels.select(*keys, *[F.col(c).cast("int").alias(f"_{k}") for k, c in enumerate([height, width, "y", "x", *colours])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last key (a row) and its image
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.select(keys)
+            h, w, y, x, *values = (pc.fill_null(batch.column(f"_{k}"), -1).to_numpy(zero_copy_only=False) for k in range(4 + len(colours)))
+            at = np.flatnonzero(np.diff(changes(batch, keys), prepend=-1))
+            inside = (y >= 0) & (x >= 0)
+            made = []
+            for i, j in zip(at.tolist(), [*at[1:].tolist(), batch.num_rows], strict=True):
+                if i == 0 and held is not None and held[0].equals(key.slice(0, 1)):
+                    a = held[1]
+                else:
+                    if i == 0 and held is not None:
+                        yield out(held[0], [held[1]])
+                    a = np.zeros((h[i], w[i], 3) if colours else (h[i], w[i]), np.uint8)
+                ok = i + np.flatnonzero(inside[i:j] & (y[i:j] < a.shape[0]) & (x[i:j] < a.shape[1]))
+                a[y[ok], x[ok]] = np.stack([v[ok] for v in values], axis=-1).astype(np.uint8) if colours else 255
+                made.append(a)
+            yield out(key.take(pa.array(at[:-1])), made[:-1])
+            held = key.slice(int(at[-1]), 1), made[-1]
+        if held is not None:
+            yield out(held[0], [held[1]])
+
+    def out(key: pa.RecordBatch, images: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*key.columns, pa.array([png_encode(a) for a in images], pa.binary())], names=[*keys, "png"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, png binary")
 
 
 def decode_png(data: bytes) -> np.ndarray:
