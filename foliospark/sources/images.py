@@ -108,7 +108,8 @@ def encode_images(pixels: DataFrame, keys: list[str], colours: list[str], height
         return pa.RecordBatch.from_arrays([*key.columns, pa.array([png_encode(a) for a in images], pa.binary())], names=[*keys, "png"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, png binary")
+    # by a hash of their own: a shuffle by the keys themselves is left out after a join by them, whose skewed partitions may be split
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, png binary")
 
 
 def decode_png(data: bytes) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions.text import stem
@@ -57,17 +57,12 @@ class Written(WriterCommitMessage):
     archives: int | None = None
 
 
-@dataclass
-class Archive(InputPartition):
-    path: str
-
-
 class NamedFiles(DataSource):
     """Columns name (relative, its folders are made) and content (binary or string); null contents make no file.
 
     ``append`` leaves other files and replaces those of the same names, ``overwrite`` empties the folder first. A name
     may be given once (``write_named_files`` checks that before anything is written). Option packed: archives of files;
-    a name that an archive of the folder has isn't replaced, but an error. Reading gives the files of archives.
+    a name that an archive of the folder has isn't replaced, but an error.
     """
 
     @classmethod
@@ -82,38 +77,6 @@ class NamedFiles(DataSource):
             raise ValueError("named_files takes the columns name and content")
         return Writer(self.options["path"], overwrite, self.options.get("packed", "false") == "true", self.options.get("job"))
 
-    def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options["path"], self.options.get("pattern", "*"))
-
-
-class Reader(DataSourceReader):
-    """Files of a folder's archives whose own names match ``pattern``."""
-
-    def __init__(self, path: str, pattern: str) -> None:
-        self.path, self.pattern = path, pattern
-
-    def partitions(self) -> list[Archive]:
-        return [Archive(x) for x in _held(self.path, _ARCHIVE)] or [Archive("")]
-
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        names, contents, size = [], [], 0
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
-        with _open(self.path)[0].open_input_stream(partition.path, compression=None) as f, gzip.GzipFile(fileobj=f) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
-            while (info := tar.next()) is not None:
-                tar.members.clear()  # or it would hold all that it has passed
-                if not fnmatchcase(info.name.rsplit("/", 1)[-1], self.pattern):
-                    continue
-                names.append(info.name)
-                contents.append(tar.extractfile(info).read())
-                size += info.size
-                if size >= _BATCH_BYTES or len(names) >= 10_000:
-                    yield batch()
-                    names, contents, size = [], [], 0
-        if names:
-            yield batch()
-
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool, packed: bool = False, job: str | None = None) -> None:
@@ -227,7 +190,7 @@ def write_named_files(files: DataFrame, path: str, name: str | Column = "name",
     if packed:
         job = uuid.uuid4().hex
         rows.write.format("named_files").mode(mode).option("packed", "true").option("job", job).save(path)
-        twice = _twice(spark.read.text(f"{path}/*{_INDEX}").withColumnRenamed("value", "name")) if _held(path, _INDEX, job) else []
+        twice = [json.loads(x) for x in _twice(spark.read.text(f"{path}/*{_INDEX}").withColumnRenamed("value", "name"))] if _held(path, _INDEX, job) else []
         if twice:
             system = _open(path)[0]
             for x in (*_held(path, _ARCHIVE, job), *_held(path, _INDEX, job)):
@@ -247,14 +210,37 @@ def _twice(names: DataFrame) -> list[str]:
 def read_named_files(spark: SparkSession, path: str, pattern: str = "*", packed: bool = False) -> DataFrame:
     """name (relative to the folder), content of its files, or of its archives' files."""
     if packed:
-        spark.dataSource.register(NamedFiles)
-        return spark.read.format("named_files").option("pattern", pattern).load(path)
+        kinds = "name string, content binary"
+        if not _held(path, _ARCHIVE):
+            return spark.createDataFrame([], kinds)
+        places = spark.read.format("binaryFile").load(f"{path}/*{_ARCHIVE}").select("path")  # tasks read the contents
+        return places.mapInArrow(lambda batches: (files for batch in batches for x in batch.column("path").to_pylist() for files in _unpacked(x, pattern)), kinds)
     root = _open(path)[1]
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     full = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     return rows.select(F.substring(full, F.position(F.lit(f"{root}/"), full) + len(root) + 1, F.length(full)).alias("name"), "content")
 
 
+def _unpacked(path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """name, content of an archive's files whose own names match ``pattern``; a few MB are held."""
+    names, contents, size = [], [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+    system, place = _open(path)
+    with system.open_input_stream(place, compression=None) as f, gzip.GzipFile(fileobj=f) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+        while (info := tar.next()) is not None:
+            tar.members.clear()  # or it would hold all that it has passed
+            if not fnmatchcase(info.name.rsplit("/", 1)[-1], pattern):
+                continue
+            names.append(info.name)
+            contents.append(tar.extractfile(info).read())
+            size += info.size
+            if size >= _BATCH_BYTES or len(names) >= 10_000:
+                yield batch()
+                names, contents, size = [], [], 0
+    if names:
+        yield batch()
+
+
 # Masks, pages and training sets
 
 

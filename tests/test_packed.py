@@ -47,9 +47,9 @@ def test_archives_are_cut(tmp_path, monkeypatch):
     message = w.write(iter([pa.RecordBatch.from_pydict({"name": [f"f{i}" for i in range(20)], "content": [bytes([i]) * 900 if i else None for i in range(20)]})]))
     assert message.count == 19 and message.archives == 7
     w.commit([None, message])
-    reader = named_files.Reader(str(tmp_path), "*")
-    assert len(reader.partitions()) == 7
-    assert {n: c for p in reader.partitions() for b in reader.read(p) for n, c in zip(*b.to_pydict().values(), strict=True)} == {f"f{i}": bytes([i]) * 900 for i in range(1, 20)}
+    archives = named_files._held(str(tmp_path), ".tar.gz")
+    assert len(archives) == 7
+    assert {n: c for a in archives for b in named_files._unpacked(a, "*") for n, c in zip(*b.to_pydict().values(), strict=True)} == {f"f{i}": bytes([i]) * 900 for i in range(1, 20)}
 
 
 @pytest.mark.parametrize("names", [["b", "b", "c"], ["c", "a"]])
@@ -93,7 +93,21 @@ def test_images_of_streamed_pixels(spark, colours):
         assert np.array_equal(png_decode(bytes(r["png"])), want[r["k"], r["n"]])
 
 
-@pytest.mark.parametrize("name", ["page_files"])
+def test_images_of_joined_pixels(spark):
+    """Unions of joins by the same key: partitions that Spark coalesces or splits each for itself still give an image once."""
+    at = spark.range(400).selectExpr("id as k", "explode(sequence(0, 7)) as y")
+    sizes = spark.range(400).selectExpr("id as k", "8 as height", "1 as width").repartition("k")
+    joined = at.repartition("k").hint("merge").join(sizes, "k").select("k", "height", "width", "y", F.lit(0).alias("x"))
+    pixels = joined.unionByName(sizes.select("k", "height", "width", *[F.lit(None).cast("int").alias(c) for c in "yx"]))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        got = images.encode_images(pixels, ["k"], []).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(got) == 400 and all((png_decode(bytes(r["png"])) == 255).all() for r in got)
+
+
+@pytest.mark.parametrize("name", ["page_files", "training_set_files"])
 def test_queries_leave_few_files(spark, name, monkeypatch, tmp_path):
     """No file for each document or image, and rows of a document are shuffled once."""
     monkeypatch.setattr(file_queries, "_folder", lambda spark, kind: str(tmp_path / kind))
