@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from ..checkpoints import ensure
 PALETTE_LIMIT = 256
 #: Distinct colours are broadcast up to this number.
 BROADCAST_COLOURS = 1_000_000
+#: Values a channel may have, and span of classes, for a search over the cube of colours.
+CUBE_SIDE, CLASS_SPAN = 512, 1 << 41
+_FAR = np.int64(1 << 62)  # beyond any key: a squared distance, then a class in 41 bits
 
 
 def _is_small(palette: DataFrame, limit: int = PALETTE_LIMIT) -> bool:
@@ -25,10 +30,10 @@ def _side(palette: DataFrame) -> DataFrame:
 def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id", limit: int = PALETTE_LIMIT) -> DataFrame:
     """Class of the palette colour nearest to r, g, b (squared distance; of equals the first class).
 
-    A palette of up to ``limit`` colours is inlined, without a join; larger ones are searched by ``nearest_in_cells``.
+    A palette of up to ``limit`` colours is inlined, without a join; larger ones are searched by ``nearest_in_cube``.
     """
     if not _is_small(palette, limit):
-        return nearest_in_cells(pixels, palette, out)
+        return nearest_in_cube(pixels, palette, out)
     entries = palette.select("class_id", "r", "g", "b").orderBy("class_id").collect()
     colours = F.array(*[F.struct(*[F.lit(e[c]).alias(c) for c in ("class_id", "r", "g", "b")]) for e in entries])
     square = lambda x: x * x
@@ -36,6 +41,59 @@ def nearest_class(pixels: DataFrame, palette: DataFrame, out: str = "class_id",
     return pixels.withColumn(out, F.array_min(far)["class_id"])
 
 
+def nearest_in_cube(pixels: DataFrame, palette: DataFrame, out: str = "class_id") -> DataFrame:
+    """``nearest_class`` for palettes of any size, one channel after the other: squared distances are sums over channels.
+
+    Among the palette's colours of equal r the least keys (distance, class) are found for all b, then for all g; for
+    each g then over all r. A step holds a square of the cube, whatever the palette, and distinct colours and 8 bytes
+    for a place of the cube at most are shuffled. Channels of more than ``CUBE_SIDE`` values, and classes that aren't whole
+    numbers within ``CLASS_SPAN``, go to ``nearest_in_cells``.
+    """
+    ensure(pixels.sparkSession)
+    at = ["r", "g", "b"]
+    kind = palette.schema["class_id"].dataType.simpleString()
+    whole = lambda d: d.where("r is not null and g is not null and b is not null")
+    spans = [f(c).alias(f"{n}_{c}") for c in at for n, f in (("low", F.min), ("high", F.max))]
+    ends = whole(palette).agg(*spans, F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count_if(F.col("class_id").isNull()).alias("nulls")).first()
+    asked = whole(pixels).agg(*spans).first()
+    if ends["low_r"] is None or asked["low_r"] is None or ends["nulls"] or kind not in ("tinyint", "smallint", "int", "bigint") or ends["high"] - ends["low"] >= CLASS_SPAN:
+        return nearest_in_cells(pixels, palette, out)
+    low = {c: min(ends[f"low_{c}"], asked[f"low_{c}"]) for c in at}
+    n = {c: max(ends[f"high_{c}"], asked[f"high_{c}"]) - low[c] + 1 for c in at}
+    if max(n.values()) > CUBE_SIDE:
+        return nearest_in_cells(pixels, palette, out)
+    first, begin, end = ends["low"], asked["low_g"] - low["g"], asked["high_g"] - low["g"] + 1
+    moved = [(F.col(c) - low[c]).cast("int").alias(c) for c in at]
+    known = whole(palette).groupBy(*at).agg(F.min("class_id").alias("class")).select(*moved, (F.col("class") - first).cast("long").alias("class"))
+
+    def slab(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.full((n["g"], n["b"]), _FAR)
+        keys[rows["g"], rows["b"]] = rows["class"]
+        keys = np.ascontiguousarray(_spread(np.ascontiguousarray(_spread(keys).T)).T)
+        return pd.DataFrame({"r": rows["r"].iat[0], "g": range(begin, end), "line": [keys[g].tobytes() for g in range(begin, end)]})
+
+    def meet(colours: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        best, places = np.full((n["r"], n["b"]), _FAR), np.arange(n["r"])
+        for r, line in zip(lines["r"], lines["line"], strict=True) if len(colours) else ():
+            np.minimum(best, np.frombuffer(line, np.int64) + (((places - r) ** 2) << 41)[:, None], out=best)
+        found = best[colours["r"], colours["b"]] & (CLASS_SPAN - 1)
+        return pd.DataFrame({**{c: colours[c] + low[c] for c in at}, "_class": found + first})
+
+    lines = known.groupBy("r").applyInPandas(slab, "r int, g int, line binary")
+    wanted = whole(pixels).select(*at).distinct().select(*moved)
+    # classes come as a checkpoint, so that counting and joining them don't make them twice
+    found = wanted.groupBy("g").cogroup(lines.groupBy("g")).applyInPandas(meet, "r int, g int, b int, _class long").checkpoint()
+    return pixels.join(_side(found), at, "left").select(*pixels.columns, F.col("_class").cast(kind).alias(out))
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """For each place of a row the least of the row's keys, each more by the square of how far it is."""
+    out, places = np.full_like(keys, _FAR), np.arange(keys.shape[1])
+    for k in np.flatnonzero((keys < _FAR).any(axis=0)):
+        np.minimum(out, keys[:, k, None] + (((places - k) ** 2) << 41), out=out)
+    return out
+
+
 def nearest_in_cells(pixels: DataFrame, palette: DataFrame, out: str = "class_id", edge: int = 8) -> DataFrame:
     """``nearest_class`` for palettes of any size: the colour cube is cut into cells of ``edge`` values a side.
 
