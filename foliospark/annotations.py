@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .functions.geometry import format_points, from_xy, parse_points, rectangle, scale_points
+from .functions.page_text import NAMESPACE as NAMESPACE
+from .functions.page_text import page_text
 
 POINTS = "array<struct<x:int,y:int>>"
 _SHAPE = "_id string, _custom string, Coords struct<_points:string>"
@@ -100,10 +102,6 @@ def escape(text: Column) -> Column:
     return text
 
 
-#: Fixed value of the page format: the namespace of its documents.
-NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"
-
-
 def _attribute(name: str, v: Column) -> Column:
     v = v.cast("string")
     return F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f' {name}="'), escape(v), F.lit('"'))).otherwise("")
@@ -130,11 +128,6 @@ def updated_metadata(creator: str, now: str, comments: str = "", schema: StructT
     return F.struct(F.lit(creator).alias("creator"), F.coalesce(created, F.lit(now)).alias("created"), F.when(created.isNotNull(), F.lit(now)).alias("last_change"), said.alias("comments"))
 
 
-def _metadata_xml(meta: Column) -> Column:
-    one = lambda tag, c: F.when(F.coalesce(meta[c], F.lit("")) != "", F.concat(F.lit(f"<{tag}>"), escape(meta[c]), F.lit(f"</{tag}>"))).otherwise("")
-    return F.concat(F.lit("<Metadata>"), *[one(tag, c) for tag, c in (("Creator", "creator"), ("Created", "created"), ("LastChange", "last_change"), ("Comments", "comments"))], F.lit("</Metadata>"))
-
-
 def page_xml(creator: str, created: str, schema: StructType | None = None, comments: str = "") -> Column:
     """The document of a row with image_filename, image_width, image_height and text_regions (id, coords, custom_attribute, text_lines).
 
@@ -142,36 +135,10 @@ def page_xml(creator: str, created: str, schema: StructType | None = None, comme
     of text regions, graphic, separator and table regions with their cells, and its metadata: a document that has a date
     keeps it and gets ``created`` as its last change, and ``comments`` follow its own. Null and empty lists are left out.
     """
-    columns = {f.name: f.dataType for f in schema.fields} if schema else {}
-    held = {f.name for f in columns["text_regions"].elementType.fields} if "text_regions" in columns else set()
-
-    def shape(r: Column, tag: str, more: list[Column] | None = None, inside: list[Column] | None = None) -> Column:
-        return F.concat(F.lit(f"<{tag}"), _attribute("id", r["id"]), _attribute("custom", r["custom_attribute"]), *(more or []), F.lit(">"), _points("Coords", r["coords"]), *(inside or []), F.lit(f"</{tag}>"))
-
-    def text_region(r: Column) -> Column:
-        lines = F.coalesce(F.array_join(F.transform(r["text_lines"], line_xml), ""), F.lit(""))
-        said = [F.when(F.coalesce(r["text_equiv"], F.lit("")) != "", _text(r["text_equiv"])).otherwise("")] if "text_equiv" in held else []
-        return shape(r, "TextRegion", [_attribute("type", r["type"])] if "type" in held else [], [lines, *said])
-
-    def cell(c: Column) -> Column:
-        names = [("rowIndex", "row_index"), ("columnIndex", "col_index"), ("rowSpan", "row_span"), ("colSpan", "col_span"), ("header", "header"), ("embText", "embedded_text")]
-        return shape(c, "TableCell", [_attribute(a, c[b]) for a, b in names])
-
-    def table(r: Column) -> Column:
-        cells = F.coalesce(F.array_join(F.transform(r["cells"], cell), ""), F.lit(""))
-        return shape(r, "TableRegion", [_attribute("rows", r["rows"]), _attribute("columns", r["columns"])], [cells])
-
-    def every(column: str, build) -> Column:
-        return F.coalesce(F.array_join(F.transform(column, build), ""), F.lit(""))
-
-    body = [every("text_regions", text_region)]
-    for column, build in (("graphic_regions", lambda r: shape(r, "GraphicRegion")), ("separator_regions", lambda r: shape(r, "SeparatorRegion")), ("table_regions", table)):
-        if column in columns:
-            body.append(every(column, build))
-    border = [F.when(F.size("page_border") > 0, F.concat(F.lit("<Border>"), _points("Coords", F.col("page_border")), F.lit("</Border>"))).otherwise("")] if "page_border" in columns else []
-    head = F.lit(f'<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{NAMESPACE}">')
-    meta = _metadata_xml(updated_metadata(creator, created, comments, schema))
-    return F.concat(head, meta, F.lit('<Page imageFilename="'), escape(F.col("image_filename")), F.lit('" imageWidth="'), F.col("image_width").cast("string"), F.lit('" imageHeight="'), F.col("image_height").cast("string"), F.lit('">'), *border, *body, F.lit("</Page></PcGts>"))
+    names = {f.name for f in schema.fields} if schema else set()
+    more = [c for c in ("graphic_regions", "separator_regions", "table_regions", "page_border") if c in names]
+    columns = [F.col(c) for c in ("image_filename", "image_width", "image_height", "text_regions", *more)]
+    return page_text(columns, updated_metadata(creator, created, comments, schema), "text_regions" in names)
 
 
 def baselines_page(lines: DataFrame, key: str, ratio: float) -> DataFrame:

@@ -32,14 +32,22 @@ def _triangles(spark: SparkSession, d: str) -> DataFrame:
     return views.points(spark, d).withColumn("p", geo.parse_points(F.col("points")))
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with all kinds of regions, of an image's rectangles: text regions for all, separators, graphics and tables for some."""
+def _pages(spark: SparkSession, d: str, plain: bool = False) -> DataFrame:
+    """Documents with all kinds of regions, of an image's rectangles: text regions for all, separators, graphics and tables for some.
+
+    ``plain``: corners and tags are made in plain columns, which Spark compiles, before the lists; pays where all kinds are read.
+    """
     order = ["x", "y", "w", "h", "flag", "status"]
-    rows = views.regions(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("rs"))
+    corners = lambda x, y, w, h: geo.rectangle(x, y, w, h).alias("coords")
+    tag = lambda flag: F.concat(F.lit("structure {type:"), flag, F.lit(";}")).alias("custom_attribute")
+    flat, made = views.regions(spark, d), []
+    if plain:
+        flat, made = flat.repartition("image_id"), [corners(*map(F.col, "xywh")), tag(F.col("flag"))]
+    rows = flat.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*order, *made))).alias("rs"))
     none = F.array().cast("array<struct<id:string,coords:array<struct<x:int,y:int>>,custom_attribute:string,baseline:array<struct<x:int,y:int>>,text:string>>")
 
     def shape(r: Column, i: Column, name: str) -> list[Column]:
-        return [F.concat(F.lit(f"{name}_"), i.cast("string")).alias("id"), geo.rectangle(r["x"], r["y"], r["w"], r["h"]).alias("coords"), F.concat(F.lit("structure {type:"), r["flag"], F.lit(";}")).alias("custom_attribute")]
+        return [F.concat(F.lit(f"{name}_"), i.cast("string")).alias("id"), *([r["coords"].alias("coords"), r["custom_attribute"].alias("custom_attribute")] if plain else [corners(r["x"], r["y"], r["w"], r["h"]), tag(r["flag"])])]
 
     def cell(r: Column) -> Column:
         values = {"row_index": F.lit(0), "col_index": r["h"], "row_span": F.lit(1), "col_span": F.lit(2), "header": r["flag"] == "R", "embedded_text": F.lit(False)}
@@ -76,7 +84,7 @@ _PAGE_FROM = f"""FROM (SELECT image_id, arg_min(y, (x, y)) AS first_y FROM regio
 @query(f"""SELECT b.image_id, '<?xml version="1.0" encoding="UTF-8"?><PcGts xmlns="{an.NAMESPACE}"><Metadata><Creator>foliospark</Creator><Created>2020-01-01T00:00:00</Created></Metadata><Page imageFilename="' || b.image_id || '.jpg" imageWidth="250" imageHeight="300"><Border><Coords points="0,0 250,0 250,' || first_y || ' 0,' || first_y || '"/></Border>' || t.t || coalesce(g.t, '') || coalesce(s.t, '') || coalesce(k.t, '') || '</Page></PcGts>' AS xml {_PAGE_FROM}""", "regions")
 def page_xml_regions(spark: SparkSession, d: str) -> DataFrame:
     """Documents with borders, tagged text regions, graphics, separators and tables."""
-    pages = _pages(spark, d)
+    pages = _pages(spark, d, plain=True)
     return pages.select("image_id", an.page_xml("foliospark", "2020-01-01T00:00:00", pages.schema).alias("xml"))
 
 
