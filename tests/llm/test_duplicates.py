@@ -253,13 +253,13 @@ def test_passages_reach_as_far_as_texts_are_alike(spark):
 
 @pytest.mark.parametrize("decoys", [5, 20, 100])
 def test_fuzzy_passages_whose_seeds_many_others_hold(spark, decoys):
-    """All its unchanged runs, scattered, are in very many documents between the two that have the passage; its last two words stand alone."""
+    """All its unchanged runs, scattered, are in a document before and very many between the two that have the passage; its last two words stand alone."""
     rng = random.Random(decoys)
     fresh = lambda n: [f"u{rng.randrange(10**7)}" for _ in range(n)]
     passage = fresh(90)
     changed = [f"c{k}" if k % 8 == 7 else w for k, w in enumerate(passage)]
     runs = [passage[k : k + 7] for k in range(0, 90, 8)]
     scattered = lambda: [w for r in runs for w in r + fresh(60)]
-    docs = [fresh(9) + passage + fresh(9), *(scattered() for _ in range(decoys)), fresh(20) + changed + fresh(20), scattered()]
+    docs = [scattered(), fresh(9) + passage + fresh(9), *(scattered() for _ in range(decoys)), fresh(20) + changed + fresh(20), scattered()]
     rows = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.begin, r.end, r.source_id, r.source_begin, r.source_end, r.edits) for r in rows] == [(decoys + 1, 20, 107, 0, 9, 96, 10)]
+    assert [(r.doc_id, r.begin, r.end, r.source_id, r.source_begin, r.source_end, r.edits) for r in rows] == [(decoys + 2, 20, 107, 1, 9, 96, 10)]
