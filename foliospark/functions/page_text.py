@@ -124,4 +124,5 @@ def page_text(columns: list[Column], metadata: Column, whole: bool) -> Column:
 
     # named twice, so that made-up regions stay a column of the plan: Spark can't run a function of lambdas over constants alone
     regions = F.size("text_regions").alias("_regions")
-    return written(F.struct(*columns, metadata.alias("_meta"), regions)).alias("xml")
+    # a filter on the text would else take the function along to where Spark doesn't run it
+    return written.asNondeterministic()(F.struct(*columns, metadata.alias("_meta"), regions)).alias("xml")
